@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointspark.llm import cutoff, quantiles, splits
+from pointspark.llm import cutoff, neighbours, packing, quantiles, splits, tokenize
 from pointspark.session import table
 
 OUTLIER_AT = 0.05  # metres of C2C distance from which a point bears the outlier label
@@ -68,6 +68,17 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return point_splits(spark, d).groupBy("split").agg(F.count("*").alias("points"), F.countDistinct("lead").alias("components"))
 
 
+def p4_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The 5 nearest other points of every point, with squared distances."""
+    found = neighbours.nearest(table(spark, d, "pcd"), "pt_id", ["x", "y", "z"])
+    return found.select(F.col("item").alias("pt_id"), F.col("neighbour").alias("neighbour_id"), F.col("d2").alias("squared_distance"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = p4_nearest(spark, d)
+    return pairs.select(F.least("pt_id", "neighbour_id").alias("pt_id_a"), F.greatest("pt_id", "neighbour_id").alias("pt_id_b")).distinct()
+
+
 def _decided(spark: SparkSession, d: str) -> DataFrame:
     scores = cutoff.clean_scores(table(spark, d, "predict_cloud"), "predicted_c2c", "cloud_id", "point_id", "predicted_c2c").union(
         cutoff.clean_scores(table(spark, d, "outlier_analysis"), "mean_knn_dist", "cloud_id", "point_id", "mean_knn_dist")
@@ -92,6 +103,22 @@ def p5_flags(spark: SparkSession, d: str) -> DataFrame:
     return said.join(ought, ["cloud_id", "point_id"])
 
 
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokenize.encode_corpus(table(spark, d, "documents"))
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Containers of 2,048 tokens; an answer's tokens bear loss, a question's don't."""
+    docs = table(spark, d, "documents")
+    sizes = tokenize.count_tokens(docs, carry=["post_kind"])
+    return packing.pack(sizes, "doc_id", F.col("n"), F.coalesce(F.col("post_kind") == "answer", F.lit(False)), docs.count())
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Each container's segments, tokens and unused space."""
+    return p8_containers(spark, d).groupBy("container_id").agg(F.count("*").alias("segments"), F.sum(F.col("token_to") - F.col("token_from")).alias("tokens")).withColumn("unused", packing.CAPACITY - F.col("tokens"))
+
+
 _SCORES = """
 scores AS (
   SELECT 'predicted_c2c' AS score_name, cloud_id, point_id, min(CAST(predicted_c2c AS DOUBLE)) AS score FROM predict_cloud
@@ -118,13 +145,22 @@ SELECT lead_id, point_id FROM point WHERE lead_id < point_id
 """
 
 
+_NEAR = """
+WITH p AS (SELECT pt_id, min(x) AS x, min(y) AS y, min(z) AS z FROM pcd WHERE x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL AND NOT isnan(x) AND NOT isnan(y) AND NOT isnan(z) GROUP BY pt_id),
+near AS (SELECT a.pt_id, b.pt_id AS neighbour_id, (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) AS squared_distance,
+  row_number() OVER (PARTITION BY a.pt_id ORDER BY (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z), b.pt_id) AS r FROM p a JOIN p b ON a.pt_id <> b.pt_id)
+"""
+
+
 def queries() -> dict:
-    return {"p1_percentiles": p1_percentiles, "p1_clouds": p1_clouds, "p1_scenes": p1_scenes, "p2_found": p2_found, "p2_splits": p2_splits, "p2_report": p2_report, "p5_found": p5_found, "p5_cutoffs": p5_cutoffs, "p5_flags": p5_flags}
+    return {"p1_percentiles": p1_percentiles, "p1_clouds": p1_clouds, "p1_scenes": p1_scenes, "p2_found": p2_found, "p2_splits": p2_splits, "p2_report": p2_report, "p4_found": p4_found, "p4_nearest": p4_nearest, "p5_found": p5_found, "p5_cutoffs": p5_cutoffs, "p5_flags": p5_flags, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": _RELATED,
+        "p4_found": f"{_NEAR} SELECT DISTINCT least(pt_id, neighbour_id) AS pt_id_a, greatest(pt_id, neighbour_id) AS pt_id_b FROM near WHERE r <= 5",
+        "p4_nearest": f"{_NEAR} SELECT pt_id, neighbour_id, squared_distance FROM near WHERE r <= 5",
         "p5_found": f"WITH {_SCORES} SELECT cloud_id, score_name, point_id FROM decided WHERE NOT keep",
         "p5_cutoffs": f"WITH {_SCORES} SELECT score_name, cloud_id, permille, n, cutoff, count(*) FILTER (WHERE keep) AS kept FROM decided GROUP BY ALL",
         "p5_flags": f"WITH {_SCORES}, said AS (SELECT cloud_id, point_id, CAST(coalesce(CASE WHEN min(filter_keep) = max(filter_keep) THEN min(filter_keep) END, -1) AS INTEGER) AS filter_keep FROM predict_cloud GROUP BY ALL) "
