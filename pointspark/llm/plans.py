@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointspark.llm import cutoff, neighbours, packing, quantiles, splits, tokenize
+from pointspark.llm import cutoff, neighbours, packing, quantiles, spam, splits, tokenize
 from pointspark.session import table
 
 OUTLIER_AT = 0.05  # metres of C2C distance from which a point bears the outlier label
@@ -119,6 +119,15 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return p8_containers(spark, d).groupBy("container_id").agg(F.count("*").alias("segments"), F.sum(F.col("token_to") - F.col("token_from")).alias("tokens")).withColumn("unused", packing.CAPACITY - F.col("tokens"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam.stuffed_pages(table(spark, d, "documents")).select("doc_id")
+
+
+def p9_curves(spark: SparkSession, d: str) -> DataFrame:
+    """The rank-frequency fit of every page."""
+    return spam.curves(spam.segments(table(spark, d, "documents"), "doc_id", "text", "lang")).withColumnRenamed("doc", "doc_id")
+
+
 _SCORES = """
 scores AS (
   SELECT 'predicted_c2c' AS score_name, cloud_id, point_id, min(CAST(predicted_c2c AS DOUBLE)) AS score FROM predict_cloud
@@ -153,7 +162,7 @@ near AS (SELECT a.pt_id, b.pt_id AS neighbour_id, (a.x-b.x)*(a.x-b.x) + (a.y-b.y
 
 
 def queries() -> dict:
-    return {"p1_percentiles": p1_percentiles, "p1_clouds": p1_clouds, "p1_scenes": p1_scenes, "p2_found": p2_found, "p2_splits": p2_splits, "p2_report": p2_report, "p4_found": p4_found, "p4_nearest": p4_nearest, "p5_found": p5_found, "p5_cutoffs": p5_cutoffs, "p5_flags": p5_flags, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill}
+    return {"p1_percentiles": p1_percentiles, "p1_clouds": p1_clouds, "p1_scenes": p1_scenes, "p2_found": p2_found, "p2_splits": p2_splits, "p2_report": p2_report, "p4_found": p4_found, "p4_nearest": p4_nearest, "p5_found": p5_found, "p5_cutoffs": p5_cutoffs, "p5_flags": p5_flags, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_curves": p9_curves}
 
 
 def oracle_sql() -> dict[str, str]:
