@@ -38,21 +38,26 @@ def ranked(df: DataFrame, by: list[str], order: list[Column], name: str = "rank"
     return running_sums(df, by, order, {name: F.lit(1)})
 
 
-def exact_quantiles(df: DataFrame, by: list[str], value: Column, probs: dict[str, float]) -> DataFrame:
-    """(by, n, one column a probability): linearly interpolated quantiles, read from the rows that hold the wanted ranks."""
+def quantile_rows(df: DataFrame, by: list[str], value: Column, asks: Column) -> DataFrame:
+    """(by, n, name, q) for every ask, an array of (name, h) with h = p (n - 1) given as an expression on n."""
     rows = df.select(*by, value.cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v")).withColumn("_tie", F.monotonically_increasing_id())
     rows = range_sorted(rows, by, [F.col("_v"), F.col("_tie")])
     counts = rows.groupBy(*by, "_part").agg(F.count("*").alias("_here"))
     w = W.partitionBy(*by)
     counts = counts.select("*", F.sum("_here").over(w.orderBy("_part")).alias("_until"), F.sum("_here").over(w).alias("n"))
-    asks = F.array(*[F.struct(F.lit(k).alias("name"), (F.lit(p) * (F.col("n") - 1)).alias("h")) for k, p in probs.items()])
     want = counts.withColumn("_a", F.explode(asks)).select(*by, "_part", "_here", "_until", "n", "_a.name", "_a.h")
     want = want.withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("h"), F.ceil("h"))))).where((F.col("_rank") < F.col("_until")) & (F.col("_rank") >= F.col("_until") - F.col("_here")))
-    want = want.select(*[F.col(b).alias(f"_b_{b}") for b in by], F.col("_part").alias("_p"), "n", "name", "h", "_rank", (F.col("_rank") - F.col("_until") + F.col("_here") + 1).alias("_at"))
+    want = want.select(*[F.col(b).alias(f"_b_{b}") for b in by], F.col("_part").alias("_p"), "n", "name", "h", (F.col("_rank") - F.col("_until") + F.col("_here") + 1).alias("_at"))
     numbered = rows.withColumn("_row", F.row_number().over(W.partitionBy(*by, "_part").orderBy("_v", "_tie")))
     same = (F.col("_part") == F.col("_p")) & (F.col("_row") == F.col("_at"))
     for b in by:
         same &= F.col(b).eqNullSafe(F.col(f"_b_{b}"))
     got = numbered.join(want, same).groupBy(*by, "n", "name", "h").agg(F.min("_v").alias("a"), F.max("_v").alias("b"))
-    got = got.withColumn("q", F.col("a") + F.when(F.col("b") > F.col("a"), (F.col("b") - F.col("a")) * (F.col("h") - F.floor("h"))).otherwise(0.0))
-    return got.groupBy(*by, "n").agg(*[F.max(F.when(F.col("name") == k, F.col("q"))).alias(k) for k in probs])
+    q = F.col("a") + F.when(F.col("b") > F.col("a"), (F.col("b") - F.col("a")) * (F.col("h") - F.floor("h"))).otherwise(0.0)
+    return got.select(*by, "n", "name", q.alias("q"))
+
+
+def exact_quantiles(df: DataFrame, by: list[str], value: Column, probs: dict[str, float]) -> DataFrame:
+    """(by, n, one column a probability): linearly interpolated quantiles, read from the rows that hold the wanted ranks."""
+    asks = F.array(*[F.struct(F.lit(k).alias("name"), (F.lit(p) * (F.col("n") - 1)).alias("h")) for k, p in probs.items()])
+    return quantile_rows(df, by, value, asks).groupBy(*by, "n").agg(*[F.max(F.when(F.col("name") == k, F.col("q"))).alias(k) for k in probs])

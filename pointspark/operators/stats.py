@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pointspark.functions.missing import finite
-from pointspark.operators.ordered import exact_quantiles, ranked
+from pointspark.operators.ordered import exact_quantiles, quantile_rows, ranked
 
 EDGES = 1001
 
@@ -30,9 +30,9 @@ def over_median(df: DataFrame, by: list[str], channel: str) -> DataFrame:
 
 def quantile_edges(df: DataFrame, by: list[str], channel: str, edges: int = EDGES) -> DataFrame:
     """(by, edges array): the quantile table of a channel, one row a group."""
-    names = {f"e{i}": i / (edges - 1) for i in range(edges)}
-    q = exact_quantiles(df, by, finite(channel), names)
-    return q.select(*by, F.array(*names).alias("edges"))
+    asks = F.transform(F.sequence(F.lit(0), F.lit(edges - 1)), lambda i: F.struct(i.alias("name"), (i / (edges - 1) * (F.col("n") - 1)).alias("h")))
+    q = quantile_rows(df, by, finite(channel), asks)  # ``edges`` rows a group
+    return q.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("name", "q")))["q"].alias("edges"))
 
 
 def rank_normalise(df: DataFrame, by: list[str], channel: str, table: DataFrame) -> DataFrame:
@@ -67,7 +67,7 @@ def dense_extent(df: DataFrame, by: list[str], lo: float = 0.001, hi: float = 0.
 def sor_points(df: DataFrame, by: list[str], channel: str, factors: list[float]) -> DataFrame:
     """(by, factor, threshold, removed): statistical-outlier-removal operating points mean + f * std."""
     stats = df.groupBy(*by).agg(F.avg(finite(channel)).alias("m"), F.stddev_pop(finite(channel)).alias("s"))
-    points = stats.withColumn("factor", F.explode(F.array(*[F.lit(float(f)) for f in factors]))).withColumn("threshold", F.col("m") + F.col("factor") * F.col("s"))
+    points = stats.withColumn("factor", F.explode(F.array(*[F.lit(float(f)) for f in factors]))).withColumn("threshold", F.round(F.col("m") + F.col("factor") * F.col("s"), 9))
     rows = df.where(finite(channel).isNotNull()).select(*by, finite(channel).alias("v")).join(points, by)
     return rows.groupBy(*by, "factor", "threshold").agg(F.avg((F.col("v") > F.col("threshold")).cast("double")).alias("removed"))
 
