@@ -32,6 +32,8 @@ LINK = (
     r"|(?<!\S)[^\s\[({]{1,80}[\[({] ?(?:\.|dot) ?[\])}]\S+"
     rf"|(?<![\p{{L}}\p{{N}}_@.-])(?:[\p{{L}}\p{{N}}_-]++\.)+(?:{HOST_ENDS})(?![\p{{L}}\p{{N}}.])(?:/[^\s|,;)\]>]*+)?"
 )
+#: Encoded data: an unbroken run of so many characters has no terms.
+BLOB = "[A-Za-z0-9+/=]{48,}"
 TAG = r"#[\p{L}_][^\s#]*+"
 INVISIBLE = "[​‌‍⁠﻿­]"
 MARK = "\u0001"
@@ -46,7 +48,7 @@ def _visible(c: Column) -> Column:
 
 def _terms(c: Column) -> Column:
     """Lower-case words; camel case and underscores separate, numbers are all alike."""
-    apart = F.regexp_replace(c, r"(?<=\p{Ll})(?=\p{Lu})|_", " ")
+    apart = F.regexp_replace(F.regexp_replace(c, BLOB, " "), r"(?<=\p{Ll})(?=\p{Lu})|_", " ")
     return F.regexp_extract_all(F.lower(F.regexp_replace(apart, r"\p{N}+", "0")), F.lit(r"[\p{L}\p{M}0]+"), 0)
 
 
