@@ -37,6 +37,8 @@ BLOB = "[A-Za-z0-9+/=]{48,}"
 TAG = r"#[\p{L}_][^\s#]*+"
 INVISIBLE = "[​‌‍⁠﻿­]"
 MARK = "\u0001"
+#: The term weights are broadcast up to so many rows, else joined by a shuffle.
+BROADCAST_TERMS = 500_000
 MIN_TERMS, MIN_LINKS, MIN_CURVE = 5, 3, 12
 MAX_WEIGHT, MIN_PAGES, SHARE, EXTREME, ROUNDS = 4.0, 3, 0.5, 4.0, 3
 
@@ -103,13 +105,15 @@ def term_weights(pages: DataFrame, suspects: DataFrame) -> DataFrame:
     totals = pages.join(suspects.select("doc", F.lit(1).alias("s")), "doc", "left").agg(F.count("s").alias("ns"), (F.count("*") - F.count("s")).alias("nr"))
     odds = F.log((F.col("ds") + 0.5) / (F.col("ns") + 1)) - F.log((F.col("dr") + 0.5) / (F.col("nr") + 1))
     w = F.when((F.col("ds") < MIN_PAGES) | (F.col("ds") < F.col("dr")), F.least(odds, F.lit(0.0))).otherwise(odds)
-    return counts.crossJoin(F.broadcast(totals)).select("term", F.least(F.greatest(w, F.lit(-MAX_WEIGHT)), F.lit(MAX_WEIGHT)).alias("w"))  # totals: one row
+    out = counts.crossJoin(F.broadcast(totals)).select("term", F.least(F.greatest(w, F.lit(-MAX_WEIGHT)), F.lit(MAX_WEIGHT)).alias("w"))  # totals: one row
+    return cut(out.where(F.col("w") != 0))
 
 
 def stuffed_share(pages: DataFrame, weights: DataFrame) -> DataFrame:
     """(doc, share): the part of each page's characters in stuffed segments and links."""
     flat = pages.select("doc", F.posexplode("segs").alias("seg", "s")).select("doc", "seg", "s.chars", F.explode("s.terms").alias("term"))
-    stuffed = flat.join(weights, "term").groupBy("doc", "seg", "chars").agg(F.sum("w").alias("w")).where(F.col("w") > 0).groupBy("doc").agg(F.sum("chars").alias("stuffed"))
+    few = weights.count() <= BROADCAST_TERMS
+    stuffed = flat.join(F.broadcast(weights) if few else weights, "term").groupBy("doc", "seg", "chars").agg(F.sum("w").alias("w")).where(F.col("w") > 0).groupBy("doc").agg(F.sum("chars").alias("stuffed"))
     linked = F.when(F.col("links") >= MIN_LINKS, F.col("link_chars")).otherwise(0)
     return pages.select("doc", "chars", "links", "link_chars", F.size(F.flatten("segs.terms")).alias("n")).join(stuffed, "doc", "left").select(
         "doc", ((F.coalesce("stuffed", F.lit(0)) + linked) / F.greatest("chars", F.lit(1))).alias("share"), (F.col("n") + 3 * F.col("links")).alias("n")
