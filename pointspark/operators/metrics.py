@@ -66,6 +66,8 @@ def budget_curve(df: DataFrame, by: list[str], tie: str, tau: float, budgets: li
 
     Rows are ranked once; a budget keeps max(bround(n (1 - f)), 1) of them.
     """
+    if not by:
+        return budget_curve(df.withColumn("_all", F.lit(0)), ["_all"], tie, tau, budgets).drop("_all")
     rows = ranked(df.select(*by, "score", "distance", tie), by, [F.col("score"), F.col(tie)], "rank")
     sizes = df.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col("distance") <= tau).alias("inliers"))
     steps = sizes.withColumn("budget", F.explode(F.array(*[F.lit(round(b, 2)) for b in (budgets or BUDGETS)]))).withColumn("kept", F.greatest(F.bround(F.col("n") * (1 - F.col("budget"))), F.lit(1)).cast("long"))
@@ -124,6 +126,8 @@ def histogram(df: DataFrame, by: list[str], value: Column, width: float) -> Data
 
 def roc_points(df: DataFrame, by: list[str], tau: float) -> DataFrame:
     """(by, score, fpr, tpr): the ROC curve at every distinct score."""
+    if not by:
+        return roc_points(df.withColumn("_all", F.lit(0)), ["_all"], tau).drop("_all")
     counts = score_counts(df, by, F.lit(tau))
     rows = running_sums(counts, by, [F.col("score").desc()], {"tp": F.col("pos"), "fp": F.col("neg")})
     sums = counts.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))

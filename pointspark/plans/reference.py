@@ -293,13 +293,13 @@ def world_points(spark, d):
 
 
 @query(r"""WITH l AS (SELECT scan_id AS l, min(t) AS lt FROM trajectory WHERE isfinite(t) GROUP BY scan_id), r AS (SELECT DISTINCT scan_file AS r, CAST(regexp_extract(scan_file, '^([0-9]+\.[0-9]+)\.pcd$', 1) AS DOUBLE) AS rt FROM global_pcd_converter WHERE regexp_full_match(scan_file, '[0-9]+\.[0-9]+\.pcd')),
-c AS (SELECT *, abs(rt - lt) AS dt FROM l JOIN r ON abs(rt - lt) <= 0.01), m AS (SELECT l, arg_min(r, (dt, rt, r)) AS r, min(dt) AS dt, min(lt) AS lt FROM c GROUP BY l)
+c AS (SELECT *, abs(rt - lt) AS dt FROM l JOIN r ON abs(rt - lt) <= 0.5), m AS (SELECT l, arg_min(r, (dt, rt, r)) AS r, min(dt) AS dt, min(lt) AS lt FROM c GROUP BY l)
 SELECT arg_min(l, (lt, l)) AS scan_id, r AS scan_file, round(arg_min(dt, (lt, l)), 5) AS dt FROM m GROUP BY r""")
 def nearest_in_time(spark, d):
     a = table(spark, d, "trajectory").where(finite("t").isNotNull()).groupBy("scan_id").agg(F.min("t").alias("t"))
     stamp = F.regexp_extract("scan_file", r"^([0-9]+\.[0-9]+)\.pcd$", 1)
     b = table(spark, d, "global_pcd_converter").where(stamp != "").select("scan_file", stamp.cast("double").alias("t")).distinct()
-    return rounded(merge.nearest_in_time(a, b, 0.01, "scan_id", "scan_file", []), 5, "dt")
+    return rounded(merge.nearest_in_time(a, b, 0.5, "scan_id", "scan_file", []), 5, "dt")
 
 
 @query(f"""WITH {TRAJ}, k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cloud_id ORDER BY scan_id) AS i FROM poses WHERE sane) WHERE i % 5 = 0)
