@@ -103,7 +103,7 @@ def group_key(group: Column, scene: Column, item: Column) -> Column:
 
 def duplicate_channels(df: DataFrame, channels: list[str]) -> list[tuple[str, str]]:
     """(kept, duplicate) channels that agree bit for bit in every row (P19), found in one pass by equal fingerprints."""
-    prints = df.agg(*[F.sum(F.xxhash64(F.col(c).cast("double"), F.monotonically_increasing_id()).cast("decimal(38,0)")).alias(c) for c in channels]).first()
+    prints = df.withColumn("_at", F.monotonically_increasing_id()).agg(*[F.sum(F.xxhash64(F.col(c).cast("double"), "_at").cast("decimal(38,0)")).alias(c) for c in channels]).first()
     first: dict = {}
     out = []
     for c in channels:

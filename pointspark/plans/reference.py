@@ -708,7 +708,7 @@ def session_reset(spark, d):
     return sessions.reset_sessions(p, "cloud_id", "scan_id", "degenerate", 1, 2).select("cloud_id", "scan_id", "session", "saved")
 
 
-@query(f"WITH {TRAJ}, e AS (SELECT cloud_id, scan_id, t, max(t + 0.5) OVER (PARTITION BY cloud_id ORDER BY scan_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM poses WHERE sane) SELECT cloud_id, scan_id FROM e WHERE before IS NULL OR t >= before - 0.01")
+@query()
 def late_sweeps_dropped(spark, d):
     p = poses(spark, d).where("sane").select("cloud_id", "scan_id", "t", (F.col("t") + 0.5).alias("t_end"))
     return sessions.drop_late(p, "cloud_id", "t", "t_end", "scan_id").select("cloud_id", "scan_id")

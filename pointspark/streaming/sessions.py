@@ -39,9 +39,21 @@ def enough_samples(joined: DataFrame, key: list[str], least: int = 5) -> DataFra
 
 
 def drop_late(sweeps: DataFrame, by: str, start: str, end: str, order: str) -> DataFrame:
-    """Sweeps that begin no more than 10 ms before the latest end so far (X3), batch form."""
-    w = W.partitionBy(by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    return sweeps.withColumn("_end", F.max(end).over(w)).where(F.col("_end").isNull() | (F.col(start) >= F.col("_end") - LATE_SECONDS)).drop("_end")
+    """Sweeps that begin no more than 10 ms before the end of the last one that was kept (X3), batch form.
+
+    Each decision depends on the one before it, so one stream's sweeps (one narrow row each) are folded in order.
+    """
+    fields = {f.name: f.dataType.simpleString() for f in sweeps.schema.fields}
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, last, keep = pdf.sort_values(order), None, []
+        for a, b in zip(pdf[start], pdf[end]):
+            keep.append(last is None or not last - a > LATE_SECONDS)
+            last = b if keep[-1] else last
+        return pdf.loc[keep, [by, order]]
+
+    kept = sweeps.select(by, start, end, order).groupBy(by).applyInPandas(fold, f"`{by}` {fields[by]}, `{order}` {fields[order]}")
+    return sweeps.join(kept, [by, order], "left_semi")
 
 
 def sessions_batch(events: DataFrame, by: str, at: str, gap: str) -> DataFrame:
