@@ -65,7 +65,7 @@ def pack(items: DataFrame, key: str, tokens: Column, loss: Column, count: int, c
         ids, n, bears, g = (t.column(c).to_numpy() for c in ("doc_id", "n", "bears", "g"))
         bears = bears.astype(bool)
         step = np.where(bears, split_at, capacity)
-        whole = np.where(n > capacity, n // step, 0)
+        whole = np.where(n > step, n // step, 0)
         rest = n - whole * step
         open_ = np.flatnonzero((rest > 0) | (n == 0))
         box, at = fill(rest[open_], np.where(bears, rest, 0)[open_], (capacity, max_segments, max_loss))
