@@ -34,9 +34,9 @@ LINK = (
 )
 #: Encoded data: an unbroken run of so many characters has no terms.
 BLOB = "[A-Za-z0-9+/=]{48,}"
-TAG = r"#[\p{L}_][^\s#]*+"
-INVISIBLE = "[​‌‍⁠﻿­]"
-MARK = "\u0001"
+TAG = r"#[\p{L}_][^\s#\x02]*+"
+INVISIBLE = "[\u0001\u0002​‌‍⁠﻿­]"
+MARK, END = "\u0001", "\u0002"
 #: The term weights are broadcast up to so many rows, else joined by a shuffle.
 BROADCAST_TERMS = 500_000
 MIN_TERMS, MIN_LINKS, MIN_CURVE = 5, 3, 12
@@ -57,11 +57,12 @@ def _terms(c: Column) -> Column:
 def segments(docs: DataFrame, key: str, text: str, lang: str) -> DataFrame:
     """One row a page: language, visible characters, links, tags and its lines or sentences with their terms."""
     rows = docs.where(F.trim(text) != "").groupBy(F.col(key).alias("doc")).agg(F.min(F.struct(F.col(text).alias("t"), F.lower(F.substring(F.coalesce(F.col(lang), F.lit("un")), 1, 2)).alias("lang"))).alias("p")).select("doc", "p.*")
-    rows = rows.withColumn("t", F.regexp_replace("t", INVISIBLE, ""))
-    links, tags = F.regexp_extract_all("t", F.lit(LINK), 0), F.regexp_extract_all("t", F.lit(TAG), 0)
+    # links are searched once and enclosed in marks, by which they are counted and taken out
+    rows = rows.withColumn("t", F.regexp_replace(F.regexp_replace("t", INVISIBLE, ""), LINK, f"{MARK}$0{END}"))
+    links, tags = F.regexp_extract_all("t", F.lit(f"{MARK}([^{END}]*)"), 1), F.regexp_extract_all("t", F.lit(TAG), 0)
     long = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + F.length(x))
     rows = rows.select("doc", "lang", "t", F.size(links).alias("links"), long(links).alias("link_chars"), F.size(tags).alias("tags"), long(tags).alias("tag_chars"))
-    plain = F.regexp_replace(F.regexp_replace("t", LINK, f" {MARK} "), r"</?[a-zA-Z][^>]{0,80}>", " ")
+    plain = F.regexp_replace(F.regexp_replace("t", f"{MARK}[^{END}]*{END}", f" {MARK} "), r"</?[a-zA-Z][^>]{0,80}>", " ")
     parts = F.filter(F.split(plain, r"[\r\n]+|(?<=[.!?])\s+|(?<=[。！？؟])\s*"), lambda s: F.trim(s) != "")
     segs = F.transform(parts, lambda s: F.struct(_visible(s).alias("chars"), _terms(s).alias("terms"), F.size(F.split(s, MARK)).alias("marks")))
     rows = rows.select("doc", "lang", "links", "link_chars", "tags", "tag_chars", segs.alias("segs"))
