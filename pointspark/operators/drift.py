@@ -157,8 +157,9 @@ def match_renames(fields: DataFrame, pairs: DataFrame, evidence: DataFrame) -> D
 
 def schema_changes(files: DataFrame, records: DataFrame) -> DataFrame:
     """(file_id, change, old_field, new_field): renamed, removed, added and retyped fields of every file."""
-    fields, pairs = declared_fields(files), neighbours(files)
-    sets = field_sets(fields, pairs)
+    # header metadata, a few rows a file, which many branches read
+    fields, pairs = cut(declared_fields(files)), cut(neighbours(files))
+    sets = cut(field_sets(fields, pairs))
     # one row a renamed field; written once because four branches below read it
     renames = cut(match_renames(fields, pairs, value_evidence(files, fields, records, pairs, sets)).select("file_id", "old_field", "new_field"))
     none = F.lit("")
