@@ -12,12 +12,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from pointspark.functions.missing import finite, present
 from pointspark.operators import grid
+from pointspark.operators.nearest import nearest
 
 BALL_K = 100
 Z_EPS = 1e-6
@@ -36,13 +37,19 @@ def knn(points: DataFrame, k: int, margin: float, item: str, reference: DataFram
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def mean_distances(points: DataFrame, ks: list[int], margin: float, item: str) -> DataFrame:
+def _certain(k: int, margin: float) -> Column:
+    """How many of the k nearest lie within the margin."""
+    return F.count_if((F.col("rank") <= k) & (F.col("d2") <= margin * margin))
+
+
+def mean_distances(points: DataFrame, ks: list[int], margin: float, item: str, whole: bool = False) -> DataFrame:
     """Mean distance to the k nearest others for several k from one search.
 
-    mean_k<k> averages what exists within the margin; uncertain_k<k> says that fewer than k lie within it.
+    mean_k<k> averages what exists within the margin, or in the whole table if ``whole``; uncertain_k<k> says in both cases
+    that fewer than k lie within the margin.
     """
-    near = knn(points, max(ks), margin, item)
-    aggs = [a for k in ks for a in (F.avg(F.when(F.col("rank") <= k, F.sqrt("d2"))).alias(f"mean_k{k}"), F.count_if(F.col("rank") <= k).alias(f"n{k}"))]
+    near = nearest(points, max(ks), item) if whole else knn(points, max(ks), margin, item)
+    aggs = [a for k in ks for a in (F.avg(F.when(F.col("rank") <= k, F.sqrt("d2"))).alias(f"mean_k{k}"), _certain(k, margin).alias(f"n{k}"))]
     got = near.groupBy("a_id").agg(*aggs)
     out = grid.located(points).select(F.col(item)).distinct().join(got, F.col(item) == F.col("a_id"), "left")
     return out.select(item, *[c for k in ks for c in (F.col(f"mean_k{k}"), (F.coalesce(F.col(f"n{k}"), F.lit(0)) < k).alias(f"uncertain_k{k}"))])
@@ -54,21 +61,22 @@ def range_semi(reference: DataFrame, query: DataFrame, radius: float, reference_
     return reference.join(hit, reference_id, "left_semi")
 
 
-def neighbourhood_stats(points: DataFrame, channels: dict[str, float], k: int, margin: float, item: str) -> DataFrame:
+def neighbourhood_stats(points: DataFrame, channels: dict[str, float], k: int, margin: float, item: str, whole: bool = False) -> DataFrame:
     """Family D over the k nearest (A9): <channel>__{nmean,nstd,dev,z,ninv}_k<k>; missing neighbours are skipped.
 
-    ``channels`` maps each channel to its missing marker. The neighbour list is built once for all channels.
+    ``channels`` maps each channel to its missing marker. The neighbour list is built once for all channels, within the margin
+    or over the whole table; uncertain_k<k> says in both cases that fewer than k lie within the margin.
     """
     values = [present(c, s).alias(c) for c, s in channels.items()]
-    near = knn(points, k, margin, item)
+    near = nearest(points, k, item) if whole else knn(points, k, margin, item)
     one = points.select(F.col(item).alias("b_id"), *values)
     agg = [a for c in channels for a in (F.avg(c).alias(f"{c}__nmean_k{k}"), F.stddev_pop(c).alias(f"{c}__nstd_k{k}"), F.avg(F.col(c).isNull().cast("double")).alias(f"{c}__ninv_k{k}"))]
-    stats = near.join(one, "b_id").groupBy("a_id").agg(*agg)
+    stats = near.join(one, "b_id").groupBy("a_id").agg(*agg, _certain(k, margin).alias("n"))
     own = points.select(F.col(item), *values).join(stats, F.col(item) == F.col("a_id"), "left")
     dev = {c: F.col(c) - F.col(f"{c}__nmean_k{k}") for c in channels}
     return own.select(item, *[x for c in channels for x in (
         F.col(f"{c}__nmean_k{k}"), F.col(f"{c}__nstd_k{k}"), dev[c].alias(f"{c}__dev_k{k}"), (dev[c] / (F.col(f"{c}__nstd_k{k}") + Z_EPS)).alias(f"{c}__z_k{k}"), F.col(f"{c}__ninv_k{k}"),
-    )])
+    )], (F.coalesce("n", F.lit(0)) < k).alias(f"uncertain_k{k}"))
 
 
 def plane_residual(point: np.ndarray, neighbours: np.ndarray) -> float:

@@ -184,6 +184,34 @@ def knn_ratios(spark, d):
     return m.select("pt_id", *[F.round(spatial.ratio(a, b, s), 6).alias(n) for n, a, b, s in spatial.RATIOS if a.startswith("mean") and b.startswith("mean")])
 
 
+# The three queries above see no neighbour beyond 0.3 m, as their SQL says. These take the k nearest of the whole table; the margin,
+# the reference's 1 m, only flags.
+MARGIN = 1.0
+ALL_NEAR = f"{PCD}, ranked AS (SELECT a.pt_id AS a_id, b.pt_id AS b_id, {D2} AS d2, row_number() OVER (PARTITION BY a.pt_id ORDER BY {D2}, b.pt_id) AS rank FROM p a JOIN p b ON a.pt_id <> b.pt_id QUALIFY rank <= 100)"
+ALL_MEANS = "means AS (SELECT pt_id, " + ", ".join(f"avg(sqrt(d2)) FILTER (WHERE rank <= {k}) AS k{k}, count(*) FILTER (WHERE rank <= {k} AND d2 <= 1.0) < {k} AS u{k}" for k in (6, 30, 100)) + " FROM p LEFT JOIN ranked ON a_id = pt_id GROUP BY pt_id)"
+
+
+@query(f"WITH {ALL_NEAR}, {ALL_MEANS} SELECT pt_id, round(k6, 9) AS mean_k6, u6 AS uncertain_k6, round(k30, 9) AS mean_k30, u30 AS uncertain_k30 FROM means")
+def knn_multi_k_whole(spark, d):
+    return rounded(spatial.mean_distances(scan_points(spark, d), [6, 30], MARGIN, "pt_id", whole=True), 9, "mean_k6", "mean_k30")
+
+
+@query(f"""WITH {ALL_NEAR}, {ALL_MEANS} SELECT pt_id, round(CASE WHEN k30 >= 1e-9 THEN k6 / k30 * sqrt(5.0) END, 6) AS mean_knn_dist_ratio_k6_k30, round(CASE WHEN k100 >= 1e-9 THEN k30 / k100 * sqrt(100.0 / 30) END, 6) AS mean_knn_dist_ratio_k30_k100,
+u6 AS uncertain_k6, u30 AS uncertain_k30, u100 AS uncertain_k100 FROM means""")
+def knn_ratios_whole(spark, d):
+    m = spatial.mean_distances(scan_points(spark, d), [6, 30, 100], MARGIN, "pt_id", whole=True).withColumnsRenamed({f"mean_k{k}": f"mean_knn_dist_k{k}" for k in (6, 30, 100)})
+    ratios = [F.round(spatial.ratio(a, b, s), 6).alias(n) for n, a, b, s in spatial.RATIOS if a.startswith("mean") and b.startswith("mean")]
+    return m.select("pt_id", *ratios, *[f"uncertain_k{k}" for k in (6, 30, 100)])
+
+
+@query(f"""WITH {ALL_NEAR}, ch AS (SELECT pt_id, min({pres('balm_res')}) AS c FROM pcd GROUP BY pt_id), s AS (SELECT a_id, avg(c) AS m, stddev_pop(c) AS sd, avg(CASE WHEN c IS NULL THEN 1.0 ELSE 0.0 END) AS ninv, count(*) FILTER (WHERE d2 <= 1.0) AS n FROM ranked JOIN ch ON ch.pt_id = b_id WHERE rank <= 30 GROUP BY a_id)
+SELECT p.pt_id, round(m, 6) AS nmean, round(c - m, 6) + 0 AS dev, round((c - m) / (sd + 1e-6), 3) + 0 AS z, round(ninv, 6) AS ninv, coalesce(n, 0) < 30 AS uncertain FROM p JOIN ch USING (pt_id) LEFT JOIN s ON a_id = p.pt_id""")
+def agg_dev_z_k30_whole(spark, d):
+    ch = table(spark, d, "pcd").groupBy("pt_id").agg(F.min(present("balm_res")).alias("balm_res"))
+    s = spatial.neighbourhood_stats(scan_points(spark, d).join(ch, "pt_id"), {"balm_res": -1.0}, 30, MARGIN, "pt_id", whole=True)
+    return s.select("pt_id", F.round("balm_res__nmean_k30", 6).alias("nmean"), F.round("balm_res__dev_k30", 6).alias("dev"), F.round("balm_res__z_k30", 3).alias("z"), F.round("balm_res__ninv_k30", 6).alias("ninv"), F.col("uncertain_k30").alias("uncertain"))
+
+
 @query(f"WITH {SIDES} SELECT pt_id FROM e a WHERE n AND EXISTS (SELECT 1 FROM e b WHERE NOT b.n AND {D2} < 0.2 * 0.2)")
 def range_semi(spark, d):
     old, new = two_sides(spark, d)

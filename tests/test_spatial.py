@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pointspark.operators import grid, places, planes, register, spatial
+from pointspark.operators import grid, nearest, places, planes, register, spatial
 
 SCHEMA = "id long, x double, y double, z double, ix string"
 
@@ -48,6 +48,25 @@ def test_nearest_and_knn_match_brute_force(spark):
     assert all((np.isnan(got[i]) and want[i] >= 0.3) or got[i] == pytest.approx(want[i]) for i in range(150))
 
 
+def test_neighbours_beyond_the_margin_are_kept(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "LEAF_ROWS", 16)  # many leaves
+    df, xyz = cloud(spark)
+    rows = [(400 + i, 1.0, 1.0, 1.0, "place") for i in range(12)] + [(500, 900.0, -900.0, 5.0, "flyer")]
+    df = df.union(spark.createDataFrame(rows, SCHEMA))
+    ids, p = np.array([*range(300), *[r[0] for r in rows]]), np.vstack([xyz, [r[1:4] for r in rows]])
+    d2 = ((p[:, None] - p[None]) ** 2).sum(axis=2)
+    np.fill_diagonal(d2, np.inf)
+    for k in (7, 30):
+        got = nearest.nearest(df, k, "id").toPandas().sort_values(["a_id", "rank"])
+        want = [ids[np.lexsort((ids, row))[:k]] for row in d2]
+        assert got.a_id.tolist() == list(np.repeat(ids, k)) and got.b_id.tolist() == list(np.concatenate(want))
+    m = spatial.mean_distances(df, [3], 0.1, "id", whole=True).toPandas().set_index("id")
+    assert m.mean_k3[500] == pytest.approx(np.sqrt(np.sort(d2[-1])[:3]).mean()) and m.uncertain_k3[500] and not m.uncertain_k3[405]
+    assert nearest.nearest(df.limit(0), 3, "id").count() == 0 and nearest.nearest(df.where("id < 3"), 9, "id").count() == 6
+    s = spatial.neighbourhood_stats(df.withColumn("c", F.lit(1.0)), {"c": -1.0}, 3, 0.1, "id", whole=True).where("id = 500").first()
+    assert s["c__nmean_k3"] == 1.0 and s["uncertain_k3"]
+
+
 def test_sentinel_neighbours_are_skipped(spark):
     df = spark.createDataFrame([(0, 0.0, 0.0, 0.0, 2.0), (1, 0.1, 0.0, 0.0, 4.0), (2, 0.2, 0.0, 0.0, 6.0), (3, 0.0, 0.1, 0.0, -1.0)], "id long, x double, y double, z double, c double")
     r = spatial.neighbourhood_stats(df, {"c": -1.0}, 3, 1.0, "id").where("id = 0").first()
