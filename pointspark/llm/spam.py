@@ -6,7 +6,11 @@
 2. Pages with an extreme figure, or mostly made of links or tags, are the first suspects. Terms that are typical of
    suspects get a positive log-odds weight against all other pages, terms typical of prose and code a negative one.
 3. A line or sentence is stuffing if its terms' weights sum above zero. A page is flagged if stuffing and (three or more)
-   links cover more than half of its characters. Flags replace the suspects and steps 2 and 3 are repeated ROUNDS times.
+   links or tags cover more than half of its characters. Flags replace the suspects and steps 2 and 3 are repeated ROUNDS times.
+4. Terms on fewer than MIN_PAGES pages have no weight. A page with an extreme figure, made of words rather than of signs and
+   numbers, is flagged too if repeats of such terms are more than half of its terms and two terms make up HEAD of it.
+
+Words that mix scripts are spelled with the Latin letters that the others look like before they are counted.
 
 All statistics cover all documents; nothing is trained on given labels. The only fixed lists are those of link syntax.
 
@@ -35,12 +39,19 @@ LINK = (
 #: Encoded data: an unbroken run of so many characters has no terms.
 BLOB = "[A-Za-z0-9+/=]{48,}"
 TAG = r"#[\p{L}_][^\s#\x02]*+"
+#: Tags that count as such in the text; directives of preprocessors don't.
+COUNTED_TAG = r"(?<![&/])#(?!(?:include|define|undef|ifdef|ifndef|if|elif|else|endif|pragma|error|warning|line|region|endregion)(?![\p{L}\p{N}_]))[\p{L}_][\p{L}\p{M}\p{N}_]*+(?:-[\p{L}\p{N}][\p{L}\p{M}\p{N}_]*+)*+"
+#: Letters of other scripts and the Latin ones that they (or their capitals) look like.
+LOOKALIKES = ("аеорсухіјѕԁһкмтвнԛԝґαβεζηικμνορτυχ", "aeopcyxijsdhkmtbhqwrabeznikmvoptux")
+MIXED = r"[a-z][\u0370-\u03ff\u0400-\u052f]|[\u0370-\u03ff\u0400-\u052f][a-z]"
 INVISIBLE = "[\u0001\u0002​‌‍⁠﻿­]"
 MARK, END = "\u0001", "\u0002"
 #: The term weights are broadcast up to so many rows, else joined by a shuffle.
 BROADCAST_TERMS = 500_000
 MIN_TERMS, MIN_LINKS, MIN_CURVE = 5, 3, 12
 MAX_WEIGHT, MIN_PAGES, SHARE, EXTREME, ROUNDS = 4.0, 3, 0.5, 4.0, 3
+#: A page of rare terms: least share of its two commonest terms, least share of letters in its characters, least repeats of a term.
+HEAD, LETTERS, REPEATS = 0.25, 0.85, 3
 
 
 def _visible(c: Column) -> Column:
@@ -51,7 +62,9 @@ def _visible(c: Column) -> Column:
 def _terms(c: Column) -> Column:
     """Lower-case words; camel case and underscores separate, numbers are all alike."""
     apart = F.regexp_replace(F.regexp_replace(c, BLOB, " "), r"(?<=\p{Ll})(?=\p{Lu})|_", " ")
-    return F.regexp_extract_all(F.lower(F.regexp_replace(apart, r"\p{N}+", "0")), F.lit(r"[\p{L}\p{M}0]+"), 0)
+    text = F.lower(F.regexp_replace(apart, r"\p{N}+", "0"))
+    terms = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{M}0]+"), 0)
+    return F.when(text.rlike(MIXED), F.transform(terms, lambda t: F.when(t.rlike(MIXED), F.translate(t, *LOOKALIKES)).otherwise(t))).otherwise(terms)
 
 
 def segments(docs: DataFrame, key: str, text: str, lang: str) -> DataFrame:
@@ -64,7 +77,8 @@ def segments(docs: DataFrame, key: str, text: str, lang: str) -> DataFrame:
     rows = rows.select("doc", "lang", "t", F.size(links).alias("links"), long(links).alias("link_chars"), F.size(tags).alias("tags"), long(tags).alias("tag_chars"))
     plain = F.regexp_replace(F.regexp_replace("t", f"{MARK}[^{END}]*{END}", f" {MARK} "), r"</?[a-zA-Z][^>]{0,80}>", " ")
     parts = F.filter(F.split(plain, r"[\r\n]+|(?<=[.!?])\s+|(?<=[。！？؟])\s*"), lambda s: F.trim(s) != "")
-    segs = F.transform(parts, lambda s: F.struct(_visible(s).alias("chars"), _terms(s).alias("terms"), F.size(F.split(s, MARK)).alias("marks")))
+    tagged = lambda s: F.when(s.contains("#"), long(F.regexp_extract_all(s, F.lit(COUNTED_TAG), 0))).otherwise(0)
+    segs = F.transform(parts, lambda s: F.struct(_visible(s).alias("chars"), _terms(s).alias("terms"), F.size(F.split(s, MARK)).alias("marks"), tagged(s).alias("tag_chars")))
     rows = rows.select("doc", "lang", "links", "link_chars", "tags", "tag_chars", segs.alias("segs"))
     return rows.withColumn("chars", F.aggregate("segs", F.lit(0), lambda s, x: s + x["chars"]) + F.col("link_chars"))
 
@@ -112,21 +126,38 @@ def term_weights(pages: DataFrame, suspects: DataFrame) -> DataFrame:
 
 def stuffed_share(pages: DataFrame, weights: DataFrame) -> DataFrame:
     """(doc, share): the part of each page's characters in stuffed segments and links."""
-    flat = pages.select("doc", F.posexplode("segs").alias("seg", "s")).select("doc", "seg", "s.chars", F.explode("s.terms").alias("term"))
+    flat = pages.select("doc", F.posexplode("segs").alias("seg", "s")).select("doc", "seg", "s.chars", "s.tag_chars", F.explode("s.terms").alias("term"))
     few = weights.count() <= BROADCAST_TERMS
-    stuffed = flat.join(F.broadcast(weights) if few else weights, "term").groupBy("doc", "seg", "chars").agg(F.sum("w").alias("w")).where(F.col("w") > 0).groupBy("doc").agg(F.sum("chars").alias("stuffed"))
+    # tags in stuffed segments are counted with these
+    stuffed = flat.join(F.broadcast(weights) if few else weights, "term").groupBy("doc", "seg", "chars", "tag_chars").agg(F.sum("w").alias("w")).where(F.col("w") > 0).groupBy("doc").agg(F.sum("chars").alias("stuffed"), F.sum("tag_chars").alias("within"))
     linked = F.when(F.col("links") >= MIN_LINKS, F.col("link_chars")).otherwise(0)
-    return pages.select("doc", "chars", "links", "link_chars", F.size(F.flatten("segs.terms")).alias("n")).join(stuffed, "doc", "left").select(
-        "doc", ((F.coalesce("stuffed", F.lit(0)) + linked) / F.greatest("chars", F.lit(1))).alias("share"), (F.col("n") + 3 * F.col("links")).alias("n")
+    tag_chars = F.aggregate("segs", F.lit(0), lambda s, x: s + x["tag_chars"])
+    tagged = F.when(F.col("tags") >= MIN_LINKS, F.col("counted") - F.coalesce("within", F.lit(0))).otherwise(0)
+    return pages.select("doc", "chars", "links", "link_chars", "tags", tag_chars.alias("counted"), F.size(F.flatten("segs.terms")).alias("n")).join(stuffed, "doc", "left").select(
+        "doc", ((F.coalesce("stuffed", F.lit(0)) + linked + tagged) / F.greatest("chars", F.lit(1))).alias("share"), (F.col("n") + 3 * F.col("links")).alias("n")
     )
 
 
+def rare_pages(pages: DataFrame, fits: DataFrame, scores: DataFrame) -> DataFrame:
+    """(doc, share): extreme pages of words, most of whose terms repeat but are on too few pages to have a weight."""
+    odd = scores.where(F.col("score") > EXTREME).join(fits.where(F.col("head") >= HEAD), "doc").select("doc")
+    terms = F.flatten("segs.terms")
+    letters = F.aggregate(terms, F.lit(0), lambda s, x: s + F.when(x == "0", 0).otherwise(F.length(x)))
+    wordy = pages.join(odd, "doc").where(letters >= LETTERS * (F.col("chars") - F.col("link_chars"))).select("doc", F.size(terms).alias("n"), F.explode(terms).alias("term"))
+    often = cut(wordy.groupBy("doc", "n", "term").agg(F.count("*").alias("f")).where((F.col("f") >= REPEATS) & (F.col("term") != "0")))
+    known = pages.select(F.explode(F.array_distinct(terms)).alias("term")).join(often.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= MIN_PAGES)
+    return often.join(known, "term", "left_anti").groupBy("doc", "n").agg(F.sum("f").alias("f")).select("doc", (F.col("f") / F.col("n")).alias("share")).where(F.col("share") > SHARE)
+
+
 def stuffed_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """(key, share): the flagged pages."""
     pages = cut(segments(docs, key, text, lang))
     shape = pages.where(((F.col("links") >= MIN_LINKS) & (F.col("link_chars") > SHARE * F.col("chars"))) | ((F.col("tags") >= MIN_LINKS) & (F.col("tag_chars") > SHARE * F.col("chars")))).select("doc")
-    suspects = cut(extremes(curves(pages)).where(F.col("score") > EXTREME).select("doc").union(shape).distinct())
+    fits = cut(curves(pages))
+    scores = cut(extremes(fits))
+    rare = cut(rare_pages(pages, fits, scores))
+    suspects = cut(scores.where(F.col("score") > EXTREME).select("doc").union(shape).distinct())
     for _ in range(ROUNDS):
-        flagged = cut(stuffed_share(pages, term_weights(pages, suspects)).where((F.col("share") > SHARE) & (F.col("n") >= MIN_TERMS)).select("doc", "share"))
+        flagged = cut(stuffed_share(pages, term_weights(pages, suspects)).where((F.col("share") > SHARE) & (F.col("n") >= MIN_TERMS)).select("doc", "share").union(rare).groupBy("doc").agg(F.max("share").alias("share")))
         suspects = flagged.select("doc")
     return flagged.withColumnRenamed("doc", key)

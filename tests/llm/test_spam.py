@@ -26,6 +26,23 @@ def test_stuffed_pages_are_told_from_prose_code_and_data(spark):
     assert {r["doc_id"] for r in spam.stuffed_pages(df).collect()} == set(range(len(good), len(good) + len(bad)))
 
 
+def test_pages_whose_terms_are_too_rare_for_weights(spark):
+    good, bad = _pages()
+    code = "\n".join("qzv_buf[i] = qzv_fn(qzv_buf[j]);" for _ in range(30))
+    own = ["zorbix " * 40, "plenkar morvat, " * 25]  # keywords of a single page
+    tags = ["".join(f"#Vrost{chr(97 + i)}{chr(97 + j)}x" for i in range(8)) for j in range(2)]  # as many terms as tags, each on one page
+    spelt = [" ".join(f"{w} drаin clеаnеr" for w in ("оnlinе", "bеst", "оriginаl", "sаlе", "оffiсiаl") * 3), " ".join("dеаl sоlаr lаmр nеаr mе" for _ in range(9))]
+    plain = ["#include <a.h>\n#include <b.h>\n#define QQ\n#ifdef QQ\n#endif", "#main{color:red}#foot{margin:none;border:solid}#head{padding:none}", code]
+    texts = good + plain + bad + own + tags + spelt
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in spam.stuffed_pages(df).collect()} == set(range(len(good) + len(plain), len(texts)))
+
+
+def test_words_that_mix_scripts_are_folded(spark):
+    df = spark.createDataFrame([(1, "drаin clеаnеr drain сыр", "en")], "doc_id long, text string, lang string")
+    assert spam.segments(df, "doc_id", "text", "lang").first()["segs"][0]["terms"] == ["drain", "cleaner", "drain", "сыр"]
+
+
 def test_curve_of_known_frequencies(spark):
     df = spark.createDataFrame([(1, "a a a a b b c d", "en")], "doc_id long, text string, lang string")
     r = spam.curves(spam.segments(df, "doc_id", "text", "lang")).first()
