@@ -265,9 +265,13 @@ def training_sample(df: DataFrame, features: list[str], target: str, key: str, r
 
 
 def fit(df: DataFrame, features: list[str], target: str, key: str, objective: str = "mean", **options) -> Booster:
-    """Boosted regression with whole groups held out for early stopping (U1, U2); needs a ``validation`` column."""
+    """Boosted regression with whole groups held out for early stopping (U1, U2); needs a ``validation`` column.
+
+    The held-out groups only choose the number of rounds; the model is then fitted anew with it on all rows of the sample.
+    """
     x, y, v = training_sample(df, features, target, key)
-    return Booster(objective, **options).fit(x[~v], y[~v], x[v], y[v])
+    chosen = Booster(objective, **options).fit(x[~v], y[~v], x[v], y[v])
+    return Booster(objective, **{**options, "most": len(chosen.trees)}).fit(x, y) if v.any() else chosen
 
 
 def score(df: DataFrame, models: dict[str, tuple[Booster, list[str]]]) -> DataFrame:

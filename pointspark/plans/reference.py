@@ -759,5 +759,5 @@ def training_rows(spark, d):
 def gbt_scores(spark, d):
     rows = training_rows(spark, d)
     fs = ["balm_res", "ekf_res", "plane_quality", "obs_count", "view_diversity", "temp_consistency", "range", "intensity", "mean_knn_dist"]
-    fitted = {f"predicted_{o}": (model.fit(rows, fs, "C2C_distance", "point_id", o, most=40), fs) for o in ("mean", "q90")}
+    fitted = {f"predicted_{o}": (model.fit(rows, fs, "C2C_distance", "point_id", o), fs) for o in ("mean", "q90")}
     return model.score(rows, fitted).select("point_id", "validation", *fitted)

@@ -71,3 +71,14 @@ def test_feature_names_and_groups(spark):
     assert df.select(model.group_key(F.col("g"), F.col("scene"), F.col("id"))).distinct().count() == 4
     assert model.duplicate_channels(df.withColumn("h", F.col("g")), ["g", "h"]) == [("g", "h")]
     assert model.holdout_scenes(["north_a", "south_b"], ["_b"]) == ["south_b"]
+
+
+def test_fit_uses_the_held_out_groups_in_the_end(spark):
+    r = np.random.default_rng(5)
+    rows = [(i, float(a), float(2 * a + r.normal() / 9), i % 5 == 0) for i, a in enumerate(r.uniform(0, 1, 500))]
+    df = spark.createDataFrame(rows, "id long, a double, y double, validation boolean")
+    got = model.fit(df, ["a"], "y", "id")
+    x, y, v = model.training_sample(df, ["a"], "y", "id")
+    held = model.Booster().fit(x[~v], y[~v], x[v], y[v])
+    assert got.start == pytest.approx(y.mean()) and got.start != held.start
+    assert len(got.trees) == len(held.trees) and np.allclose(got.predict(x), model.Booster(most=len(held.trees)).fit(x, y).predict(x))
