@@ -102,8 +102,12 @@ def _breaks(rules: list[ColumnRule]) -> tuple[Column, Column]:
     return F.coalesce(out, F.lit(False)), F.coalesce(bad, F.lit(False))
 
 
-def profile_loads(df: DataFrame, rules: list[ColumnRule], feed: str = "feed_id", load: str = "load_id", seq: str = "load_seq") -> DataFrame:
-    """One row a load and column: counts, ranges, broken rules, and the change against the load before it."""
+def profile_loads(df: DataFrame, rules: list[ColumnRule], feed: str = "feed_id", load: str = "load_id", seq: str = "load_seq", resolve: bool = False) -> DataFrame:
+    """One row a load and column: counts, ranges, broken rules, and the change against the load before it.
+
+    largest_gap is exact with ``resolve``; else it is a lower bound that is exact in whether it exceeds SHIFT_GAP. PSI and
+    chi-square of text columns are over 64 hash bins.
+    """
     counts = value_counts(df, rules, load)
     out, bad = _breaks(rules)
     valid = F.col("v").isNotNull() | F.col("t").isNotNull()
@@ -143,9 +147,9 @@ def profile_loads(df: DataFrame, rules: list[ColumnRule], feed: str = "feed_id",
         F.max("gap").alias("gap"), F.sum((pn - pp) * F.log(pn / pp)).alias("psi"),
         F.sum(F.pow(F.col("now") - N * rate, F.lit(2)) / (N * rate) + F.pow(F.col("past") - P * rate, F.lit(2)) / (P * rate)).alias("chi_square"),
     )
-    # value by value only where a bucket may hide a gap beyond the limit and no border has shown one
+    # value by value only where a bucket may hide a gap beyond the largest one at borders, or, if that is enough, beyond the limit
     text = [i for i, r in enumerate(rules) if _is_text(df.schema[r.column].dataType)]
-    open_bins = border.where((F.col("most") > SHIFT_GAP) & ~F.col("c").isin(text)).join(change.where(F.col("gap") <= SHIFT_GAP).select("pair", "c"), ["pair", "c"], "left_semi").select("pair", "c", "b", "now0", "past0", "now_all", "past_all")
+    open_bins = border.drop("gap").where(~F.col("c").isin(text)).join(change.select("pair", "c", "gap"), ["pair", "c"]).where(F.col("most") > F.col("gap") if resolve else (F.col("most") > SHIFT_GAP) & (F.col("gap") <= SHIFT_GAP)).select("pair", "c", "b", "now0", "past0", "now_all", "past_all")
     fine = both(coded.where(F.col("v").isNotNull()), "c", "b", "v").join(open_bins, ["pair", "c", "b"]).groupBy("pair", "c", "b", "v", "now0", "past0", "now_all", "past_all").agg(F.sum("now").alias("now"), F.sum("past").alias("past"))
     within = W.partitionBy("pair", "c", "b").orderBy("v")
     fine = fine.select("pair", "c", gap(F.col("now0") + F.sum("now").over(within), F.col("past0") + F.sum("past").over(within)).alias("gap")).groupBy("pair", "c").agg(F.max("gap").alias("fine"))

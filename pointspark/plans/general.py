@@ -19,7 +19,7 @@ def p3_profile(spark: SparkSession, d: str) -> DataFrame:
     clouds = table(spark, d, "global_pcd_converter")
     given = {r.column: r for r in profile.rules_from_table(table(spark, d, "channel_rule"))}
     columns = [c for c in clouds.columns if c not in ("feed_id", "load_id", "load_seq")]
-    return profile.profile_loads(clouds, [given.get(c, profile.ColumnRule(c)) for c in columns])
+    return profile.profile_loads(clouds, [given.get(c, profile.ColumnRule(c)) for c in columns], resolve=True)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

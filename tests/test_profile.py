@@ -27,5 +27,13 @@ def test_gap_within_one_bucket_is_exact(spark):
     assert abs(out["largest_gap"] - 0.5) < 1e-9
 
 
+def test_gaps_below_the_limit_and_behind_a_border_are_exact(spark):
+    # 8.0 and 8.01 share a bucket: in the first case borders show no gap, in the second one of 0.3
+    for past, now, want in (([8.0] * 20 + [8.01] * 20 + [100.0] * 60, [8.01] * 40 + [100.0] * 60, 0.2), ([8.0] * 50 + [100.0] * 50, [8.01] * 20 + [100.0] * 80, 0.5)):
+        rows = [(1, 1, 0, v, "1", 0, 0) for v in past] + [(1, 2, 1, v, "1", 0, 0) for v in now]
+        out = [r for r in profile_loads(spark.createDataFrame(rows, SCHEMA), [ColumnRule("a")], resolve=True).collect() if r["load_id"] == 2][0]
+        assert abs(out["largest_gap"] - want) < 1e-9
+
+
 def test_empty(spark):
     assert find_issues(profile_loads(spark.createDataFrame([], SCHEMA), RULES)).count() == 0
