@@ -219,6 +219,6 @@ def unified_table(files: DataFrame, records: DataFrame, stage: str, canon: DataF
     names = here.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "canonical"))).alias("to"))
     rows = vals.join(names, "file_id").join(mine.select("file_id", "series_id", "file_seq"), "file_id")
     rows = rows.withColumn("m", F.map_from_entries(F.array_distinct(F.transform("vals", lambda e: F.struct(F.coalesce(F.element_at("to", e["name"]), e["name"]), e["value"])))))
-    cast = lambda c, k: F.expr(f"try_cast(m['{c}'] as string)") if k == "string" else F.expr(f"try_cast(try_cast(m['{c}'] as double) as {k})")
+    cast = lambda c, k: F.expr(f"try_cast(m['{c}'] as string)") if k == "string" else F.expr(f"coalesce(try_cast(m['{c}'] as {k}), try_cast(try_cast(m['{c}'] as double) as {k}))")  # noqa: E731  a double rounds ids above 2^53
     order = [*FIXED, *sorted(set(kinds) - set(FIXED))]
     return rows.select("series_id", "file_seq", "file_id", "row_no", *[cast(c, kinds[c]).alias(c) for c in order])

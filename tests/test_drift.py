@@ -37,6 +37,14 @@ def test_copy_of_a_kept_field_is_added(spark):
     assert {tuple(r) for r in drift.schema_changes(files, records).collect()} == {(2, "added", "", "a_copy")}
 
 
+def test_large_ids_are_not_rounded(spark):
+    files = _files(spark, [(1, 1, 0, "outlier_analysis", json.dumps({"extra_dims": [{"name": "leaf_id", "type": "int64"}]}), "n")])
+    values = ["9007199254740993", "5.0", "1e3"]
+    records = spark.createDataFrame([(1, i, f'{{"point_idx": {i}, "leaf_id": {v}}}') for i, v in enumerate(values)], "file_id long, row_no int, payload string")
+    table = drift.unified_table(files, records, "outlier_analysis", drift.canonical_fields(files, records))
+    assert [r["leaf_id"] for r in table.orderBy("row_no").collect()] == [9007199254740993, 5, 1000]
+
+
 def test_empty(spark):
     records = spark.createDataFrame([], "file_id long, row_no int, payload string")
     assert drift.schema_changes(_files(spark, []), records).count() == 0
