@@ -14,30 +14,52 @@ OUTLIER_AT = 0.05  # metres of C2C distance from which a point bears the outlier
 PROBS = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
 
 
-def daily_sketches(spark: SparkSession, d: str) -> DataFrame:
-    """Sketches by (measure, scene, cloud_id, day) of the three measures; days are those of label, score and capture."""
+DAY = ["measure", "scene", "cloud_id", "day"]
+
+
+def measures(spark: SparkSession, d: str) -> DataFrame:
+    """(measure, scene, cloud_id, day, value) of the three measures; days are those of label, score and capture."""
     sources = (("outlier_analysis", "C2C_distance", "labelled_at"), ("predict_cloud", "predicted_c2c", "scored_at"), ("global_pcd_converter", "range", "captured_at"))
     rows = None
     for name, column, at in sources:
         part = table(spark, d, name).select(F.lit(column).alias("measure"), "scene", "cloud_id", F.to_date(at).alias("day"), F.col(column).cast("double").alias("value"))
         rows = part if rows is None else rows.union(part)
-    return quantiles.build_sketches(rows, ["measure", "scene", "cloud_id", "day"], F.col("value"))
+    return rows
+
+
+def daily_sketches(spark: SparkSession, d: str) -> DataFrame:
+    return quantiles.build_sketches(measures(spark, d), DAY, F.col("value"))
 
 
 def p1_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    return quantiles.percentiles(daily_sketches(spark, d), ["measure", "scene", "cloud_id", "day"], PROBS)
+    return quantiles.percentiles(daily_sketches(spark, d), DAY, PROBS)
+
+
+def _merged_percentiles(spark: SparkSession, d: str, keys: list[str]) -> DataFrame:
+    return quantiles.percentiles(quantiles.merge_sketches(daily_sketches(spark, d), keys), keys, PROBS)
 
 
 def p1_clouds(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles of each cloud over all days, from the merged sketches of its days."""
-    keys = ["measure", "scene", "cloud_id"]
-    return quantiles.percentiles(quantiles.merge_sketches(daily_sketches(spark, d), keys), keys, PROBS)
+    return _merged_percentiles(spark, d, DAY[:3])
 
 
 def p1_scenes(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles of each scene over all clouds and days, from merged sketches."""
-    keys = ["measure", "scene"]
-    return quantiles.percentiles(quantiles.merge_sketches(daily_sketches(spark, d), keys), keys, PROBS)
+    return _merged_percentiles(spark, d, DAY[:2])
+
+
+def p1_day_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the true ranks of p1_percentiles keep the stated bound, group by group, from the rows themselves."""
+    return quantiles.rank_check(measures(spark, d), DAY, F.col("value"), p1_percentiles(spark, d), PROBS).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
+def p1_cloud_ranks(spark: SparkSession, d: str) -> DataFrame:
+    return quantiles.rank_check(measures(spark, d), DAY[:3], F.col("value"), p1_clouds(spark, d), PROBS)
+
+
+def p1_scene_ranks(spark: SparkSession, d: str) -> DataFrame:
+    return quantiles.rank_check(measures(spark, d), DAY[:2], F.col("value"), p1_scenes(spark, d), PROBS)
 
 
 def point_splits(spark: SparkSession, d: str) -> DataFrame:
@@ -128,12 +150,18 @@ def p9_curves(spark: SparkSession, d: str) -> DataFrame:
     return spam.curves(spam.segments(table(spark, d, "documents"), "doc_id", "text", "lang")).withColumnRenamed("doc", "doc_id")
 
 
+#: A Parquet file's statistics leave NaN out, by which NOT isnan() may be folded to true; isfinite() or isinf() can't be.
+_MEASURES = "measures AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS measure, scene, cloud_id, strftime({at}, '%Y-%m-%d') AS day FROM {t} WHERE (isfinite({c}) OR isinf({c})) AND abs(CAST({c} AS DOUBLE) + 1) > 1e-6"
+    for t, c, at in (("outlier_analysis", "C2C_distance", "labelled_at"), ("predict_cloud", "predicted_c2c", "scored_at"), ("global_pcd_converter", "range", "captured_at"))
+) + ")"
+
 _SCORES = """
 scores AS (
   SELECT 'predicted_c2c' AS score_name, cloud_id, point_id, min(CAST(predicted_c2c AS DOUBLE)) AS score FROM predict_cloud
-    WHERE predicted_c2c >= 0 AND NOT isnan(predicted_c2c) AND cloud_id IS NOT NULL AND point_id IS NOT NULL GROUP BY ALL
+    WHERE predicted_c2c >= 0 AND (isfinite(predicted_c2c) OR isinf(predicted_c2c)) AND cloud_id IS NOT NULL AND point_id IS NOT NULL GROUP BY ALL
   UNION ALL SELECT 'mean_knn_dist', cloud_id, point_id, min(mean_knn_dist) FROM outlier_analysis
-    WHERE mean_knn_dist >= 0 AND NOT isnan(mean_knn_dist) AND cloud_id IS NOT NULL AND point_id IS NOT NULL GROUP BY ALL),
+    WHERE mean_knn_dist >= 0 AND (isfinite(mean_knn_dist) OR isinf(mean_knn_dist)) AND cloud_id IS NOT NULL AND point_id IS NOT NULL GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY score_name, cloud_id ORDER BY score, point_id) AS r, count(*) OVER (PARTITION BY score_name, cloud_id) AS n FROM scores),
 cuts AS (SELECT score_name, cloud_id, keep_permille AS permille, n, score AS cutoff FROM ranked JOIN cloud_source USING (cloud_id)
   WHERE r = least(greatest((n * keep_permille + 999) // 1000, 1), n)),
@@ -144,7 +172,7 @@ _RELATED = """
 WITH RECURSIVE keys AS (
   SELECT DISTINCT point_id, 's|' || stretch_id || '|' || cloud_id AS k FROM outlier_analysis WHERE stretch_id <> -1
   UNION SELECT DISTINCT point_id, 'b|' || gt_group || '|' || splitx_block || '|' || cloud_id FROM outlier_analysis WHERE gt_group > 0 AND splitx_block <> -1
-  UNION SELECT DISTINCT point_id, 'p|' || pose_unc_rot FROM global_pcd_converter WHERE NOT isnan(pose_unc_rot) AND pose_unc_rot <> -1 AND point_id IN (SELECT point_id FROM outlier_analysis)),
+  UNION SELECT DISTINCT point_id, 'p|' || pose_unc_rot FROM global_pcd_converter WHERE (isfinite(pose_unc_rot) OR isinf(pose_unc_rot)) AND pose_unc_rot <> -1 AND point_id IN (SELECT point_id FROM outlier_analysis)),
 reps AS (SELECT k, min(point_id) AS rep FROM keys GROUP BY k),
 e AS (SELECT DISTINCT a.rep AS u, b.rep AS v FROM keys x JOIN reps a USING (k) JOIN keys y ON x.point_id = y.point_id JOIN reps b ON b.k = y.k),
 reach(node, lead) AS (SELECT u, u FROM e UNION SELECT e.v, reach.lead FROM reach JOIN e ON e.u = reach.node WHERE reach.lead < e.v),
@@ -155,18 +183,19 @@ SELECT lead_id, point_id FROM point WHERE lead_id < point_id
 
 
 _NEAR = """
-WITH p AS (SELECT pt_id, min(x) AS x, min(y) AS y, min(z) AS z FROM pcd WHERE x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL AND NOT isnan(x) AND NOT isnan(y) AND NOT isnan(z) GROUP BY pt_id),
+WITH p AS (SELECT pt_id, min(x) AS x, min(y) AS y, min(z) AS z FROM pcd WHERE x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL AND (isfinite(x) OR isinf(x)) AND (isfinite(y) OR isinf(y)) AND (isfinite(z) OR isinf(z)) GROUP BY pt_id),
 near AS (SELECT a.pt_id, b.pt_id AS neighbour_id, (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) AS squared_distance,
   row_number() OVER (PARTITION BY a.pt_id ORDER BY (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z), b.pt_id) AS r FROM p a JOIN p b ON a.pt_id <> b.pt_id)
 """
 
 
 def queries() -> dict:
-    return {"p1_percentiles": p1_percentiles, "p1_clouds": p1_clouds, "p1_scenes": p1_scenes, "p2_found": p2_found, "p2_splits": p2_splits, "p2_report": p2_report, "p4_found": p4_found, "p4_nearest": p4_nearest, "p5_found": p5_found, "p5_cutoffs": p5_cutoffs, "p5_flags": p5_flags, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_curves": p9_curves}
+    return {"p1_percentiles": p1_percentiles, "p1_clouds": p1_clouds, "p1_scenes": p1_scenes, "p1_day_ranks": p1_day_ranks, "p1_cloud_ranks": p1_cloud_ranks, "p1_scene_ranks": p1_scene_ranks, "p2_found": p2_found, "p2_splits": p2_splits, "p2_report": p2_report, "p4_found": p4_found, "p4_nearest": p4_nearest, "p5_found": p5_found, "p5_cutoffs": p5_cutoffs, "p5_flags": p5_flags, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_curves": p9_curves}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        **{f"p1_{name}_ranks": f"WITH {_MEASURES} SELECT {', '.join(DAY[:k])}, count(*) AS n, true AS within FROM measures GROUP BY ALL" for name, k in (("day", 4), ("cloud", 3), ("scene", 2))},
         "p2_found": _RELATED,
         "p4_found": f"{_NEAR} SELECT DISTINCT least(pt_id, neighbour_id) AS pt_id_a, greatest(pt_id, neighbour_id) AS pt_id_b FROM near WHERE r <= 5",
         "p4_nearest": f"{_NEAR} SELECT pt_id, neighbour_id, squared_distance FROM near WHERE r <= 5",

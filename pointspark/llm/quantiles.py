@@ -6,14 +6,19 @@ counts (few nodes) or a count-sketch with random signs (DEPTH rows of WIDTH coun
 merged by addition, rows are deleted by adding a negative weight. A rank is inverted by descending the levels from
 the coarsest to the finest, going right when the wanted rank exceeds the left child's estimated count.
 
-Until a group has more than SPARSE distinct codes, the counters are kept as the signed counts of its codes, from which
-all levels follow exactly; beyond that they are spread into the dense counters. Both are the same linear map.
+A group of at most SPARSE distinct codes keeps the signed counts of its codes, from which all levels follow exactly; beyond
+that they are spread into the dense counters. Both are the same linear map. Figures: SPARSE codes take 12 bytes each, so
+1.5 kB, a dense sketch 280 kB in memory and, packed, 10 to 30 kB for some thousand values; the sparse form is thus only used where it is far
+smaller, and it has no error at all.
 
-Rank error: 0 for sparse groups; for dense groups about sqrt(signed levels) * sqrt(F2 / WIDTH) with F2 the second moment of
-the node counts of a level, at most n / sqrt(WIDTH) per level with high probability (median of DEPTH rows).
+Errors: a value is the middle of its code's range, 2**-(MANTISSA+1) of its magnitude from the ends. Rank error: 0 for sparse groups;
+for dense groups the noise of a level is what collisions leave in the median over DEPTH independent rows. It is read from the
+sketch itself, by asking for PHANTOMS nodes that aren't there (random counters and signs): ``rank_error`` is SPREAD times the root of
+the summed squares of each signed level's largest answer, or, if less, the exact count of the finest exact node on the way
+down, which the answer can't leave.
 
 Defined cases: NULL, NaN and the missing marker -1 (within 1e-6) are left out; infinities are valid extreme values; magnitudes
-below 2**-32 count as zero and above 2**32 as the largest code; groups without a valid value give no row; group
+below 2**-128 count as zero and from (1 - 2**-10) * 2**128 on as infinite; groups without a valid value give no row; group
 columns may be NULL; repeated rows count as delivered; empty input gives empty output.
 """
 
@@ -21,6 +26,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,17 +36,17 @@ from pyspark.sql import functions as F
 
 from pointspark.session import shuffle_partitions
 
-MANTISSA, EXPONENT_BITS = 9, 6
+MANTISSA, EXPONENT_BITS = 9, 8
 BITS = 1 + EXPONENT_BITS + MANTISSA
-WIDTH, DEPTH = 1024, 5
-#: Levels with at most so many nodes keep exact counts.
-EXACT_NODES = 4096
-SPARSE = 512
-#: A task hands on its partial sketches when it holds so many buffered entries.
-FLUSH_ENTRIES = 2_000_000
+WIDTH, DEPTH = 512, 7
+#: Levels with at most so many nodes keep exact counts: 8 of the 18; the 10 finer ones are signed.
+EXACT_NODES = 256
+SPARSE = 128
+SPREAD, PHANTOMS = 1.5, 1024
+#: A task hands on its partial sketches when it holds so many buffered entries (a dense sketch counts all its counters).
+FLUSH_ENTRIES = 16_000_000
 _HALF = 1 << (BITS - 1)
 _LOW_EXP = 1023 - (1 << (EXPONENT_BITS - 1))
-_PRIME = (1 << 61) - 1
 MARKER, TOLERANCE = -1.0, 1e-6
 SCHEMA = "n long, codes array<int>, counts array<long>, dense binary"
 
@@ -69,17 +75,31 @@ def _levels() -> tuple[list[tuple[int, bool]], np.ndarray]:
 
 
 LEVELS, OFFSETS = _levels()
-_rng = np.random.default_rng(20240301)
-_A, _B, _C, _D = (_rng.integers(1, 1 << 31, (BITS, DEPTH)) for _ in range(4))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """splitmix64: every bit of the result depends on every bit of x."""
+    with np.errstate(over="ignore"):
+        x = (x + np.uint64(0x9E3779B97F4A7C15)).astype(np.uint64)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+@cache
+def _hashes(level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counter and sign of every node of a level in each row, with a seed of its own a level and row: [DEPTH, nodes]."""
+    seeds = _mixed(_mixed(np.arange(level * DEPTH, (level + 1) * DEPTH, dtype=np.uint64)))
+    h = _mixed(np.arange(1 << (BITS - level), dtype=np.uint64)[None, :] ^ seeds[:, None])
+    col = (h >> np.uint64(32)) % np.uint64(WIDTH)
+    sign = 1 - 2 * ((h >> np.uint64(7)) & np.uint64(1)).astype(np.int8)
+    return (OFFSETS[level] + np.arange(DEPTH)[:, None] * WIDTH + col.astype(np.int64)).astype(np.int32), sign
 
 
 def _slots(level: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Counter and sign of nodes in each row of a level's count-sketch: [DEPTH, n]."""
-    x = nodes[None, :].astype(np.int64)
-    a, b, c, d = (t[level][:, None] for t in (_A, _B, _C, _D))
-    col = ((a * x + b) % _PRIME) % WIDTH
-    sign = 1 - 2 * ((((c * x + d) % _PRIME) >> 7) & 1)
-    return OFFSETS[level] + np.arange(DEPTH)[:, None] * WIDTH + col, sign
+    at, sign = _hashes(level)
+    return at[:, nodes], sign[:, nodes].astype(np.int64)
 
 
 def spread(codes: np.ndarray, counts: np.ndarray, into: np.ndarray | None = None) -> np.ndarray:
@@ -102,16 +122,36 @@ def node_counts(cells: np.ndarray, level: int, nodes: np.ndarray) -> np.ndarray:
     return np.median(cells[at] * sign, axis=0)
 
 
-def invert(cells: np.ndarray, n: int, probs: np.ndarray) -> np.ndarray:
-    """Values at the given probabilities by descending the levels."""
+def _descend(cells: np.ndarray, n: int, probs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes at the given probabilities, and the count of the finest exact node that each lies in."""
     rank = np.clip(np.ceil(np.asarray(probs) * n), 1, n)
-    node = np.zeros(len(rank), dtype=np.int64)
+    node, within = np.zeros(len(rank), dtype=np.int64), np.full(len(rank), n)
     for lv in range(BITS - 1, -1, -1):
         left = np.maximum(node_counts(cells, lv, node * 2), 0)
         right = rank > left
         rank = np.where(right, rank - left, rank)
         node = node * 2 + right
-    return decode(node)
+        if LEVELS[lv][1]:
+            within = node_counts(cells, lv, node)
+    return node, within
+
+
+def invert(cells: np.ndarray, n: int, probs: np.ndarray) -> np.ndarray:
+    """Values at the given probabilities by descending the levels."""
+    return decode(_descend(cells, n, probs)[0])
+
+
+@cache
+def _phantoms() -> tuple[np.ndarray, np.ndarray]:
+    h = _mixed(np.arange(DEPTH * PHANTOMS, dtype=np.uint64) + np.uint64(1 << 40)).reshape(DEPTH, PHANTOMS)
+    return (np.arange(DEPTH)[:, None] * WIDTH + ((h >> np.uint64(32)) % np.uint64(WIDTH)).astype(np.int64)), 1 - 2 * ((h >> np.uint64(7)) & np.uint64(1)).astype(np.int64)
+
+
+def rank_error(cells: np.ndarray, n: int, probs: np.ndarray) -> float:
+    """Bound on the rank error at any of the probabilities, as a share of n."""
+    at, sign = _phantoms()
+    noise = [np.abs(np.median(cells[OFFSETS[lv] + at] * sign, axis=0)).max() for lv, exact in LEVELS if not exact]
+    return float(min(SPREAD * np.square(noise).sum() ** 0.5, _descend(cells, n, probs)[1].max()) / n)
 
 
 def invert_sparse(codes: np.ndarray, counts: np.ndarray, n: int, probs: np.ndarray) -> np.ndarray:
@@ -232,7 +272,10 @@ def build_sketches(df: DataFrame, keys: list[str], value: Column, weight: Column
                 names.append([words[j] for j in rest % m])
                 rest //= m
             for key, a, b in zip(zip(*reversed(names)), starts, ends):
-                held.setdefault(key, Sketch()).add(codes[a:b], counts[a:b])
+                sketch = held.setdefault(key, Sketch())
+                sparse = sketch.cells is None
+                sketch.add(codes[a:b], counts[a:b])
+                buffered += OFFSETS[-1] if sparse and sketch.cells is not None else 0
             buffered += len(both)
             if buffered > FLUSH_ENTRIES:
                 yield _emit(list(held), list(held.values()), schema, part)
@@ -299,7 +342,7 @@ def subtract(sketches: DataFrame) -> DataFrame:
 def percentiles(sketches: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
     """(keys, n, one column a probability, rank_error): values read from the sketches of groups with n > 0.
 
-    rank_error is the estimated bound on the rank error as a share of n: from the sketch's own second moments, 0 if exact.
+    rank_error is the bound on the rank error as a share of n: from the sketch's own counters, 0 if exact.
     """
     p = np.array(list(probs.values()))
     names = list(probs)
@@ -317,8 +360,7 @@ def percentiles(sketches: DataFrame, keys: list[str], probs: dict[str, float]) -
                 dense = b.column(k + 3)[i]
                 if dense.is_valid:
                     cells = np.frombuffer(zlib.decompress(dense.as_py()), dtype=np.int64)
-                    var = sum(np.median((cells[OFFSETS[lv] : OFFSETS[lv + 1]].reshape(DEPTH, WIDTH).astype(np.float64) ** 2).sum(axis=1)) / WIDTH for lv, exact in LEVELS if not exact)
-                    rows.append([n, *invert(cells, n, p), 3 * var**0.5 / n])
+                    rows.append([n, *invert(cells, n, p), rank_error(cells, n, p)])
                 else:
                     rows.append([n, *invert_sparse(b.column(k + 1)[i].values.to_numpy(), b.column(k + 2)[i].values.to_numpy(), n, p), 0.0])
                 keep.append(i)
@@ -328,3 +370,26 @@ def percentiles(sketches: DataFrame, keys: list[str], probs: dict[str, float]) -
                 yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
     return sketches.select(*keys, "n", "codes", "counts", "dense").mapInArrow(read, f"{_kinds(sketches, keys)}, n long, " + ", ".join(f"`{x}` double" for x in names) + ", rank_error double")
+
+
+def rank_check(df: DataFrame, keys: list[str], value: Column, found: DataFrame, probs: dict[str, float]) -> DataFrame:
+    """(keys, n, within): whether the true ranks of all values of ``found`` keep its rank_error, by counting the rows themselves.
+
+    A value stands for its code's range, so the rows below and up to it are counted with a relative slack of 2**-MANTISSA.
+    """
+    v = value.cast("double")
+    rows = df.select(*[F.col(k).alias(f"_k_{k}") for k in keys], v.alias("_v")).where(v.isNotNull() & ~F.isnan(v) & (F.abs(v - MARKER) > TOLERANCE))
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(f"_k_{k}").eqNullSafe(F.col(k))
+    slack = lambda p: F.when(F.abs(F.col(p)) == float("inf"), F.lit(0.0)).otherwise(F.abs(F.col(p)) * 2.0**-MANTISSA + 2.0**-127)
+    top = 2.0**128 * (1 - 2.0**-MANTISSA)
+    low = lambda p: F.when(F.col(p) == float("inf"), F.lit(top)).otherwise(F.col(p) - slack(p))
+    high = lambda p: F.when(F.col(p) == float("-inf"), F.lit(-top)).otherwise(F.col(p) + slack(p))
+    met = rows.join(found, same).groupBy(*keys, "n", "rank_error").agg(F.count("*").alias("_n"), *[F.count_if(F.col("_v") < low(p)).alias(f"_b_{p}") for p in probs], *[F.count_if(F.col("_v") <= high(p)).alias(f"_u_{p}") for p in probs])
+    ok = F.col("n") == F.col("_n")
+    for p, q in probs.items():
+        rank = F.greatest(F.ceil(F.lit(q) * F.col("n")), F.lit(1))
+        room = F.col("rank_error") * F.col("n")
+        ok &= (F.col(f"_b_{p}") < rank + room) & (F.col(f"_u_{p}") >= rank - room)
+    return met.select(*keys, "n", ok.alias("within"))

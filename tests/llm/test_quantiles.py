@@ -17,7 +17,7 @@ def test_codes_keep_the_order_and_the_value(values):
     v = np.sort(np.array(values))
     c = q.encode(v)
     assert (np.diff(c) >= 0).all() and c.min() >= 0 and c.max() < 1 << q.BITS
-    inside = (np.abs(v) > 2.0**-31) & (np.abs(v) < 2.0**30)
+    inside = (np.abs(v) > 2.0**-127) & (np.abs(v) < 2.0**126)
     assert np.allclose(q.decode(c)[inside], v[inside], rtol=2.0 ** -(q.MANTISSA + 1))
 
 
@@ -66,3 +66,37 @@ def test_extra_columns_may_clash(spark):
     df = spark.createDataFrame([(1, 2.0, 9, "x")], "codes int, value double, n int, dense string")
     r = q.percentiles(q.build_sketches(df.select(F.col("codes").alias("key"), "value"), ["key"], F.col("value")), ["key"], PROBS).first()
     assert r["p50"] == pytest.approx(2.0, rel=1e-3)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_true_ranks_keep_the_stated_error(seed):
+    """Masses at v, 4 v, 16 v (nodes a power of two apart) and heavy-tailed weights: the worst cases of a weak hash."""
+    r = np.random.default_rng(seed)
+    base = np.exp(r.normal(0, r.uniform(0.1, 5), int(r.integers(40, 900))))
+    v = np.concatenate([base * 4.0**i for i in range(3)])
+    codes, at = np.unique(q.encode(v), return_inverse=True)
+    counts = np.bincount(at, weights=np.minimum(np.ceil(r.pareto(r.uniform(0.3, 2), len(v))) + 1, 20_000)).astype(np.int64)
+    n, p = int(counts.sum()), np.array([0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99])
+    cells = q.spread(codes, counts)
+    node = q._descend(cells, n, p)[0]
+    below = np.concatenate([[0], np.cumsum(counts)])
+    rank = np.clip(np.ceil(p * n), 1, n)
+    off = np.maximum(below[np.searchsorted(codes, node)] + 1 - rank, rank - below[np.searchsorted(codes, node, side="right")])
+    assert off.max() <= q.rank_error(cells, n, p) * n
+
+
+def test_nodes_a_width_apart_share_few_rows():
+    at, sign = q._slots(0, np.arange(1 << q.BITS))
+    for apart in (q.WIDTH, 1024, 4096):
+        same = (at[:, :-apart] == at[:, apart:]).sum(axis=0)
+        assert same.mean() < 2 * q.DEPTH / q.WIDTH and same.max() < q.DEPTH
+        assert abs((sign[:, :-apart] == sign[:, apart:]).mean() - 0.5) < 0.01
+    assert sum(not exact for _, exact in q.LEVELS) > q.BITS / 2
+
+
+def test_rank_check_counts_the_rows(spark):
+    df = _rows(spark)
+    found = q.percentiles(q.build_sketches(df, ["g"], F.col("v")), ["g"], PROBS)
+    assert {r["within"] for r in q.rank_check(df, ["g"], F.col("v"), found, PROBS).collect()} == {True}
+    wrong = found.withColumn("p50", F.col("p50") * 3).where("g = 'hot'")
+    assert [r["within"] for r in q.rank_check(df, ["g"], F.col("v"), wrong, PROBS).collect()] == [False]
