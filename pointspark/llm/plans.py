@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointspark.llm import cutoff, neighbours, packing, quantiles, spam, splits, tokenize
-from pointspark.session import table
+from pointspark.session import cut, table
 
 OUTLIER_AT = 0.05  # metres of C2C distance from which a point bears the outlier label
 
@@ -147,7 +147,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_curves(spark: SparkSession, d: str) -> DataFrame:
     """The rank-frequency fit of every page."""
-    return spam.curves(spam.segments(table(spark, d, "documents"), "doc_id", "text", "lang")).withColumnRenamed("doc", "doc_id")
+    return spam.curves(cut(spam.segments(table(spark, d, "documents"), "doc_id", "text"))).withColumnRenamed("doc", "doc_id")
 
 
 #: A Parquet file's statistics leave NaN out, by which NOT isnan() may be folded to true; isfinite() or isinf() can't be.

@@ -1,18 +1,25 @@
 """Keyword-stuffed, link-list and product-tag pages.
 
 1. Rank-frequency curve of every page: terms are ranked by frequency in a window; log frequency is regressed on log rank. Slope,
-   residual and head share (of the two commonest terms), and the page's divergence from the term distribution of its
-   language, are compared with the robust centre (median, MAD) of pages of the same language and of similar length.
-2. Pages with an extreme figure, or mostly made of links or tags, are the first suspects. Terms that are typical of
-   suspects get a positive log-odds weight against all other pages, terms typical of prose and code a negative one.
-3. A line or sentence is stuffing if its terms' weights sum above zero. A page is flagged if stuffing and (three or more)
-   links or tags cover more than half of its characters. Flags replace the suspects and steps 2 and 3 are repeated ROUNDS times.
-4. Terms on fewer than MIN_PAGES pages have no weight. A page with an extreme figure, made of words rather than of signs and
-   numbers, is flagged too if repeats of such terms are more than half of its terms and two terms make up HEAD of it.
+   residual, head share (of the two commonest terms), and the page's divergence (Kullback-Leibler) and surprise (cross entropy)
+   against the term distribution of prose in its language. A link, and a tag beside others, is a term too. The language
+   is recognised from the text: its script and, where languages share one, its function words; a page is prose if these
+   have their usual share.
+2. Candidates are the pages on which one of the figures is CANDIDATE robust deviations (median, MAD) off that of prose of the same language
+   and of similar length, on the side of stuffing. No other page is found.
+3. A candidate is found if more than half of its characters are links, tags (three or more) or stuffed lines. A line is stuffed
+   if its terms' log-odds, between the most extreme candidates (against all pages of their language and length) and all
+   other pages, sum above zero; the found pages replace the most extreme ones and this is repeated ROUNDS times. These weights are
+   the one input beside the curves.
+4. Terms on fewer than MIN_PAGES pages have no weight. A candidate with a large head, made of words rather than of signs and
+   numbers, is found too if repeats of such terms are more than half of its terms.
 
-Words that mix scripts are spelled with the Latin letters that the others look like before they are counted.
+Words that mix scripts are spelled with the Latin letters that the others look like before they are counted. Texts are cut into
+terms once, by an Arrow kernel: it is half as dear as the same patterns as nested expressions, and what it hands on
+are terms with their counts, so that nothing downstream moves single tokens.
 
-All statistics cover all documents; nothing is trained on given labels. The only fixed lists are those of link syntax.
+All statistics cover all documents; nothing is trained on given labels. The language model keeps the LANGUAGE_TERMS commonest terms of each
+language and counts all others as one class. Fixed lists are those of link syntax and function words.
 
 Defined cases: NULL, empty and blank texts are never flagged; pages below MIN_TERMS terms (a link counts three) aren't
 flagged; a single link never makes a page a link list; repeated rows of an id count once; very long texts are
@@ -21,6 +28,12 @@ handled whole; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -46,118 +59,240 @@ LOOKALIKES = ("аеорсухіјѕԁһкмтвнԛԝґαβεζηικμνορτ
 MIXED = r"[a-z][\u0370-\u03ff\u0400-\u052f]|[\u0370-\u03ff\u0400-\u052f][a-z]"
 INVISIBLE = "[\u0001\u0002​‌‍⁠﻿­]"
 MARK, END = "\u0001", "\u0002"
-#: The term weights are broadcast up to so many rows, else joined by a shuffle.
+#: Where none of these is found there is no link either; searching them first spares most texts the dear pattern.
+LINK_HINT = rf"(?i)h(?:tt|xx)ps?://|w ?w ?w ?\.|[\[({{] ?(?:\.|dot) ?[\])}}]|\.(?:{HOST_ENDS})"
+#: Function words of languages that share a script, and the least share of terms that they have in prose.
+WORDS = {
+    "en": ("the of and to in is it that for you with on are", 0.15),
+    "de": ("der die das und ist nicht mit ein ich zu den auf", 0.15),
+    "fr": ("le les des est une dans que pour pas du et sur", 0.15),
+    "es": ("el los las una por con para del que es y no", 0.15),
+    "ru": ("в и не на что с по это как у из за от к так же но меня было", 0.08),
+    "ar": ("في من على أن إلى لا هل ما هو عن مع ثم هذا التي كان", 0.08),
+}
+#: The same for scripts without spaces, by characters.
+SIGNS = {"zh": ("的是了不在有我这吗就过那", 0.05), "ja": ("のにはをたてがでともかすし", 0.15)}
+SCRIPTS = {"ja": r"[\p{Hiragana}\p{Katakana}]", "zh": r"\p{Han}", "ru": r"\p{Cyrillic}", "ar": r"\p{Arabic}", "latin": r"\p{Latin}"}
+LATIN = ("en", "de", "fr", "es")
+#: The term weights, and a language's terms, are broadcast up to so many rows, else joined by a shuffle.
 BROADCAST_TERMS = 500_000
-MIN_TERMS, MIN_LINKS, MIN_CURVE = 5, 3, 12
-MAX_WEIGHT, MIN_PAGES, SHARE, EXTREME, ROUNDS = 4.0, 3, 0.5, 4.0, 3
+LANGUAGE_TERMS = 5_000
+MIN_TERMS, MIN_LINKS, MIN_CURVE = 5, 3, 1
+MAX_WEIGHT, MIN_PAGES, SHARE, EXTREME, CANDIDATE, ROUNDS = 4.0, 3, 0.5, 4.0, 3.0, 3
 #: A page of rare terms: least share of its two commonest terms, least share of letters in its characters, least repeats of a term.
 HEAD, LETTERS, REPEATS = 0.25, 0.85, 3
+TEXTS_AT_ONCE = 1_000
+PAGE = "lang string, evidence double, links int, link_chars int, tags int, tag_chars int, chars int, n int, letters int, terms array<string>, counts array<int>, segs array<struct<chars:int,tag_chars:int,at:array<int>,counts:array<int>>>"
 
 
-def _visible(c: Column) -> Column:
-    """Characters without white space and link marks."""
-    return F.length(F.regexp_replace(c, rf"[\s{MARK}]+", ""))
+class Tokenizer:
+    """Cuts one text into links, lines or sentences, and terms."""
 
+    def __init__(self) -> None:
+        c = regex.compile
+        self.invisible, self.hint, self.link, self.tag, self.counted = c(INVISIBLE), c(LINK_HINT), c(LINK), c(TAG), c(COUNTED_TAG)
+        self.markup, self.cuts, self.blob, self.camel = c(r"</?[a-zA-Z][^>]{0,80}>"), c(r"[\r\n]+|(?<=[.!?])\s+|(?<=[。！？؟])\s*"), c(BLOB), c(r"(?<=\p{Ll})(?=\p{Lu})|_")
+        self.digits, self.word, self.mixed = c(r"\p{N}+"), c(r"[\p{L}\p{M}0]+"), c(MIXED)
+        self.scripts = {k: c(v) for k, v in SCRIPTS.items()}
+        self.words = {k: frozenset(v.split()) for k, (v, _) in WORDS.items()}
+        self.fold = str.maketrans(*LOOKALIKES)
 
-def _terms(c: Column) -> Column:
-    """Lower-case words; camel case and underscores separate, numbers are all alike."""
-    apart = F.regexp_replace(F.regexp_replace(c, BLOB, " "), r"(?<=\p{Ll})(?=\p{Lu})|_", " ")
-    text = F.lower(F.regexp_replace(apart, r"\p{N}+", "0"))
-    terms = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{M}0]+"), 0)
-    return F.when(text.rlike(MIXED), F.transform(terms, lambda t: F.when(t.rlike(MIXED), F.translate(t, *LOOKALIKES)).otherwise(t))).otherwise(terms)
+    def terms(self, s: str) -> list[str]:
+        """Lower-case words; camel case and underscores separate, numbers are all alike."""
+        if len(s) >= 48:
+            s = self.blob.sub(" ", s)
+        low = s.lower()
+        if s != low or "_" in s:
+            low = self.camel.sub(" ", s).lower()
+        found = self.word.findall(self.digits.sub("0", low))
+        if not low.isascii() and self.mixed.search(low):
+            found = [w.translate(self.fold) if self.mixed.search(w) else w for w in found]
+        return found
 
+    def language(self, counts: Counter, text: str) -> tuple[str, float]:
+        """(language, share of its function words); the evidence is relative to the least share in prose."""
+        n = sum(counts.values()) or 1
+        script = "latin"
+        if not text.isascii():
+            long = {k: len(p.findall(text)) for k, p in self.scripts.items()}
+            if long["ja"] > 0.1 * (long["ja"] + long["zh"]):
+                long["ja"], long["zh"] = long["ja"] + long["zh"], 0
+            script = max(long, key=long.get) if any(long.values()) else "other"
+        if script in SIGNS:
+            signs, least = SIGNS[script]
+            return script, sum(text.count(ch) for ch in signs) / long[script] / least
+        shares = {k: sum(counts[w] for w in self.words[k]) / n / WORDS[k][1] for k in (LATIN if script == "latin" else (script,)) if k in WORDS}
+        best = max(shares, key=shares.get, default=script)  # without evidence a Latin text is compared with the first language
+        return best, shares.get(best, 1.0)
 
-def segments(docs: DataFrame, key: str, text: str, lang: str) -> DataFrame:
-    """One row a page: language, visible characters, links, tags and its lines or sentences with their terms."""
-    rows = docs.where(F.trim(text) != "").groupBy(F.col(key).alias("doc")).agg(F.min(F.struct(F.col(text).alias("t"), F.lower(F.substring(F.coalesce(F.col(lang), F.lit("un")), 1, 2)).alias("lang"))).alias("p")).select("doc", "p.*")
-    # links are searched once and enclosed in marks, by which they are counted and taken out
-    rows = rows.withColumn("t", F.regexp_replace(F.regexp_replace("t", INVISIBLE, ""), LINK, f"{MARK}$0{END}"))
-    links, tags = F.regexp_extract_all("t", F.lit(f"{MARK}([^{END}]*)"), 1), F.regexp_extract_all("t", F.lit(TAG), 0)
-    long = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + F.length(x))
-    rows = rows.select("doc", "lang", "t", F.size(links).alias("links"), long(links).alias("link_chars"), F.size(tags).alias("tags"), long(tags).alias("tag_chars"))
-    plain = F.regexp_replace(F.regexp_replace("t", f"{MARK}[^{END}]*{END}", f" {MARK} "), r"</?[a-zA-Z][^>]{0,80}>", " ")
-    parts = F.filter(F.split(plain, r"[\r\n]+|(?<=[.!?])\s+|(?<=[。！？؟])\s*"), lambda s: F.trim(s) != "")
-    tagged = lambda s: F.when(s.contains("#"), long(F.regexp_extract_all(s, F.lit(COUNTED_TAG), 0))).otherwise(0)
-    segs = F.transform(parts, lambda s: F.struct(_visible(s).alias("chars"), _terms(s).alias("terms"), F.size(F.split(s, MARK)).alias("marks"), tagged(s).alias("tag_chars")))
-    rows = rows.select("doc", "lang", "links", "link_chars", "tags", "tag_chars", segs.alias("segs"))
-    return rows.withColumn("chars", F.aggregate("segs", F.lit(0), lambda s, x: s + x["chars"]) + F.col("link_chars"))
+    def page(self, text: str) -> tuple:
+        t = self.invisible.sub("", text)
+        links = self.link.findall(t) if self.hint.search(t) else []
+        link_chars = sum(map(len, links))
+        if links:
+            t = self.link.sub(f" {MARK} ", t)
+        tags = self.tag.findall(t) if "#" in t else []
+        plain = self.markup.sub(" ", t) if "<" in t else t
+        segs, whole, n, chars = [], Counter(), 0, link_chars
+        for s in self.cuts.split(plain):
+            seen = len("".join(s.split())) - s.count(MARK)
+            if not seen and MARK not in s:
+                continue
+            found = Counter(self.terms(s))
+            tagged = sum(map(len, self.counted.findall(s))) if "#" in s else 0
+            segs.append((seen, tagged, found))
+            whole.update(found)
+            chars += seen
+        n = sum(whole.values())
+        letters = sum(len(w) * k for w, k in whole.items() if w != "0")
+        lang, evidence = self.language(whole, plain)
+        at = {w: i for i, w in enumerate(whole)}
+        return lang, evidence, len(links), link_chars, len(tags), sum(map(len, tags)), chars, n, letters, list(whole), list(whole.values()), [(c, g, [at[w] for w in f], list(f.values())) for c, g, f in segs]
 
 
-def curves(pages: DataFrame) -> DataFrame:
-    """(doc, lang, terms, vocabulary, slope, residual, head, divergence): the rank-frequency fit of every page."""
-    words = pages.select("doc", "lang", F.explode(F.flatten("segs.terms")).alias("term")).where(F.col("term") != "0")
-    marks = pages.where(F.col("links") > 0).select("doc", "lang", F.lit(MARK).alias("term"), F.col("links").cast("long").alias("f"))
-    freq = words.groupBy("doc", "lang", "term").agg(F.count("*").alias("f")).union(marks)
-    tongue = freq.groupBy("lang", "term").agg(F.count("*").alias("df"))
-    sizes = pages.groupBy("lang").agg(F.count("*").alias("pages"))
-    order = W.partitionBy("doc").orderBy(F.desc("f"), "term")
-    ranked = freq.join(tongue, ["lang", "term"]).join(sizes, "lang").select("doc", "lang", "f", F.row_number().over(order).alias("r"), (-F.log((F.col("df") + 0.5) / (F.col("pages") + 1))).alias("rare"))
-    x, y = F.log("r"), F.log("f")
-    fit = ranked.groupBy("doc", "lang").agg(
+def _lists(values: list[list], kind: pa.DataType) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, pa.array([x for v in values for x in v], type=kind))
+
+
+def segments(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """One row a page: language, visible characters, links, tags, terms with counts, and its lines or sentences with theirs."""
+    rows = docs.where(F.trim(text) != "").groupBy(F.col(key).alias("doc")).agg(F.min(text).alias("t"))
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = Tokenizer()
+        for whole in batches:
+            for start in range(0, whole.num_rows, TEXTS_AT_ONCE):
+                b = whole.slice(start, TEXTS_AT_ONCE)
+                pages = [tokenizer.page(t) for t in b.column(1).to_pylist()]
+                cols = list(zip(*pages))
+                flat = [s for segs in cols[11] for s in segs]
+                inner = pa.StructArray.from_arrays([pa.array([s[0] for s in flat], pa.int32()), pa.array([s[1] for s in flat], pa.int32()), _lists([s[2] for s in flat], pa.int32()), _lists([s[3] for s in flat], pa.int32())], names=["chars", "tag_chars", "at", "counts"])
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in cols[11]])]).astype(np.int32)
+                kinds = [pa.string(), pa.float64(), *[pa.int32()] * 7]
+                arrays = [b.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds)], _lists(cols[9], pa.string()), _lists(cols[10], pa.int32()), pa.ListArray.from_arrays(ends, inner)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc", "lang", "evidence", "links", "link_chars", "tags", "tag_chars", "chars", "n", "letters", "terms", "counts", "segs"])
+
+    return rows.mapInArrow(cut_up, f"doc {docs.schema[key].dataType.simpleString()}, {PAGE}")
+
+
+def page_terms(pages: DataFrame) -> DataFrame:
+    """(doc, lang, evidence, term, f): a page's terms without numbers, its links and, beyond two, its tags."""
+    marks = F.array(F.struct(F.lit(MARK).alias("term"), F.col("links").alias("f")), F.struct(F.lit(END).alias("term"), F.when(F.col("tags") >= MIN_LINKS, F.col("tags")).otherwise(0).alias("f")))
+    words = F.transform(F.arrays_zip("terms", "counts"), lambda e: F.struct(e["terms"].alias("term"), e["counts"].alias("f")))
+    return pages.select("doc", "lang", "evidence", F.explode(F.concat(words, marks)).alias("e")).select("doc", "lang", "evidence", "e.*").where((F.col("f") > 0) & (F.col("term") != "0"))
+
+
+def language_model(terms: DataFrame) -> DataFrame:
+    """(lang, term, logp): the commonest terms of each language's prose; term NULL stands for any other."""
+    freq = terms.where(F.col("evidence") >= 1).groupBy("lang", "term").agg(F.sum("f").alias("f"))
+    freq = cut(freq)
+    total = freq.groupBy("lang").agg(F.sum("f").alias("all"), F.count("*").alias("kinds"))
+    top = freq.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("f"), "term"))).where(F.col("r") <= LANGUAGE_TERMS).drop("r")
+    known = top.join(total, "lang").select("lang", "term", F.log(F.col("f") / (F.col("all") + 1)).alias("logp"))
+    kept = top.groupBy("lang").agg(F.sum("f").alias("kept"), F.count("*").alias("top"))
+    rest = F.greatest(F.col("all") - F.col("kept"), F.lit(1)) / ((F.col("all") + 1) * F.greatest(F.col("kinds") - F.col("top"), F.lit(1)))
+    return known.union(total.join(kept, "lang").select("lang", F.lit(None).cast("string"), F.log(rest)))
+
+
+def fit_curves(ranked_terms: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, terms, vocabulary, slope, residual, head, entropy) of the pages of (doc, f), one row a term; ``keys`` hold doc."""
+    order = W.partitionBy("doc").orderBy(F.desc("f"))
+    rows = ranked_terms.withColumn("r", F.row_number().over(order))
+    x, y, f = F.log("r"), F.log("f"), F.col("f")
+    sums = [F.sum(c).alias(c) for c in ranked_terms.columns if c not in (*keys, "f")]
+    fit = rows.groupBy(*keys).agg(
         F.sum("f").alias("terms"), F.count("*").alias("vocabulary"), F.regr_slope(y, x).alias("slope"), F.regr_syy(y, x).alias("syy"), F.regr_sxy(y, x).alias("sxy"),
-        F.sum(F.when(F.col("r") <= 2, F.col("f"))).alias("top"), F.sum(F.col("f") * F.col("rare")).alias("rare"),
+        F.sum(F.when(F.col("r") <= 2, f)).alias("top"), F.sum(f * y).alias("fy"), *sums,
     )
     residual = F.sqrt(F.greatest(F.col("syy") - F.coalesce(F.col("slope") * F.col("sxy"), F.lit(0.0)), F.lit(0.0)) / F.col("vocabulary"))
-    return fit.select("doc", "lang", "terms", "vocabulary", F.coalesce("slope", F.lit(0.0)).alias("slope"), residual.alias("residual"), (F.col("top") / F.col("terms")).alias("head"), (F.col("rare") / F.col("terms")).alias("divergence"))
-
-
-def extremes(fits: DataFrame) -> DataFrame:
-    """(doc, score): the largest robust deviation from pages of the same language and of similar length."""
-    names = ["slope", "residual", "head", "divergence"]
-    fits = fits.where(F.col("terms") >= MIN_CURVE).withColumn("size", F.floor(F.log2("terms")))
-    peers = ["lang", "size"]
-    middle = fits.groupBy(*peers).agg(*[F.percentile_approx(c, 0.5, 1000).alias(f"{c}_mid") for c in names])
-    off = fits.join(middle, peers).select("doc", *peers, *[(F.col(c) - F.col(f"{c}_mid")).alias(c) for c in names])
-    spread = off.groupBy(*peers).agg(*[F.percentile_approx(F.abs(c), 0.5, 1000).alias(f"{c}_mad") for c in names])
-    z = [F.abs(c) / (1.4826 * F.col(f"{c}_mad") + 0.02) for c in names]
-    return off.join(spread, peers).select("doc", F.greatest(*z).alias("score"))
-
-
-def term_weights(pages: DataFrame, suspects: DataFrame) -> DataFrame:
-    """(term, w): log-odds of a term's pages among suspects against all others."""
-    bears = pages.select("doc", F.explode(F.array_distinct(F.flatten("segs.terms"))).alias("term")).join(suspects.select("doc", F.lit(1).alias("s")), "doc", "left")
-    counts = bears.groupBy("term").agg(F.count("s").alias("ds"), F.count("*").alias("all")).where(F.col("all") >= MIN_PAGES).withColumn("dr", F.col("all") - F.col("ds"))
-    totals = pages.join(suspects.select("doc", F.lit(1).alias("s")), "doc", "left").agg(F.count("s").alias("ns"), (F.count("*") - F.count("s")).alias("nr"))
-    odds = F.log((F.col("ds") + 0.5) / (F.col("ns") + 1)) - F.log((F.col("dr") + 0.5) / (F.col("nr") + 1))
+    n = F.col("terms")
+    return fit.select(*keys, "terms", "vocabulary", F.coalesce("slope", F.lit(0.0)).alias("slope"), residual.alias("residual"), (F.col("top") / n).alias("head"), (F.log(n) - F.col("fy") / n).alias("entropy"), *[c for c in ranked_terms.columns if c not in (*keys, "f")])
+
+
+def curves(pages: DataFrame) -> DataFrame:
+    """(doc, lang, evidence, terms, vocabulary, slope, residual, head, divergence, surprise): the rank-frequency fit of every page."""
+    terms = page_terms(pages)
+    model = cut(language_model(terms))  # at most LANGUAGE_TERMS rows a language of the fixed lists, and one for each
+    rest = model.where(F.col("term").isNull()).select("lang", F.col("logp").alias("rest"))
+    known = terms.join(F.broadcast(model.where(F.col("term").isNotNull())), ["lang", "term"], "left").join(F.broadcast(rest), "lang", "left")
+    # a language without prose has no model: its pages have no divergence
+    rows = known.select("doc", "lang", "evidence", "f", (F.col("f") * F.coalesce("logp", "rest", F.lit(0.0))).alias("logp"))
+    fit = fit_curves(rows, ["doc", "lang", "evidence"])
+    surprise = -F.col("logp") / F.col("terms")
+    return fit.select("doc", "lang", "evidence", "terms", "vocabulary", "slope", "residual", "head", (surprise - F.col("entropy")).alias("divergence"), surprise.alias("surprise"))
+
+
+#: The side of each figure that stuffing is on.
+SIDES = {"slope": -1, "residual": 1, "head": 1, "divergence": 1, "surprise": 1}
+
+
+def extremes(fits: DataFrame, peers: DataFrame, sided: bool) -> DataFrame:
+    """(doc, score): the largest robust deviation from the peers of the same language and of similar length; infinite without peers."""
+    size = F.floor(F.log2("terms"))
+    by = ["lang", "size"]
+    fits, peers = fits.withColumn("size", size), peers.withColumn("size", size)
+    middle = F.broadcast(peers.groupBy(*by).agg(*[F.percentile_approx(c, 0.5, 1000).alias(f"{c}_mid") for c in SIDES]))  # languages times powers of two
+    spread = peers.join(middle, by).groupBy(*by).agg(*[F.percentile_approx(F.abs(F.col(c) - F.col(f"{c}_mid")), 0.5, 1000).alias(f"{c}_mad") for c in SIDES])
+    z = [(F.col(c) - F.col(f"{c}_mid")) / (1.4826 * F.col(f"{c}_mad") + 0.02) for c in SIDES]
+    z = [x * side if sided else F.abs(x) for x, side in zip(z, SIDES.values())]
+    return fits.join(middle, by, "left").join(F.broadcast(spread), by, "left").select("doc", F.coalesce(F.greatest(*z), F.lit(float("inf"))).alias("score"))
+
+
+def candidate_pages(fits: DataFrame) -> DataFrame:
+    """(doc, seed): pages whose curve is not that of prose; ``seed``: extreme even among all pages of its language and length."""
+    odd = extremes(fits, fits.where(F.col("evidence") >= 1), True).where(F.col("score") > CANDIDATE).select("doc")
+    seed = extremes(fits, fits, False).select("doc", (F.col("score") > EXTREME).alias("seed"))
+    return odd.join(seed, "doc")
+
+
+def _weights(bears: DataFrame, df: DataFrame, suspects: DataFrame, pages: int) -> DataFrame:
+    """(term, w): log-odds of a term's pages among suspects against all others; bears: (doc, term) of candidates."""
+    ds = bears.join(suspects.select("doc"), "doc", "left_semi").groupBy("term").agg(F.count("*").alias("ds"))
+    counts = df.where(F.col("df") >= MIN_PAGES).join(ds, "term", "left").select("term", F.coalesce("ds", F.lit(0)).alias("ds"), (F.col("df") - F.coalesce("ds", F.lit(0))).alias("dr"))
+    ns = suspects.count()
+    odds = F.log((F.col("ds") + 0.5) / (ns + 1)) - F.log((F.col("dr") + 0.5) / (pages - ns + 1))
     w = F.when((F.col("ds") < MIN_PAGES) | (F.col("ds") < F.col("dr")), F.least(odds, F.lit(0.0))).otherwise(odds)
-    out = counts.crossJoin(F.broadcast(totals)).select("term", F.least(F.greatest(w, F.lit(-MAX_WEIGHT)), F.lit(MAX_WEIGHT)).alias("w"))  # totals: one row
-    return cut(out.where(F.col("w") != 0))
+    return cut(counts.select("term", F.least(F.greatest(w, F.lit(-MAX_WEIGHT)), F.lit(MAX_WEIGHT)).alias("w")).where(F.col("w") != 0))
 
 
-def stuffed_share(pages: DataFrame, weights: DataFrame) -> DataFrame:
-    """(doc, share): the part of each page's characters in stuffed segments and links."""
-    flat = pages.select("doc", F.posexplode("segs").alias("seg", "s")).select("doc", "seg", "s.chars", "s.tag_chars", F.explode("s.terms").alias("term"))
+def stuffed_share(pages: DataFrame, lines: DataFrame, weights: DataFrame) -> DataFrame:
+    """(doc, share, n): the part of each candidate's characters in stuffed lines, links and tags; lines: (doc, seg, chars, tag_chars, term, f)."""
     few = weights.count() <= BROADCAST_TERMS
-    # tags in stuffed segments are counted with these
-    stuffed = flat.join(F.broadcast(weights) if few else weights, "term").groupBy("doc", "seg", "chars", "tag_chars").agg(F.sum("w").alias("w")).where(F.col("w") > 0).groupBy("doc").agg(F.sum("chars").alias("stuffed"), F.sum("tag_chars").alias("within"))
+    by = ["doc", "seg", "chars", "tag_chars"]
+    # tags in stuffed lines are counted with these
+    stuffed = lines.join(F.broadcast(weights) if few else weights, "term").groupBy(*by).agg(F.sum(F.col("f") * F.col("w")).alias("w")).where(F.col("w") > 0).groupBy("doc").agg(F.sum("chars").alias("stuffed"), F.sum("tag_chars").alias("within"))
     linked = F.when(F.col("links") >= MIN_LINKS, F.col("link_chars")).otherwise(0)
-    tag_chars = F.aggregate("segs", F.lit(0), lambda s, x: s + x["tag_chars"])
     tagged = F.when(F.col("tags") >= MIN_LINKS, F.col("counted") - F.coalesce("within", F.lit(0))).otherwise(0)
-    return pages.select("doc", "chars", "links", "link_chars", "tags", tag_chars.alias("counted"), F.size(F.flatten("segs.terms")).alias("n")).join(stuffed, "doc", "left").select(
-        "doc", ((F.coalesce("stuffed", F.lit(0)) + linked + tagged) / F.greatest("chars", F.lit(1))).alias("share"), (F.col("n") + 3 * F.col("links")).alias("n")
-    )
+    return pages.join(stuffed, "doc", "left").select("doc", ((F.coalesce("stuffed", F.lit(0)) + linked + tagged) / F.greatest("chars", F.lit(1))).alias("share"), (F.col("n") + 3 * F.col("links")).alias("n"))
 
 
-def rare_pages(pages: DataFrame, fits: DataFrame, scores: DataFrame) -> DataFrame:
-    """(doc, share): extreme pages of words, most of whose terms repeat but are on too few pages to have a weight."""
-    odd = scores.where(F.col("score") > EXTREME).join(fits.where(F.col("head") >= HEAD), "doc").select("doc")
-    terms = F.flatten("segs.terms")
-    letters = F.aggregate(terms, F.lit(0), lambda s, x: s + F.when(x == "0", 0).otherwise(F.length(x)))
-    wordy = pages.join(odd, "doc").where(letters >= LETTERS * (F.col("chars") - F.col("link_chars"))).select("doc", F.size(terms).alias("n"), F.explode(terms).alias("term"))
-    often = cut(wordy.groupBy("doc", "n", "term").agg(F.count("*").alias("f")).where((F.col("f") >= REPEATS) & (F.col("term") != "0")))
-    known = pages.select(F.explode(F.array_distinct(terms)).alias("term")).join(often.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= MIN_PAGES)
-    return often.join(known, "term", "left_anti").groupBy("doc", "n").agg(F.sum("f").alias("f")).select("doc", (F.col("f") / F.col("n")).alias("share")).where(F.col("share") > SHARE)
+def rare_pages(pages: DataFrame, bears: DataFrame, df: DataFrame) -> DataFrame:
+    """(doc, share): candidates of words, most of whose terms repeat but are on too few pages to have a weight."""
+    wordy = pages.where(F.col("seed") & (F.col("head") >= HEAD) & (F.col("letters") >= LETTERS * (F.col("chars") - F.col("link_chars")))).select("doc", "n")
+    often = bears.where((F.col("f") >= REPEATS) & (F.col("term") != "0")).join(wordy, "doc")
+    unknown = often.join(df.where(F.col("df") >= MIN_PAGES), "term", "left_anti")
+    return unknown.groupBy("doc", "n").agg(F.sum("f").alias("f")).select("doc", (F.col("f") / F.col("n")).alias("share")).where(F.col("share") > SHARE)
 
 
-def stuffed_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def stuffed_pages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, share): the flagged pages."""
-    pages = cut(segments(docs, key, text, lang))
-    shape = pages.where(((F.col("links") >= MIN_LINKS) & (F.col("link_chars") > SHARE * F.col("chars"))) | ((F.col("tags") >= MIN_LINKS) & (F.col("tag_chars") > SHARE * F.col("chars")))).select("doc")
-    fits = cut(curves(pages))
-    scores = cut(extremes(fits))
-    rare = cut(rare_pages(pages, fits, scores))
-    suspects = cut(scores.where(F.col("score") > EXTREME).select("doc").union(shape).distinct())
+    all_pages = cut(segments(docs, key, text))
+    fits = cut(curves(all_pages))
+    picked = candidate_pages(fits).join(fits.select("doc", "head"), "doc")
+    odd = cut(all_pages.join(picked, "doc"))
+    bears = odd.select("doc", F.explode(F.arrays_zip("terms", "counts")).alias("e")).select("doc", F.col("e.terms").alias("term"), F.col("e.counts").alias("f"))
+    # pages of each term that any candidate has; terms are distinct within a page's row, so nothing is counted twice
+    df = all_pages.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    df = cut(df.join(bears.select("term").distinct(), "term", "left_semi"))
+    lines = odd.select("doc", "terms", F.posexplode("segs").alias("seg", "s")).select("doc", "seg", "s.chars", "s.tag_chars", "terms", F.explode(F.arrays_zip("s.at", "s.counts")).alias("e"))
+    lines = lines.select("doc", "seg", "chars", "tag_chars", F.element_at("terms", F.col("e.at") + 1).alias("term"), F.col("e.counts").alias("f"))
+    counted = F.aggregate("segs", F.lit(0), lambda a, x: a + x["tag_chars"])
+    slim = odd.select("doc", "chars", "links", "link_chars", "tags", counted.alias("counted"), "n", "letters", "head", "seed")
+    shape = ((F.col("links") >= MIN_LINKS) & (F.col("link_chars") > SHARE * F.col("chars"))) | ((F.col("tags") >= MIN_LINKS) & (F.col("counted") > SHARE * F.col("chars")))
+    rare = cut(rare_pages(slim, bears, df))
+    suspects, pages = cut(slim.where(F.col("seed") | shape).select("doc")), all_pages.count()
     for _ in range(ROUNDS):
-        flagged = cut(stuffed_share(pages, term_weights(pages, suspects)).where((F.col("share") > SHARE) & (F.col("n") >= MIN_TERMS)).select("doc", "share").union(rare).groupBy("doc").agg(F.max("share").alias("share")))
-        suspects = flagged.select("doc")
-    return flagged.withColumnRenamed("doc", key)
+        stuffed = stuffed_share(slim, lines, _weights(bears, df, suspects, pages)).where((F.col("share") > SHARE) & (F.col("n") >= MIN_TERMS)).select("doc", "share")
+        suspects = cut(stuffed.union(rare).groupBy("doc").agg(F.max("share").alias("share")))
+    return suspects.withColumnRenamed("doc", key)

@@ -40,12 +40,14 @@ def test_pages_whose_terms_are_too_rare_for_weights(spark):
 
 def test_words_that_mix_scripts_are_folded(spark):
     df = spark.createDataFrame([(1, "drаin clеаnеr drain сыр", "en")], "doc_id long, text string, lang string")
-    assert spam.segments(df, "doc_id", "text", "lang").first()["segs"][0]["terms"] == ["drain", "cleaner", "drain", "сыр"]
+    assert spam.Tokenizer().terms("drаin clеаnеr drain сыр") == ["drain", "cleaner", "drain", "сыр"]
+    r = spam.segments(df, "doc_id", "text").first()
+    assert dict(zip(r["terms"], r["counts"])) == {"drain": 2, "cleaner": 1, "сыр": 1}
 
 
 def test_curve_of_known_frequencies(spark):
     df = spark.createDataFrame([(1, "a a a a b b c d", "en")], "doc_id long, text string, lang string")
-    r = spam.curves(spam.segments(df, "doc_id", "text", "lang")).first()
+    r = spam.curves(spam.segments(df, "doc_id", "text")).first()
     assert (r["terms"], r["vocabulary"], r["head"]) == (8, 4, 0.75) and -1.1 < r["slope"] < -0.9
 
 
@@ -54,3 +56,18 @@ def test_empty_and_prose_only(spark):
     assert spam.stuffed_pages(df).count() == 0
     one = spark.createDataFrame([(1, "Just one short answer.", None)], "doc_id long, text string, lang string")
     assert spam.stuffed_pages(one).count() == 0
+
+
+def test_language_is_recognised_from_the_text(spark):
+    texts = {"en": "The pump is in the shed and it is full of water", "de": "Die Pumpe ist nicht mit dem Kabel und der Dichtung da", "ru": "В версии 3 такого не было", "zh": "我这边是旁边那根线的问题。", "ja": "一度冷ましてから、もう一度試してください", "ar": "هل هذا في العمود"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    got = {r["doc"]: r for r in spam.segments(df, "doc_id", "text").collect()}
+    assert {k: r["lang"] for k, r in got.items()} == {k: k for k in texts} and all(r["evidence"] >= 1 for r in got.values())
+
+
+def test_only_pages_off_the_curve_of_prose_are_found(spark):
+    good, bad = _pages()
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(good + bad)], "doc_id long, text string")
+    fits = spam.curves(spam.segments(df, "doc_id", "text"))
+    odd = {r["doc"] for r in spam.candidate_pages(fits).collect()}
+    assert {r["doc_id"] for r in spam.stuffed_pages(df).collect()} <= odd and len(odd & set(range(300))) < 30
