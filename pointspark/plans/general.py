@@ -51,8 +51,8 @@ nums AS (
   UNION ALL SELECT feed_id, load_id, load_seq, 'scan_file', NULL, scan_file FROM global_pcd_converter),
 vals AS (
   SELECT feed_id, load_id, load_seq, column_name, r.lo, r.hi, r.whole, r.pattern, t,
-    CASE WHEN v IS NULL OR isnan(v) OR abs(v - r.sentinel) <= 1e-6 THEN NULL ELSE v END AS v,
-    CASE WHEN column_name = 'scan_file' THEN t IS NOT NULL AND trim(t, ' ') <> '' ELSE NOT (v IS NULL OR isnan(v) OR coalesce(abs(v - r.sentinel) <= 1e-6, false)) END AS valid
+    CASE WHEN v IS NULL OR NOT (isfinite(v) OR isinf(v)) OR abs(v - r.sentinel) <= 1e-6 THEN NULL ELSE v END AS v,
+    CASE WHEN column_name = 'scan_file' THEN t IS NOT NULL AND trim(t, ' ') <> '' ELSE NOT (v IS NULL OR NOT (isfinite(v) OR isinf(v)) OR coalesce(abs(v - r.sentinel) <= 1e-6, false)) END AS valid
   FROM nums JOIN rule r USING (column_name)),
 stats AS (
   SELECT feed_id, load_id, load_seq, column_name, count(*) AS n, count(*) FILTER (WHERE valid) AS nv,
@@ -79,5 +79,42 @@ UNION ALL SELECT load_id, column_name, 'shift' FROM pairs JOIN gap USING (load_i
 """
 
 
+_P6_SQL = r"""
+WITH RECURSIVE head AS (SELECT *, ltrim(header) LIKE '{%' AS js FROM cloud_file),
+pcd AS (SELECT file_id, string_split_regex(trim(regexp_extract(header, '(?im)^[ \t]*FIELDS[ \t]+([^\r\n]*)', 1), E' \t'), '[ \t]+') AS n, string_split_regex(trim(regexp_extract(header, '(?im)^[ \t]*TYPE[ \t]+([^\r\n]*)', 1), E' \t'), '[ \t]+') AS t,
+  string_split_regex(trim(regexp_extract(header, '(?im)^[ \t]*SIZE[ \t]+([^\r\n]*)', 1), E' \t'), '[ \t]+') AS s FROM head WHERE NOT js),
+listed AS (SELECT file_id, unnest(CAST(header->'$.extra_dims' AS STRUCT(name VARCHAR, type VARCHAR)[])) AS e FROM head WHERE js AND json_type(header, '$.extra_dims') = 'ARRAY'),
+mapped AS (SELECT file_id, unnest(map_entries(CAST(header->'$.extra_dims' AS MAP(VARCHAR, VARCHAR)))) AS e FROM head WHERE js AND json_type(header, '$.extra_dims') = 'OBJECT'),
+entry AS (SELECT file_id, lower(trim(n[i])) AS name, upper(t[i]) || s[i] AS type, i FROM (SELECT *, unnest(range(1, len(n) + 1)) AS i FROM pcd)
+  UNION ALL SELECT file_id, lower(trim(e.name)), lower(trim(e.type)), 0 FROM listed UNION ALL SELECT file_id, lower(trim(e.key)), lower(trim(e.value)), 0 FROM mapped),
+fields AS (SELECT file_id, name, arg_min(type, i) AS type FROM entry WHERE name <> '' GROUP BY ALL),
+pairs AS (SELECT file_id, before FROM (SELECT file_id, lag(file_id) OVER (PARTITION BY series_id ORDER BY file_seq, file_id) AS before FROM cloud_file) WHERE before IS NOT NULL),
+own AS (SELECT * FROM fields WHERE name NOT IN ('point_idx', 'x', 'y', 'z')),
+sets AS (SELECT coalesce(a.file_id, b.file_id) AS file_id, coalesce(a.before, b.before) AS before, coalesce(a.name, b.name) AS name, a.type AS type_new, b.type AS type_old
+  FROM (SELECT file_id, before, name, type FROM pairs JOIN own USING (file_id)) a FULL JOIN (SELECT pairs.file_id, before, name, type FROM pairs JOIN own ON own.file_id = before) b ON a.file_id = b.file_id AND a.name = b.name),
+vals AS (SELECT r.file_id, row_no, name, value FROM (SELECT file_id, row_no, n, string_split_regex(trim(payload, E' \t\r\n'), '[ \t]+') AS v, unnest(range(1, len(n) + 1)) AS i FROM cloud_record JOIN pcd USING (file_id)) r, LATERAL (SELECT lower(trim(n[i])) AS name, v[i] AS value)
+  UNION ALL SELECT file_id, row_no, lower(trim(e.key)), e.value FROM (SELECT file_id, row_no, unnest(map_entries(CAST(replace(payload, 'NaN', 'null') AS JSON)::MAP(VARCHAR, VARCHAR))) AS e FROM cloud_record WHERE ltrim(payload) LIKE '{%')),
+given AS (SELECT file_id, row_no, name, trim(value) AS value, TRY_CAST(value AS DOUBLE) AS d FROM vals WHERE value IS NOT NULL AND lower(trim(value)) NOT IN ('nan', '', 'null')),
+idx AS (SELECT file_id, row_no, CAST(min(d) AS BIGINT) AS point FROM given WHERE name = 'point_idx' GROUP BY ALL),
+flat AS (SELECT DISTINCT file_id, point, name, CASE WHEN regexp_full_match(value, '[+-]?[0-9]+') THEN CAST(TRY_CAST(value AS HUGEINT) AS VARCHAR) WHEN d = floor(d) AND abs(d) < 9007199254740992 THEN CAST(CAST(d AS HUGEINT) AS VARCHAR) WHEN d IS NOT NULL THEN CAST(d AS VARCHAR) ELSE value END AS value
+  FROM given JOIN idx USING (file_id, row_no)),
+asked AS (SELECT a.file_id, a.before, a.name AS new_field, b.name AS old_field FROM sets a JOIN sets b ON a.file_id = b.file_id WHERE a.type_old IS NULL AND b.type_new IS NULL),
+renames AS (SELECT asked.file_id, old_field, new_field FROM asked JOIN flat a ON a.file_id = asked.file_id AND a.name = new_field JOIN flat b ON b.file_id = before AND b.name = old_field AND b.point = a.point GROUP BY ALL HAVING bool_and(a.value = b.value)),
+moved AS (SELECT file_id, name, type_new, type_old FROM sets WHERE type_new IS NOT NULL AND type_old IS NOT NULL
+  UNION ALL SELECT r.file_id, new_field, a.type, b.type FROM renames r JOIN pairs USING (file_id) JOIN fields a ON a.file_id = r.file_id AND a.name = new_field JOIN fields b ON b.file_id = before AND b.name = old_field)
+"""
+_P6_FOUND = _P6_SQL + """
+SELECT file_id, 'renamed' AS change, old_field, new_field FROM renames
+UNION ALL SELECT file_id, 'removed', name, '' FROM sets WHERE type_new IS NULL AND (file_id, name) NOT IN (SELECT (file_id, old_field) FROM renames)
+UNION ALL SELECT file_id, 'added', '', name FROM sets WHERE type_old IS NULL AND (file_id, name) NOT IN (SELECT (file_id, new_field) FROM renames)
+UNION ALL SELECT file_id, 'retyped', name, name FROM moved WHERE type_new <> type_old
+"""
+_P6_FIELDS = _P6_SQL + """,
+up AS (SELECT f.file_id, f.name, pairs.before, coalesce(r.old_field, f.name) AS was FROM fields f JOIN pairs USING (file_id) LEFT JOIN renames r ON r.file_id = f.file_id AND r.new_field = f.name JOIN fields p ON p.file_id = pairs.before AND p.name = coalesce(r.old_field, f.name)),
+walk(file_id, name, here, was, depth) AS (SELECT file_id, name, file_id, name, 0 FROM fields UNION ALL SELECT walk.file_id, walk.name, up.before, up.was, depth + 1 FROM walk JOIN up ON up.file_id = here AND up.name = walk.was)
+SELECT walk.file_id, walk.name, any_value(fields.type) AS type, arg_max(was, depth) AS canonical FROM walk JOIN fields ON fields.file_id = walk.file_id AND fields.name = walk.name GROUP BY walk.file_id, walk.name
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": _P3_SQL}
+    return {"p3_found": _P3_SQL, "p6_found": _P6_FOUND, "p6_fields": _P6_FIELDS}

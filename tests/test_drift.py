@@ -53,3 +53,26 @@ def test_empty(spark):
 def test_flooding_prefers_the_like_named_field():
     score = drift.flood([("pv_var", "F4"), ("ring", "F4")], [("point_var", "F4"), ("laser", "F4")], {})
     assert score[0, 0] > score[0, 1]
+
+
+def test_values_refute_a_like_named_match(spark):
+    """b_new looks like b_old, but carries the values of c: flooding proposes, values refute, and the rest is flooded again."""
+    kinds = ["U4", "F4", "F4", "F4", "F4", "F4"]
+    files = _files(spark, [(1, 1, 0, "pcd", _pcd([*BASE, "b_old", "c"], kinds), "n"), (2, 1, 1, "pcd", _pcd([*BASE, "b_new", "q"], kinds), "n")])
+    records = spark.createDataFrame([(f, i, f"{i} 0 0 0 {i * 2 if f == 1 else i * 5} {i * 5 if f == 1 else i * 2}") for f in (1, 2) for i in range(4)], "file_id long, row_no int, payload string")
+    assert {tuple(r) for r in drift.schema_changes(files, records).collect()} == {(2, "renamed", "b_old", "q"), (2, "renamed", "c", "b_new")}
+
+
+def test_equal_values_are_told_apart_by_the_graph(spark):
+    kinds = ["U4", "F4", "F4", "F4", "F4", "F4"]
+    files = _files(spark, [(1, 1, 0, "pcd", _pcd([*BASE, "ring", "pv_var"], kinds), "n"), (2, 1, 1, "pcd", _pcd([*BASE, "point_var", "ring_no"], kinds), "n")])
+    records = spark.createDataFrame([(f, 0, "7 0 0 0 3 3") for f in (1, 2)], "file_id long, row_no int, payload string")
+    assert {tuple(r) for r in drift.schema_changes(files, records).collect()} == {(2, "renamed", "ring", "ring_no"), (2, "renamed", "pv_var", "point_var")}
+
+
+def test_ids_beyond_doubles_differ_and_double_names_take_the_first(spark):
+    kinds = ["U4", "F4", "F4", "F4", "U8"]
+    files = _files(spark, [(1, 1, 0, "pcd", _pcd([*BASE, "leaf"], kinds), "n"), (2, 1, 1, "pcd", _pcd([*BASE, "node"], kinds), "n"), (3, 2, 0, "outlier_analysis", json.dumps({"extra_dims": {"k": "int32"}}), "n")])
+    records = spark.createDataFrame([(1, 0, "1 0 0 0 9007199254740993"), (2, 0, "1 0 0 0 9007199254740992"), (3, 0, '{"point_idx": 1, "k": 4, "K ": 5}')], "file_id long, row_no int, payload string")
+    assert {tuple(r) for r in drift.schema_changes(files, records).collect()} == {(2, "removed", "leaf", ""), (2, "added", "", "node")}
+    assert [r["k"] for r in drift.unified_table(files, records, "outlier_analysis", drift.canonical_fields(files, records)).collect()] == [4]
