@@ -129,11 +129,45 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode_corpus(table(spark, d, "documents"))
 
 
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    return tokenize.count_tokens(table(spark, d, "documents"), carry=["post_kind"])
+
+
+def _bears():
+    return F.coalesce(F.col("post_kind") == "answer", F.lit(False))
+
+
+#: Limits that leave no more space unused than tokens alone would, while each of them closes containers.
+BOX = {"capacity": 2048, "max_segments": 64, "max_loss": 1664}
+#: A tighter mix, in which answers beyond the loss limit are split.
+MIX = {"capacity": 2048, "max_segments": 24, "max_loss": 1200}
+
+
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
-    """Containers of 2,048 tokens; an answer's tokens bear loss, a question's don't."""
-    docs = table(spark, d, "documents")
-    sizes = tokenize.count_tokens(docs, carry=["post_kind"])
-    return packing.pack(sizes, "doc_id", F.col("n"), F.coalesce(F.col("post_kind") == "answer", F.lit(False)), docs.count())
+    """Containers of 2,048 tokens, 64 segments and 1,664 loss-bearing tokens: an answer's tokens bear loss, a question's don't.
+
+    Only documents larger than a container are split; of an answer's piece beyond the loss limit the rest is masked.
+    """
+    return packing.pack(_sizes(spark, d), "doc_id", F.col("n"), _bears(), table(spark, d, "documents").count(), masked=True, **BOX)
+
+
+def p8_instructions(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(_sizes(spark, d), "doc_id", F.col("n"), _bears(), table(spark, d, "documents").count(), **MIX)
+
+
+def p8_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Conservation, limits and fill of both packings, from the token counts and the spans themselves."""
+    sizes = cut(_sizes(spark, d))
+    n = sizes.count()
+    a = packing.audit(cut(packing.pack(sizes, "doc_id", F.col("n"), _bears(), n, masked=True, **BOX)), sizes, "doc_id", _bears(), **BOX)
+    b = packing.audit(cut(packing.pack(sizes, "doc_id", F.col("n"), _bears(), n, **MIX)), sizes, "doc_id", _bears(), **MIX, slack=0.06)
+    return a.withColumn("packing", F.lit("containers")).union(b.withColumn("packing", F.lit("instructions")))
+
+
+def p8_limits(spark: SparkSession, d: str) -> DataFrame:
+    """How many containers of p8_instructions each of the three limits closes."""
+    boxes = packing.closed_by(p8_instructions(spark, d), table(spark, d, "documents"), "doc_id", _bears(), **MIX)
+    return boxes.agg(F.count("*").alias("containers"), *[F.count_if(c).alias(c) for c in ("by_tokens", "by_segments", "by_loss")])
 
 
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:
@@ -190,12 +224,13 @@ near AS (SELECT a.pt_id, b.pt_id AS neighbour_id, (a.x-b.x)*(a.x-b.x) + (a.y-b.y
 
 
 def queries() -> dict:
-    return {"p1_percentiles": p1_percentiles, "p1_clouds": p1_clouds, "p1_scenes": p1_scenes, "p1_day_ranks": p1_day_ranks, "p1_cloud_ranks": p1_cloud_ranks, "p1_scene_ranks": p1_scene_ranks, "p2_found": p2_found, "p2_splits": p2_splits, "p2_report": p2_report, "p4_found": p4_found, "p4_nearest": p4_nearest, "p5_found": p5_found, "p5_cutoffs": p5_cutoffs, "p5_flags": p5_flags, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found, "p9_curves": p9_curves}
+    return {"p1_percentiles": p1_percentiles, "p1_clouds": p1_clouds, "p1_scenes": p1_scenes, "p1_day_ranks": p1_day_ranks, "p1_cloud_ranks": p1_cloud_ranks, "p1_scene_ranks": p1_scene_ranks, "p2_found": p2_found, "p2_splits": p2_splits, "p2_report": p2_report, "p4_found": p4_found, "p4_nearest": p4_nearest, "p5_found": p5_found, "p5_cutoffs": p5_cutoffs, "p5_flags": p5_flags, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill, "p8_instructions": p8_instructions, "p8_audit": p8_audit, "p8_limits": p8_limits, "p9_found": p9_found, "p9_curves": p9_curves}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         **{f"p1_{name}_ranks": f"WITH {_MEASURES} SELECT {', '.join(DAY[:k])}, count(*) AS n, true AS within FROM measures GROUP BY ALL" for name, k in (("day", 4), ("cloud", 3), ("scene", 2))},
+        "p8_audit": "SELECT count(*) AS items, count(*) AS whole, 0 AS split_needlessly, 0 AS beyond_limits, true AS \"full\", p.packing FROM documents, (SELECT unnest(['containers', 'instructions']) AS packing) p GROUP BY ALL",
         "p2_found": _RELATED,
         "p4_found": f"{_NEAR} SELECT DISTINCT least(pt_id, neighbour_id) AS pt_id_a, greatest(pt_id, neighbour_id) AS pt_id_b FROM near WHERE r <= 5",
         "p4_nearest": f"{_NEAR} SELECT pt_id, neighbour_id, squared_distance FROM near WHERE r <= 5",

@@ -147,17 +147,9 @@ def concatenate(bpe: ByteBPE, parts: list[Encoded]) -> Encoded:
     return parts[0]
 
 
-def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, long_chars: int = LONG_CHARS) -> DataFrame:
-    """(key, ids): the token ids of every row's text."""
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+def _encode_long(rows: DataFrame, vocabulary: str, long_chars: int) -> DataFrame:
+    """(k, ids) of long texts (k, t): pieces are encoded in parallel, then joined."""
     kind = rows.schema["k"].dataType.simpleString()
-    length = F.coalesce(F.length("t"), F.lit(0))
-
-    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(vocabulary)
-        for b in batches:
-            ids = bpe.encode_all([t or "" for t in b.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, type=pa.list_(pa.int32()))], names=["k", "ids"])
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -188,18 +180,34 @@ def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", voca
         whole = concatenate(bpe, parts)
         return pa.table([t.column("k").slice(0, 1), pa.array([whole.ids()], type=pa.list_(pa.int32()))], names=["k", "ids"])
 
-    done = rows.where(length <= long_chars).mapInArrow(short, f"k {kind}, ids array<int>")
-    long = rows.where(length > long_chars).select(F.monotonically_increasing_id().alias("u"), "k", "t").mapInArrow(pieces, f"u long, k {kind}, no int, t string")
-    n = shuffle_partitions(docs.sparkSession)
+    long = rows.select(F.monotonically_increasing_id().alias("u"), "k", "t").mapInArrow(pieces, f"u long, k {kind}, no int, t string")
+    n = shuffle_partitions(rows.sparkSession)
     coded = long.repartition(n, "u", "no").mapInArrow(encode_pieces, f"u long, k {kind}, no int, t string, starts array<int>, sizes array<int>, ids array<int>")
-    joined = coded.groupBy("u").applyInArrow(tree, f"k {kind}, ids array<int>")
-    return done.union(joined).withColumnRenamed("k", key)
+    return coded.groupBy("u").applyInArrow(tree, f"k {kind}, ids array<int>")
+
+
+def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, long_chars: int = LONG_CHARS) -> DataFrame:
+    """(key, ids): the token ids of every row's text."""
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    kind = rows.schema["k"].dataType.simpleString()
+    length = F.coalesce(F.length("t"), F.lit(0))
+
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = load(vocabulary)
+        for b in batches:
+            ids = bpe.encode_all([t or "" for t in b.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, type=pa.list_(pa.int32()))], names=["k", "ids"])
+
+    done = rows.where(length <= long_chars).mapInArrow(short, f"k {kind}, ids array<int>")
+    return done.union(_encode_long(rows.where(length > long_chars), vocabulary, long_chars)).withColumnRenamed("k", key)
 
 
-def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: list[str] | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(key, carried columns, n): the number of tokens of every row's text; the ids themselves never leave the task."""
+def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: list[str] | None = None, vocabulary: str = VOCABULARY, long_chars: int = LONG_CHARS) -> DataFrame:
+    """(key, carried columns, n): the number of tokens of every row's text; the ids of short ones never leave the task, long ones are encoded by the tree."""
     extra = carry or []
-    rows = docs.select(F.col(key).alias("k"), *extra, F.col(text).alias("t"))
+    length = F.coalesce(F.length(text), F.lit(0))
+    long = _encode_long(docs.where(length > long_chars).select(F.struct(F.col(key).alias("k"), *extra).alias("k"), F.col(text).alias("t")), vocabulary, long_chars)
+    rows = docs.where(length <= long_chars).select(F.col(key).alias("k"), *extra, F.col(text).alias("t"))
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ["k", *extra])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,4 +216,5 @@ def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", carry
             n = [len(bpe.encode(t)) if t else 0 for t in b.column(len(extra) + 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, type=pa.int64())], names=["k", *extra, "n"])
 
-    return rows.mapInArrow(count, f"{kinds}, n long").withColumnRenamed("k", key)
+    counted = rows.mapInArrow(count, f"{kinds}, n long").union(long.select("k.*", F.size("ids").cast("long").alias("n")))
+    return counted.withColumnRenamed("k", key)

@@ -66,3 +66,23 @@ def test_little_space_is_left(spark):
     out = _pack(spark, sizes)
     assert out.container_id.nunique() <= sum(sizes) // 2048 + 3
     assert len(_pack(spark, [])) == 0
+
+
+def test_masked_items_are_only_split_beyond_the_capacity(spark):
+    r = random.Random(8)
+    sizes = [r.choice([5, 60, 300, 1900, 2048, 5000]) for _ in range(400)]
+    limits = {"max_segments": 8, "max_loss": 1200}
+    df = spark.createDataFrame([(i, n, i % 3 > 0) for i, n in enumerate(sizes)], "doc_id long, n long, bears boolean").cache()
+    out = packing.pack(df, "doc_id", F.col("n"), F.col("bears"), len(sizes), masked=True, **limits)
+    got = packing.audit(out, df, "doc_id", F.col("bears"), **limits, slack=0.3).first()
+    assert (got["items"], got["whole"], got["beyond_limits"]) == (400, 400, 0)
+    assert all(len(g) == 1 or sizes[i] > 2048 for i, g in out.toPandas().groupby("doc_id"))
+    closed = packing.closed_by(out, df, "doc_id", F.col("bears"), **limits).agg(*[F.count_if(c).alias(c) for c in ("by_tokens", "by_segments", "by_loss")]).first()
+    assert min(closed) > 0
+
+
+def test_long_texts_are_counted_by_the_tree(spark):
+    text = "word " * 700 + "ä" * 90 + "\n" * 40 + "x" * 3000
+    df = spark.createDataFrame([(1, text, "a"), (2, "short", "b"), (3, None, None)], "doc_id long, text string, kind string")
+    short = {r["doc_id"]: (r["kind"], r["n"]) for r in tokenize.count_tokens(df, carry=["kind"], long_chars=1 << 30).collect()}
+    assert {r["doc_id"]: (r["kind"], r["n"]) for r in tokenize.count_tokens(df, carry=["kind"], long_chars=100).collect()} == short
