@@ -1,11 +1,15 @@
 """The k most similar vectors of every vector, by collision-counting hashing with query-centred windows.
 
-Each leaf of the index keeps one sorted array a projection. A query opens a window of half-width w around its own
-projected value in every array (so buckets are centred on the query) and counts, for each vector, the arrays in which
-it collides with the query; vectors that reach the collision threshold are verified by their true distance. Windows are
-widened by virtual rehashing (w doubles) until k verified vectors lie within w. The projections are orthonormal, so a
-vector within w collides in all of them: with the threshold at the number of projections, nothing nearer is missed
-and the result is exact, ties broken by the smaller id.
+Each leaf of the index keeps one sorted array a projection, and there are more projections than dimensions. A query opens a
+window around its own projected value in every array (so buckets are centred on the query) and counts, for each vector, the arrays in
+which it collides with the query; vectors that reach the collision threshold, which is below the number of arrays, are verified
+by their true distance. Windows are widened by virtual rehashing (w doubles) until k verified vectors lie within w.
+
+A window's half-width is only a share of w, so that it holds few vectors; a vector within w is then found with a probability that grows with
+its collisions, not for sure. That gives a bound on the k-th distance, often the distance itself. With ``exact`` a second
+pass takes the orthonormal arrays alone and windows as wide as that bound: a vector within it collides in all of them,
+so nothing nearer is missed, and ties go to the smaller id. Without ``exact`` the pass is left out: in many dimensions, where every ball reaches
+most of the data, only the share decides, and recall has to be measured (p4_recall).
 
 Distribution: a k-d tree fitted on a bounded sample (SAMPLE_ROWS) splits space into leaves of about LEAF_ROWS rows; all
 rows are indexed. A query first searches its own leaf, which bounds its k-th distance, and is then sent only to
@@ -19,6 +23,8 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,8 +40,21 @@ PAIRS_AT_ONCE = 1_000_000
 SLACK = 1e-9
 
 
-def _projections(dim: int, seed: int = 7) -> np.ndarray:
-    return np.linalg.qr(np.random.default_rng(seed).normal(size=(dim, dim)))[0]
+@cache
+def _projections(dim: int) -> np.ndarray:
+    """Unit directions: the first ``dim`` are orthonormal, the others are those of a second such frame."""
+    frames = [np.linalg.qr(np.random.default_rng(seed).normal(size=(dim, dim)))[0] for seed in (7, 8)]
+    return np.concatenate([frames[0], frames[1][: max(2, dim // 2)]]) if dim > 1 else np.ones((3, 1))
+
+
+def settings(dim: int) -> tuple[int, float]:
+    """(collision threshold, half-width of a window as a share of w) for the projections of ``dim`` dimensions.
+
+    Of m random directions a vector at distance w has components of about w / sqrt(dim); two such deviations, or in few
+    dimensions 0.7 w, hold nearly all of them for a neighbour and fewer for vectors further off.
+    """
+    m = len(_projections(dim))
+    return (m - 1 if dim <= 8 else int(0.9 * m)), min(0.7, 2 / dim**0.5)
 
 
 class SortedProjections:
@@ -43,47 +62,51 @@ class SortedProjections:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         self.ids, self.vectors = ids, vectors
-        self.axes = _projections(vectors.shape[1])
+        self.dim = vectors.shape[1]
+        self.axes = _projections(self.dim)
+        self.threshold, self.share = settings(self.dim)
         self.values = vectors @ self.axes.T
         self.order = np.argsort(self.values, axis=0, kind="stable")
         self.sorted = np.take_along_axis(self.values, self.order, axis=0)
         self.rank = np.empty_like(self.order)
         np.put_along_axis(self.rank, self.order, np.arange(len(ids))[:, None], axis=0)
 
-    def candidates(self, queries: np.ndarray, w: np.ndarray, threshold: int):
-        """Yields (query index, vector index, squared distance) of vectors with enough collisions, in blocks of queries."""
-        proj = queries @ self.axes.T
-        half = w * (1 + SLACK) + SLACK
-        m = proj.shape[1]
-        lo = np.stack([np.searchsorted(self.sorted[:, j], proj[:, j] - half) for j in range(m)])
-        hi = np.stack([np.searchsorted(self.sorted[:, j], proj[:, j] + half, side="right") for j in range(m)])
-        size = hi - lo
-        # the counting starts from the array with the narrowest window: no vector outside it reaches the threshold of all arrays
-        best = size.argmin(axis=0)
-        for j in range(m):
-            mine = np.flatnonzero(best == j)
-            if not len(mine):
-                continue
-            block = np.cumsum(size[j, mine]) // PAIRS_AT_ONCE
-            for part in np.split(mine, np.flatnonzero(np.diff(block)) + 1):
-                n = size[j, part]
-                q = np.repeat(part, n)
+    def candidates(self, queries: np.ndarray, half: np.ndarray, arrays: int, threshold: int):
+        """Yields (query index, vector index, squared distance) of vectors with enough collisions in the first arrays, in blocks of queries."""
+        proj = queries @ self.axes[:arrays].T
+        half = half * (1 + SLACK) + SLACK
+        lo = np.stack([np.searchsorted(self.sorted[:, j], proj[:, j] - half) for j in range(arrays)])
+        hi = np.stack([np.searchsorted(self.sorted[:, j], proj[:, j] + half, side="right") for j in range(arrays)])
+        # a vector that reaches the threshold is in one of the arrays - threshold + 1 narrowest windows: the counting starts from these
+        first = np.argsort(hi - lo, axis=0, kind="stable")[: arrays - threshold + 1]
+        everyone = np.arange(len(queries))
+        for turn in range(len(first)):
+            n_all = (hi - lo)[first[turn], everyone]
+            for part in np.split(everyone, np.flatnonzero(np.diff(np.cumsum(n_all) // PAIRS_AT_ONCE)) + 1):
+                if not len(part):
+                    continue
+                n, j = n_all[part], first[turn, part]
+                q, jq = np.repeat(part, n), np.repeat(j, n)
                 at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[j, part], n)
-                v = self.order[at, j]
-                hits = np.ones(len(v), dtype=np.int8)
-                for i in range(m):
-                    if i != j:
-                        r = self.rank[v, i]
-                        hits += (r >= lo[i, q]) & (r < hi[i, q])
-                ok = hits >= threshold
-                q, v = q[ok], v[ok]
-                d2 = ((queries[q] - self.vectors[v]) ** 2).sum(axis=1)
-                yield part, q, v, d2
-
-    def within(self, qids: np.ndarray, queries: np.ndarray, w: np.ndarray, k: int):
+                v = self.order[at, jq]
+                # most pairs fail early: what can't reach the threshold any more is dropped
+                for earlier in range(turn):
+                    e = first[earlier, q]
+                    r = self.rank[v, e]
+                    new = (r < lo[e, q]) | (r >= hi[e, q])
+                    q, v = q[new], v[new]
+                misses = np.zeros(len(v), dtype=np.int16)
+                for i in range(arrays):
+                    r = self.rank[v, i]
+                    misses += (r < lo[i, q]) | (r >= hi[i, q])
+                    ok = misses <= arrays - threshold
+                    q, v, misses = q[ok], v[ok], misses[ok]
+                yield q, v, ((queries[q] - self.vectors[v]) ** 2).sum(axis=1)
+
+    def within(self, qids: np.ndarray, queries: np.ndarray, w: np.ndarray, k: int, exact: bool = True):
         """The k nearest others among those within w: arrays (query index, neighbour id, squared distance)."""
         out = []
-        for _, q, v, d2 in self.candidates(queries, w, self.axes.shape[0]):
+        for q, v, d2 in self.candidates(queries, w, self.dim, self.dim) if exact else self.candidates(queries, w * self.share, len(self.axes), self.threshold):
             ids = self.ids[v]
             ok = (d2 <= w[q] ** 2) & (ids != qids[q])
             q, ids, d2 = q[ok], ids[ok], d2[ok]
@@ -94,13 +117,17 @@ class SortedProjections:
             out.append((q[keep], ids[keep], d2[keep]))
         if not out:
             return np.zeros(0, int), np.zeros(0, self.ids.dtype), np.zeros(0)
-        return tuple(np.concatenate(x) for x in zip(*out))
+        q, ids, d2 = (np.concatenate(x) for x in zip(*out))
+        by = np.lexsort((ids, d2, q))  # a query's candidates may come in several turns
+        q, ids, d2 = q[by], ids[by], d2[by]
+        keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+        return q[keep], ids[keep], d2[keep]
 
     def start_width(self, k: int) -> np.ndarray:
         """Lower bound of each own vector's k-th distance: the k-th gap in any single projection."""
         n = len(self.ids)
         width = np.zeros(n)
-        for j in range(self.values.shape[1]):
+        for j in range(self.dim):
             s = self.sorted[:, j]
             gaps = np.full((2 * k, n), np.inf)
             for i in range(1, min(k, n - 1) + 1):
@@ -110,19 +137,27 @@ class SortedProjections:
             width[self.order[:, j]] = np.maximum(width[self.order[:, j]], kth)
         return np.where(np.isfinite(width), width, 0.0)
 
-    def own_neighbours(self, k: int):
+    def own_neighbours(self, k: int, exact: bool = True):
         """k nearest others of every own vector by virtual rehashing: (index, neighbour id, squared distance)."""
         n = len(self.ids)
         span = float(np.ptp(self.vectors, axis=0).sum()) + SLACK
-        w = np.clip(self.start_width(k), span * 1e-6, span)
-        todo, out = np.arange(n), []
+        limit = span / self.share  # from here on the windows hold the whole leaf
+        w = np.clip(self.start_width(k), span * 1e-6, limit)
+        radius, todo, out = np.full(n, span), np.arange(n), []
         while len(todo):
-            q, ids, d2 = self.within(self.ids[todo], self.vectors[todo], w[todo], k)
-            full = (np.bincount(q, minlength=len(todo)) >= min(k, n - 1)) | (w[todo] >= span)
+            last = w[todo] >= limit
+            q, ids, d2 = self.within(self.ids[todo], self.vectors[todo], w[todo], k, exact=False)
+            found = np.bincount(q, minlength=len(todo))
+            full = (found >= min(k, n - 1)) | last
             ok = full[q]
             out.append((todo[q[ok]], ids[ok], d2[ok]))
+            far = np.zeros(len(todo))
+            np.maximum.at(far, q, d2)
+            radius[todo] = np.where(found >= min(k, n - 1), np.sqrt(far), span)
             todo = todo[~full]
-            w[todo] = np.minimum(w[todo] * 2, span)
+            w[todo] = np.minimum(w[todo] * 2, limit)
+        if exact:
+            return self.within(self.ids, self.vectors, np.nextafter(np.minimum(radius, span), np.inf), k)
         return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, int), self.ids, np.zeros(0))
 
 
@@ -169,8 +204,8 @@ def _matrix(t: pa.Table | pa.RecordBatch, dims: list[str]) -> np.ndarray:
     return np.column_stack([t.column(c).to_numpy() for c in dims])
 
 
-def nearest(points: DataFrame, item: str, dims: list[str], k: int = K) -> DataFrame:
-    """(item, neighbour, d2): the k nearest other vectors of every vector."""
+def nearest(points: DataFrame, item: str, dims: list[str], k: int = K, exact: bool = True) -> DataFrame:
+    """(item, neighbour, d2): the k nearest other vectors of every vector; without ``exact`` those that the collisions bring."""
     spark = points.sparkSession
     ok = F.col(item).isNotNull()
     for c in dims:
@@ -204,7 +239,7 @@ def nearest(points: DataFrame, item: str, dims: list[str], k: int = K) -> DataFr
         ids, v = t.column("item").to_numpy(), _matrix(t, dims)
         here = int(t.column("leaf")[0].as_py())
         index = SortedProjections(ids, v)
-        q, nb, d2 = index.own_neighbours(k)
+        q, nb, d2 = index.own_neighbours(k, exact)
         by = np.lexsort((nb, d2, q))
         q, nb, d2 = q[by], nb[by], d2[by]
         n = np.bincount(q, minlength=len(ids))
@@ -233,7 +268,7 @@ def nearest(points: DataFrame, item: str, dims: list[str], k: int = K) -> DataFr
         index = SortedProjections(hosts.column("item").to_numpy(), _matrix(hosts, dims))
         qids, v, r = guests.column("item").to_numpy(), _matrix(guests, dims), guests.column("radius").to_numpy()
         span = 2 * float(np.abs(np.vstack([v, index.vectors])).max()) * len(dims) + 1
-        q, nb, d2 = index.within(qids, v, np.minimum(np.nextafter(r, np.inf), span), k)
+        q, nb, d2 = index.within(qids, v, np.minimum(np.nextafter(r, np.inf), span), k, exact)
         return pa.table([pa.array(qids[q]), pa.array(nb), pa.array(d2)], names=names)
 
     guests = visits.groupBy("leaf").cogroup(placed.groupBy("leaf")).applyInArrow(visit, "item long, neighbour long, d2 double")
@@ -241,3 +276,15 @@ def nearest(points: DataFrame, item: str, dims: list[str], k: int = K) -> DataFr
     best = W.partitionBy("item").orderBy("d2", "neighbour")
     ranked = own.union(guests).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
     return ranked.union(others)
+
+
+def brute_nearest(points: DataFrame, item: str, dims: list[str], asked: DataFrame, k: int = K) -> DataFrame:
+    """(item, neighbour): the k nearest others of the ``asked`` items (a stated query set), against all rows in blocks of queries."""
+    ok = F.col(item).isNotNull()
+    for c in dims:
+        ok &= F.col(c).isNotNull() & ~F.isnan(F.col(c))
+    rows = points.where(ok).select(F.col(item).alias("neighbour"), *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(dims)])
+    mine = rows.join(asked.select(F.col(item).alias("neighbour")).distinct(), "neighbour", "left_semi").select(F.col("neighbour").alias("item"), *[F.col(f"v{i}").alias(f"q{i}") for i in range(len(dims))])
+    d2 = sum(((F.col(f"q{i}") - F.col(f"v{i}")) * (F.col(f"q{i}") - F.col(f"v{i}")) for i in range(len(dims))), F.lit(0.0))
+    far = mine.crossJoin(rows).where(F.col("item") != F.col("neighbour")).select("item", "neighbour", d2.alias("d2"))
+    return far.withColumn("r", F.row_number().over(W.partitionBy("item").orderBy("d2", "neighbour"))).where(F.col("r") <= k).select("item", "neighbour")

@@ -101,6 +101,36 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.least("pt_id", "neighbour_id").alias("pt_id_a"), F.greatest("pt_id", "neighbour_id").alias("pt_id_b")).distinct()
 
 
+def _embedded(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
+    rows = table(spark, d, "embeddings")
+    dims = [f"e{i}" for i in range(64)]
+    return rows.select("vec_id", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(dims)]), dims
+
+
+def p4_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    """The 10 vectors that collisions find nearest to every embedding of 64 dimensions; not exact, see p4_recall."""
+    rows, dims = _embedded(spark, d)
+    return neighbours.nearest(rows, "vec_id", dims, 10, exact=False).select(F.col("item").alias("vec_id"), F.col("neighbour").alias("neighbour_id"), F.col("d2").alias("squared_distance"))
+
+
+def p4_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Recall of both searches on the ids divisible by 50 against all rows by brute force."""
+    out = None
+    for name, key, k, found, (rows, dims) in (
+        ("embeddings", "vec_id", 10, p4_embeddings(spark, d).select(F.col("vec_id").alias("item"), F.col("neighbour_id").alias("neighbour")), _embedded(spark, d)),
+        ("pcd", "pt_id", 5, p4_nearest(spark, d).select(F.col("pt_id").alias("item"), F.col("neighbour_id").alias("neighbour")), (table(spark, d, "pcd").select("pt_id", "x", "y", "z").distinct(), ["x", "y", "z"])),
+    ):
+        true = neighbours.brute_nearest(rows, key, dims, rows.where(F.col(key) % 50 == 0), k).withColumn("true", F.lit(1))
+        met = true.join(found.withColumn("found", F.lit(1)), ["item", "neighbour"], "left")
+        part = met.agg(F.lit(name).alias("collection"), F.countDistinct("item").alias("queries"), F.count("*").alias("true"), F.count("found").alias("found"))
+        out = part if out is None else out.union(part)
+    return out
+
+
+def p4_recall_check(spark: SparkSession, d: str) -> DataFrame:
+    return p4_recall(spark, d).select("collection", "queries", "true", (F.col("found") >= 0.9 * F.col("true")).alias("enough"))
+
+
 def _decided(spark: SparkSession, d: str) -> DataFrame:
     scores = cutoff.clean_scores(table(spark, d, "predict_cloud"), "predicted_c2c", "cloud_id", "point_id", "predicted_c2c").union(
         cutoff.clean_scores(table(spark, d, "outlier_analysis"), "mean_knn_dist", "cloud_id", "point_id", "mean_knn_dist")
@@ -224,7 +254,7 @@ near AS (SELECT a.pt_id, b.pt_id AS neighbour_id, (a.x-b.x)*(a.x-b.x) + (a.y-b.y
 
 
 def queries() -> dict:
-    return {"p1_percentiles": p1_percentiles, "p1_clouds": p1_clouds, "p1_scenes": p1_scenes, "p1_day_ranks": p1_day_ranks, "p1_cloud_ranks": p1_cloud_ranks, "p1_scene_ranks": p1_scene_ranks, "p2_found": p2_found, "p2_splits": p2_splits, "p2_report": p2_report, "p4_found": p4_found, "p4_nearest": p4_nearest, "p5_found": p5_found, "p5_cutoffs": p5_cutoffs, "p5_flags": p5_flags, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill, "p8_instructions": p8_instructions, "p8_audit": p8_audit, "p8_limits": p8_limits, "p9_found": p9_found, "p9_curves": p9_curves}
+    return {"p1_percentiles": p1_percentiles, "p1_clouds": p1_clouds, "p1_scenes": p1_scenes, "p1_day_ranks": p1_day_ranks, "p1_cloud_ranks": p1_cloud_ranks, "p1_scene_ranks": p1_scene_ranks, "p2_found": p2_found, "p2_splits": p2_splits, "p2_report": p2_report, "p4_found": p4_found, "p4_nearest": p4_nearest, "p4_embeddings": p4_embeddings, "p4_recall": p4_recall, "p4_recall_check": p4_recall_check, "p5_found": p5_found, "p5_cutoffs": p5_cutoffs, "p5_flags": p5_flags, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill, "p8_instructions": p8_instructions, "p8_audit": p8_audit, "p8_limits": p8_limits, "p9_found": p9_found, "p9_curves": p9_curves}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -232,6 +262,7 @@ def oracle_sql() -> dict[str, str]:
         **{f"p1_{name}_ranks": f"WITH {_MEASURES} SELECT {', '.join(DAY[:k])}, count(*) AS n, true AS within FROM measures GROUP BY ALL" for name, k in (("day", 4), ("cloud", 3), ("scene", 2))},
         "p8_audit": "SELECT count(*) AS items, count(*) AS whole, 0 AS split_needlessly, 0 AS beyond_limits, true AS \"full\", p.packing FROM documents, (SELECT unnest(['containers', 'instructions']) AS packing) p GROUP BY ALL",
         "p2_found": _RELATED,
+        "p4_recall_check": "SELECT 'embeddings' AS collection, count(*) AS queries, count(*) * 10 AS \"true\", true AS enough FROM embeddings WHERE vec_id % 50 = 0 UNION ALL SELECT 'pcd', count(DISTINCT pt_id), count(DISTINCT pt_id) * 5, true FROM pcd WHERE pt_id % 50 = 0 AND (isfinite(x) OR isinf(x)) AND (isfinite(y) OR isinf(y)) AND (isfinite(z) OR isinf(z))",
         "p4_found": f"{_NEAR} SELECT DISTINCT least(pt_id, neighbour_id) AS pt_id_a, greatest(pt_id, neighbour_id) AS pt_id_b FROM near WHERE r <= 5",
         "p4_nearest": f"{_NEAR} SELECT pt_id, neighbour_id, squared_distance FROM near WHERE r <= 5",
         "p5_found": f"WITH {_SCORES} SELECT cloud_id, score_name, point_id FROM decided WHERE NOT keep",

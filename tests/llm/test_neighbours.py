@@ -33,3 +33,14 @@ def test_small_and_empty_tables(spark):
     assert {tuple(r) for r in nb.nearest(df, "id", ["x"]).collect()} == {(1, 2, 0.0), (1, 3, 25.0), (2, 1, 0.0), (2, 3, 25.0), (3, 1, 25.0), (3, 2, 25.0)}
     assert nb.nearest(df.limit(1), "id", ["x"]).count() == 0
     assert nb.nearest(df.limit(0), "id", ["x"]).count() == 0
+
+
+def test_many_dimensions_reach_the_recall_by_collisions_alone(spark):
+    r = np.random.default_rng(4)
+    v = r.normal(size=(8, 24))[r.integers(0, 8, 600)] + r.normal(size=(600, 24)) * 0.4
+    dims = [f"c{i}" for i in range(24)]
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(v)], "id long, " + ", ".join(f"{c} double" for c in dims))
+    found = {(a, b) for a, b, _ in nb.nearest(df, "id", dims, 5, exact=False).collect()}
+    true = {(r["item"], r["neighbour"]) for r in nb.brute_nearest(df, "id", dims, df.where("id % 50 = 0"), 5).collect()}
+    assert len(true) == 60 and len(true & found) >= 54
+    assert nb.settings(24)[0] < len(nb._projections(24)) > 24 and nb.settings(3)[0] < len(nb._projections(3)) > 3
