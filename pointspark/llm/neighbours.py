@@ -36,6 +36,7 @@ from pointspark.session import cut
 K = 5
 LEAF_ROWS, SAMPLE_ROWS, SAMPLE_PER_LEAF = 4096, 200_000, 64
 PAIRS_AT_ONCE = 1_000_000
+QUERY_BLOCK = 20_000
 #: Slack for the rounding of projected values.
 SLACK = 1e-9
 
@@ -279,12 +280,47 @@ def nearest(points: DataFrame, item: str, dims: list[str], k: int = K, exact: bo
 
 
 def brute_nearest(points: DataFrame, item: str, dims: list[str], asked: DataFrame, k: int = K) -> DataFrame:
-    """(item, neighbour): the k nearest others of the ``asked`` items (a stated query set), against all rows in blocks of queries."""
+    """(item, neighbour): the k nearest others of the ``asked`` items (a stated query set), against all rows.
+
+    Queries are broadcast in blocks of about QUERY_BLOCK; a task keeps the k best of each while its rows pass, so no pair is shuffled.
+    """
     ok = F.col(item).isNotNull()
     for c in dims:
         ok &= F.col(c).isNotNull() & ~F.isnan(F.col(c))
-    rows = points.where(ok).select(F.col(item).alias("neighbour"), *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(dims)])
-    mine = rows.join(asked.select(F.col(item).alias("neighbour")).distinct(), "neighbour", "left_semi").select(F.col("neighbour").alias("item"), *[F.col(f"v{i}").alias(f"q{i}") for i in range(len(dims))])
-    d2 = sum(((F.col(f"q{i}") - F.col(f"v{i}")) * (F.col(f"q{i}") - F.col(f"v{i}")) for i in range(len(dims))), F.lit(0.0))
-    far = mine.crossJoin(rows).where(F.col("item") != F.col("neighbour")).select("item", "neighbour", d2.alias("d2"))
-    return far.withColumn("r", F.row_number().over(W.partitionBy("item").orderBy("d2", "neighbour"))).where(F.col("r") <= k).select("item", "neighbour")
+    rows = points.where(ok).select(F.col(item).cast("long").alias("item"), *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(dims)])
+    names = [f"v{i}" for i in range(len(dims))]
+    mine = cut(rows.join(asked.select(F.col(item).cast("long").alias("item")).distinct(), "item", "left_semi").dropDuplicates(["item"]))
+    blocks = -(-mine.count() // QUERY_BLOCK)
+    found = None
+    for block in range(blocks):
+        part = mine.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).toPandas()
+        sent = points.sparkSession.sparkContext.broadcast((part["item"].to_numpy(), part[names].to_numpy(dtype=np.float64)))
+
+        def best(batches, sent=sent):
+            qids, q = sent.value
+            kept = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]  # query, neighbour, squared distance
+            limit = np.full(len(qids), np.inf)
+            for b in batches:
+                ids, v = b.column(0).to_numpy(), _matrix(b, names)
+                for start in range(0, len(qids), 256):
+                    d2 = sum((q[start : start + 256, j, None] - v[None, :, j]) ** 2 for j in range(len(names)))
+                    i, j = np.nonzero(d2 <= limit[start : start + 256, None])
+                    new = ids[j] != qids[start + i]
+                    kept = [np.concatenate([a, x]) for a, x in zip(kept, (start + i[new], ids[j[new]], d2[i[new], j[new]]))]
+                    if len(kept[0]) > 4 * k * len(qids) or start + 256 >= len(qids):
+                        by = np.lexsort((kept[1], kept[2], kept[0]))
+                        kept = [x[by] for x in kept]
+                        fit = np.arange(len(by)) - np.searchsorted(kept[0], kept[0]) < k
+                        kept = [x[fit] for x in kept]
+                        at, n = np.unique(kept[0], return_counts=True)
+                        full = np.cumsum(n)[n >= k] - 1
+                        limit[at[n >= k]] = kept[2][full]
+            yield pa.RecordBatch.from_arrays([pa.array(qids[kept[0]]), pa.array(kept[1]), pa.array(kept[2])], names=["item", "neighbour", "d2"])
+
+        got = rows.mapInArrow(best, "item long, neighbour long, d2 double")
+        found = got if found is None else found.union(got)
+    if found is None:
+        return mine.select("item", F.col("item").alias("neighbour"))
+    # an id that rows repeat counts once
+    found = found.groupBy("item", "neighbour").agg(F.min("d2").alias("d2"))
+    return found.withColumn("r", F.row_number().over(W.partitionBy("item").orderBy("d2", "neighbour"))).where(F.col("r") <= k).select("item", "neighbour")
