@@ -1,8 +1,9 @@
-"""The k nearest others of every point over the whole table, whatever their distance.
+"""The k nearest others of every point, over the whole table or within a margin, among its own or another cloud.
 
 A k-d tree fitted on a bounded sample splits space into leaves. A point's k-th distance within its own leaf bounds the search
 (radius); the point is then sent to every leaf that this ball touches, its own included, and the nearest k of what comes back
-are kept. Of many points at one place only the k + 1 smallest ids can be anybody's neighbours, so only they are indexed.
+are kept. Of many points at one place only the k + 1 smallest ids can be anybody's neighbours, so only they are indexed. Leaves are cut by
+counts, so a crowded place costs no more than an empty one; a margin only shortens the search radius.
 
 Leaves hold about LEAF_ROWS rows up to SAMPLE_ROWS / SAMPLE_PER_LEAF leaves (6.4 million points); beyond that they grow with the
 data, and the sample bound has to be raised with them. Distances are computed in blocks of PAIRS_AT_ONCE.
@@ -81,15 +82,26 @@ def _squares(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield i, x * x + y * y + z * z
 
 
-def nearest(points: DataFrame, k: int, item: str) -> DataFrame:
-    """(a_id, b_id, d2, rank): the k nearest others of every point (J7 without its margin)."""
-    spark = points.sparkSession
+def _one_per_id(points: DataFrame, item: str) -> DataFrame:
     # adding 0.0 turns -0.0 into 0.0, so that equal places have equal keys
     place = F.struct(*[(F.col(c).cast("double") + F.lit(0.0)).alias(c) for c in grid.XYZ])
-    rows = cut(grid.located(points).where(F.col(item).isNotNull()).groupBy(F.col(item).cast("long").alias("a_id")).agg(F.min(place).alias("p")).select("a_id", "p.*"))
-    entries = cut(rows.withColumn("copy", F.row_number().over(W.partitionBy(*grid.XYZ).orderBy("a_id"))).where(F.col("copy") <= k + 1).drop("copy"))
-    crowded = entries.groupBy(*grid.XYZ).agg(F.sort_array(F.collect_list("a_id")).alias("ids")).where(F.size("ids") > k)  # at most k + 1 ids each
-    others = rows.join(crowded, grid.XYZ).where(F.col("a_id") > F.element_at("ids", k + 1)).select("a_id", F.explode(F.slice("ids", 1, k)).alias("b_id"), F.lit(0.0).alias("d2"))
+    return cut(grid.located(points).where(F.col(item).isNotNull()).groupBy(F.col(item).cast("long").alias("a_id")).agg(F.min(place).alias("p")).select("a_id", "p.*"))
+
+
+def nearest(points: DataFrame, k: int, item: str, margin: float | None = None, reference: DataFrame | None = None, reference_item: str | None = None, others_only: bool = True) -> DataFrame:
+    """(a_id, b_id, d2, rank): the k nearest of every point, closer than ``margin`` if given.
+
+    They are looked for among ``reference``, else among the points themselves; with ``others_only`` a point of the same id isn't one.
+    """
+    spark, own = points.sparkSession, reference is None
+    rows = _one_per_id(points, item)
+    targets = rows if own else _one_per_id(reference, reference_item or item)
+    entries = cut(targets.withColumn("copy", F.row_number().over(W.partitionBy(*grid.XYZ).orderBy("a_id"))).where(F.col("copy") <= k + 1).drop("copy"))
+    asking, others = rows, None
+    if own:  # the copies that aren't indexed have the first k of their place as neighbours
+        crowded = entries.groupBy(*grid.XYZ).agg(F.sort_array(F.collect_list("a_id")).alias("ids")).where(F.size("ids") > k)  # at most k + 1 ids each
+        others = rows.join(crowded, grid.XYZ).where(F.col("a_id") > F.element_at("ids", k + 1)).select("a_id", F.explode(F.slice("ids", 1, k)).alias("b_id"), F.lit(0.0).alias("d2"))
+        asking = entries
 
     n = entries.count()
     leaves = max(1, min(n // max(LEAF_ROWS, 4 * k), SAMPLE_ROWS // SAMPLE_PER_LEAF))
@@ -97,37 +109,44 @@ def nearest(points: DataFrame, k: int, item: str) -> DataFrame:
     sample = entries.where(F.pmod(F.xxhash64("a_id"), F.lit(every)) == 0).select(*grid.XYZ).limit(2 * SAMPLE_ROWS).toPandas().to_numpy(dtype=np.float64).reshape(-1, 3)
     tree, parts = spark.sparkContext.broadcast(Tree(sample, leaves)), shuffle_partitions(spark)
     kinds = "a_id long, x double, y double, z double"
+    cap, self_counts = np.inf if margin is None else margin * margin, others_only
 
     def to_leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             q, leaf = tree.value.reach(_xyz(b))
-            own = np.empty(b.num_rows, dtype=np.int32)
-            own[q] = leaf
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own)], names=[*b.schema.names, "leaf"])
+            mine = np.empty(b.num_rows, dtype=np.int32)
+            mine[q] = leaf
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(mine)], names=[*b.schema.names, "leaf"])
 
     # partitions of a given number aren't merged for their small size: the work is in the kernels, not in the bytes
-    placed = entries.select("a_id", *grid.XYZ).mapInArrow(to_leaf, f"{kinds}, leaf int").repartition(parts, "leaf")
-
-    def bound(t: pa.Table) -> pa.Table:
-        p = _xyz(t)
-        r2 = np.full(len(p), np.inf)
-        if len(p) > k:  # a point itself is the nearest at 0, so the k-th other is at place k
-            for i, d2 in _squares(p, p):
-                r2[i : i + len(d2)] = np.partition(d2, k, axis=1)[:, k]
+    leafed = lambda df: df.select("a_id", *grid.XYZ).mapInArrow(to_leaf, f"{kinds}, leaf int").repartition(parts, "leaf")
+    placed = leafed(entries)
+
+    def bound(g: pa.Table, h: pa.Table) -> pa.Table:
+        p, to = _xyz(g), _xyz(h)
+        # a point itself may be among them at 0, so the k-th other is at place k
+        r2, at = np.full(len(p), cap), k if self_counts else k - 1
+        if len(to) > at:
+            for i, d2 in _squares(p, to):
+                r2[i : i + len(d2)] = np.minimum(np.partition(d2, at, axis=1)[:, at], cap)
         q, leaf = tree.value.reach(p, np.sqrt(r2) * (1 + SLACK) + SLACK)
-        return pa.table([t.column("a_id").take(pa.array(q)), *[pa.array(p[q, j]) for j in range(3)], pa.array(r2[q]), pa.array(leaf.astype(np.int32))], names=["a_id", *grid.XYZ, "r2", "leaf"])
+        return pa.table([g.column("a_id").take(pa.array(q)), *[pa.array(p[q, j]) for j in range(3)], pa.array(r2[q]), pa.array(leaf.astype(np.int32))], names=["a_id", *grid.XYZ, "r2", "leaf"])
 
-    guests = placed.groupBy("leaf").applyInArrow(bound, f"{kinds}, r2 double, leaf int").repartition(parts, "leaf")
+    asked = placed if own else leafed(asking)
+    guests = asked.groupBy("leaf").cogroup(placed.groupBy("leaf")).applyInArrow(bound, f"{kinds}, r2 double, leaf int").repartition(parts, "leaf")
 
     def visit(g: pa.Table, h: pa.Table) -> pa.Table:
         ids, hosts, at, to, r2 = g.column("a_id").to_numpy(), h.column("a_id").to_numpy(), _xyz(g), _xyz(h), g.column("r2").to_numpy()
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         for i, d2 in _squares(at, to):
             mine = ids[i : i + len(d2)]
-            q, v = np.nonzero(d2 <= r2[i : i + len(d2), None])
+            near = (d2 <= r2[i : i + len(d2), None]) & (d2 < cap)
+            q, v = np.nonzero(near)
             d = d2[q, v]
-            other = mine[q] != hosts[v]
-            q, v, d = q[other], hosts[v[other]], d[other]
+            if self_counts:
+                other = mine[q] != hosts[v]
+                q, v, d = q[other], v[other], d[other]
+            v = hosts[v]
             by = np.lexsort((v, d, q))
             q, v, d = q[by], v[by], d[by]
             keep = np.arange(len(q)) - np.searchsorted(q, q) < k
@@ -136,4 +155,6 @@ def nearest(points: DataFrame, k: int, item: str) -> DataFrame:
 
     found = guests.groupBy("leaf").cogroup(placed.groupBy("leaf")).applyInArrow(visit, "a_id long, b_id long, d2 double")
     order = W.partitionBy("a_id").orderBy("d2", "b_id")
-    return found.union(others).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    if others is not None:
+        found = found.union(others)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

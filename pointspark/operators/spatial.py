@@ -1,7 +1,7 @@
 """Neighbour operators: capped nearest, k nearest within a margin, radius joins, neighbourhood statistics, roughness.
 
-Distance joins are equi-joins on cells of the cap (``grid.halo_join``), reduced by built-in aggregates, so no neighbourhood is
-collected beyond k rows. Roughness needs eigenvectors and runs as an Arrow kernel on at most BALL_K neighbours a point.
+Searches for the nearest go through ``nearest.nearest``, whose leaves are cut by counts: crowded places are split and no pair beyond
+the k nearest is handed on. Roughness needs eigenvectors, which an Arrow kernel takes from sums of products, all points of a batch at once.
 Self is excluded by id, so an exact copy of a point is its neighbour at distance 0. Ties are broken by the smaller id. Rows
 without finite coordinates take no part; points without neighbours keep a row with NULL figures.
 """
@@ -26,15 +26,13 @@ Z_EPS = 1e-6
 
 def nearest_capped(query: DataFrame, reference: DataFrame, cap: float, query_id: str, reference_id: str) -> DataFrame:
     """(query_id, distance): distance to the nearest reference point, NULL from the cap on."""
-    near = grid.halo_join(query, reference, cap, query_id, reference_id).groupBy("a_id").agg(F.sqrt(F.min("d2")).alias("distance"))
+    near = nearest(query, 1, query_id, cap, reference, reference_id, others_only=False).select("a_id", F.sqrt("d2").alias("distance"))
     return grid.located(query).select(F.col(query_id)).distinct().join(near, F.col(query_id) == F.col("a_id"), "left").select(query_id, "distance")
 
 
 def knn(points: DataFrame, k: int, margin: float, item: str, reference: DataFrame | None = None) -> DataFrame:
-    """(a_id, b_id, d2, rank): the k nearest others within the margin (J7); row_number <= k limits groups before the shuffle."""
-    pairs = grid.halo_join(points, points if reference is None else reference, margin, item, item).where(F.col("a_id") != F.col("b_id"))
-    order = W.partitionBy("a_id").orderBy("d2", "b_id")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    """(a_id, b_id, d2, rank): the k nearest others within the margin."""
+    return nearest(points, k, item, margin, reference)
 
 
 def _certain(k: int, margin: float) -> Column:
@@ -57,7 +55,7 @@ def mean_distances(points: DataFrame, ks: list[int], margin: float, item: str, w
 
 def range_semi(reference: DataFrame, query: DataFrame, radius: float, reference_id: str, query_id: str) -> DataFrame:
     """Reference rows with any query point within the radius."""
-    hit = grid.halo_join(reference, query, radius, reference_id, query_id).select(F.col("a_id").alias(reference_id)).distinct()
+    hit = nearest(reference, 1, reference_id, radius, query, query_id, others_only=False).select(F.col("a_id").alias(reference_id))
     return reference.join(hit, reference_id, "left_semi")
 
 
@@ -79,11 +77,28 @@ def neighbourhood_stats(points: DataFrame, channels: dict[str, float], k: int, m
     )], (F.coalesce("n", F.lit(0)) < k).alias(f"uncertain_k{k}"))
 
 
-def plane_residual(point: np.ndarray, neighbours: np.ndarray) -> float:
-    """Distance of a point from the plane fitted to its neighbours (smallest principal axis)."""
-    mid = neighbours.mean(axis=0)
-    _, vectors = np.linalg.eigh(np.cov((neighbours - mid).T, bias=True))
-    return float(abs((point - mid) @ vectors[:, 0]))
+def _residuals(points: DataFrame, near: DataFrame, thin: DataFrame, item: str, least: int) -> DataFrame:
+    """(item, roughness): distance of each point from the plane fitted to its neighbours; NULL below ``least`` of them.
+
+    A plane is known from ten sums of its points, taken relative to the point itself so that nothing cancels.
+    """
+    here = points.select(F.col(item).alias("a_id"), *[F.col(c).alias(f"q{c}") for c in grid.XYZ])
+    at = thin.select(F.col(item).alias("b_id"), *grid.XYZ)
+    rel = near.join(at, "b_id").join(here, "a_id").select("a_id", *[(F.col(c) - F.col(f"q{c}")).alias(c) for c in grid.XYZ])
+    sums = grid.covariance(grid.point_clusters(rel, ["a_id"])).where(F.col("n") >= least)
+    names = ["cx", "cy", "cz", "vxx", "vxy", "vxz", "vyy", "vyz", "vzz"]
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            c = np.column_stack([b.column(n).to_numpy() for n in names]).reshape(-1, 9)
+            full = c[:, [3, 4, 5, 4, 6, 7, 5, 7, 8]].reshape(-1, 3, 3)
+            _, axes = np.linalg.eigh(full)
+            out = np.abs((c[:, :3] * axes[:, :, 0]).sum(axis=1))
+            yield pa.RecordBatch.from_arrays([b.column("a_id"), pa.array(out)], names=["a_id", "roughness"])
+
+    kind = sums.schema["a_id"].dataType.simpleString()
+    fitted = sums.select("a_id", *names).mapInArrow(fit, f"a_id {kind}, roughness double")
+    return grid.located(points).select(F.col(item)).distinct().join(fitted, F.col(item) == F.col("a_id"), "left").select(item, "roughness")
 
 
 def roughness(points: DataFrame, radius: float, item: str) -> DataFrame:
@@ -91,21 +106,15 @@ def roughness(points: DataFrame, radius: float, item: str) -> DataFrame:
 
     The neighbours come from a copy downsampled to radius / 5 that keeps the first point of each voxel (J8).
     """
-    thin = grid.keep_first(points.select(item, *grid.XYZ), radius / 5, [item])
-    pairs = grid.halo_join(points, thin, radius, item, item)
-    order = W.partitionBy("a_id").orderBy("d2", "b_id")
-    near = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= BALL_K)
-    at = thin.select(F.col(item).alias("b_id"), F.array(*grid.XYZ).alias("p"))
-    sets = near.join(at, "b_id").groupBy("a_id").agg(F.collect_list("p").alias("ps"))  # at most BALL_K each
-    rows = grid.located(points).select(F.col(item).alias("a_id"), F.array(*grid.XYZ).alias("q")).join(sets, "a_id", "left")
+    points = grid.located(points).select(item, *grid.XYZ)
+    thin = grid.keep_first(points, radius / 5, [item])
+    return _residuals(points, nearest(points, BALL_K, item, radius, thin, others_only=False), thin, item, 4)
 
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [plane_residual(np.array(q), np.array(ps)) if ps is not None and len(ps) >= 4 else None for q, ps in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, type=pa.float64())], names=["a_id", "roughness"])
 
-    kind = rows.schema["a_id"].dataType.simpleString()
-    return rows.mapInArrow(fit, f"a_id {kind}, roughness double").withColumnRenamed("a_id", item)
+def roughness_k(points: DataFrame, k: int, item: str) -> DataFrame:
+    """(item, roughness): plane residual among the k nearest points, itself included; NULL below 4."""
+    points = grid.located(points).select(item, *grid.XYZ)
+    return _residuals(points, nearest(points, k, item, others_only=False), points, item, 4)
 
 
 #: Scale-free ratios of family E, (name, numerator, denominator, scale).
