@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 from pointspark.session import cut
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges of one partition -> (node, smallest node of its local component)."""
-    got = [b for b in batches if b.num_rows]
-    if not got:
-        return
-    ends = np.concatenate([np.column_stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in got])
+#: Edges that a partition folds into its forest at once; beyond so many edges a node's are spread over several partitions.
+FOLD_EDGES, HEAVY = 1_000_000, 100_000
+
+
+def _leads(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node of its local component) of all nodes that aren't the smallest themselves."""
     nodes, flat = np.unique(ends, return_inverse=True)
     u, v = flat.reshape(-1, 2).T
     lead = np.arange(len(nodes))
@@ -37,13 +37,36 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 break
             lead = up
     keep = lead != np.arange(len(nodes))
-    yield pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(nodes[lead[keep]])], names=["u", "v"])
+    return nodes[keep], nodes[lead[keep]]
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of one partition -> its spanning forest; what is held never exceeds the partition's nodes and FOLD_EDGES."""
+    held, waiting, size = np.zeros((0, 2), dtype=np.int64), [], 0
+    for b in batches:
+        waiting.append(np.column_stack([b.column(0).to_numpy(), b.column(1).to_numpy()]))
+        size += b.num_rows
+        if size >= FOLD_EDGES:
+            held, waiting, size = np.column_stack(_leads(np.concatenate([held, *waiting]))), [], 0
+    if size or len(held):
+        u, v = _leads(np.concatenate([held, *waiting]))
+        for i in range(0, len(u), FOLD_EDGES):
+            yield pa.RecordBatch.from_arrays([pa.array(u[i : i + FOLD_EDGES]), pa.array(v[i : i + FOLD_EDGES])], names=["u", "v"])
+
+
+def _gathered(edges: DataFrame) -> DataFrame:
+    """Edges with those of one ``v`` together, except that a heavy ``v`` is spread by its ``u``: no hub makes a task of its own."""
+    degree = edges.groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") > HEAVY).select("v", F.ceil(F.col("n") / HEAVY).alias("parts"))
+    # so many nodes at most have more than HEAVY edges each: one in HEAVY rows
+    spread = edges.join(degree, "v", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("u"), F.col("parts")), F.lit(0)))
+    return spread.repartition("v", "salt").select("u", "v")
 
 
 def connected_leads(edges: DataFrame) -> DataFrame:
     """(node, lead): the smallest node of the component of every node that has an edge (u, v)."""
     step = edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    step = step.mapInArrow(_forest, "u long, v long").distinct().repartition("v").mapInArrow(_forest, "u long, v long")
+    step = cut(step.mapInArrow(_forest, "u long, v long").distinct())
+    step = _gathered(step).mapInArrow(_forest, "u long, v long")
     step, before = cut(step.distinct()), None
     while True:
         # large star: larger neighbours to the smallest of the neighbourhood

@@ -8,9 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from pointspark.functions.missing import finite
 from pointspark.operators.ordered import exact_quantiles, ranked, running_sums
+from pointspark.operators.profile import value_bucket
+from pointspark.session import cut
 
 BUDGETS = [i * 0.02 for i in range(26)]
 TAUS = [0.01, 0.02, 0.03, 0.05, 0.08, 0.10, 0.20]
@@ -61,24 +64,51 @@ def spearman(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     return s.select(*by, "n", F.when(den > 0, (n * F.col("sxy") - F.col("sx") * F.col("sy")) / den).alias("rho"))
 
 
+def nested_quantiles(rows: DataFrame, by: list[str], value: str, level: str, probs: dict[str, float]) -> DataFrame:
+    """(by, b, one column a probability): exact quantiles of the rows with level >= b, for every b from 0 up to the largest level.
+
+    Equal (value, level) rows are counted first. Counts per value bucket tell which bucket holds each wanted rank in each nested set;
+    only those buckets are read value by value, so no row is copied for every set that it belongs to.
+    """
+    counts = cut(rows.groupBy(*by, F.col(value).alias("_v"), F.col(level).alias("_l")).agg(F.count("*").alias("_m")).withColumn("_bucket", value_bucket(F.col("_v"), 64)))
+    sets = counts.groupBy(*by, "_bucket", "_l").agg(F.sum("_m").alias("_m")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("_l")))).groupBy(*by, "b", "_bucket").agg(F.sum("_m").alias("_here"))
+    upto, whole = W.partitionBy(*by, "b").orderBy("_bucket"), W.partitionBy(*by, "b")
+    sets = sets.select("*", F.sum("_here").over(upto).alias("_until"), F.sum("_here").over(whole).alias("_n"))
+    asks = F.array(*[F.struct(F.lit(k).alias("name"), (F.lit(p) * (F.col("_n") - 1)).alias("h")) for k, p in probs.items()])
+    want = sets.withColumn("_a", F.explode(asks)).select("*", "_a.name", "_a.h").withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("h"), F.ceil("h")))))
+    want = want.where((F.col("_rank") < F.col("_until")) & (F.col("_rank") >= F.col("_until") - F.col("_here")))
+    want = want.select(*[F.col(c).alias(f"_b_{c}") for c in by], F.col("_bucket").alias("_wanted"), "b", "name", "h", "_rank", (F.col("_until") - F.col("_here")).alias("_before"))
+    same = (F.col("_bucket") == F.col("_wanted")) & (F.col("_l") >= F.col("b"))
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_b_{c}"))
+    inside = W.partitionBy(*by, "b", "name", "_rank").orderBy("_v", "_l")
+    met = counts.join(want, same).withColumn("_cum", F.col("_before") + F.sum("_m").over(inside)).where(F.col("_cum") > F.col("_rank"))
+    at = met.groupBy(*by, "b", "name", "h", "_rank").agg(F.min("_v").alias("_v")).groupBy(*by, "b", "name", "h").agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    q = F.col("lo") + F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) * (F.col("h") - F.floor("h"))).otherwise(0.0)
+    return at.groupBy(*by, "b").agg(*[F.max(F.when(F.col("name") == k, q)).alias(k) for k in probs])
+
+
 def budget_curve(df: DataFrame, by: list[str], tie: str, tau: float, budgets: list[float] | None = None) -> DataFrame:
-    """Quality of what is left after removing the worst share, for every budget.
+    """Quality of what is left after removing the worst share, for every budget.
 
-    Rows are ranked once; a budget keeps max(bround(n (1 - f)), 1) of them.
+    Rows are ranked once; a budget keeps max(bround(n (1 - f)), 1) of them. The kept sets are nested, so a row is described by the
+    largest budget that keeps it, and all figures come from counts per budget.
     """
     if not by:
         return budget_curve(df.withColumn("_all", F.lit(0)), ["_all"], tie, tau, budgets).drop("_all")
+    steps = sorted({round(b, 2) for b in budgets or BUDGETS})
     rows = ranked(df.select(*by, "score", "distance", tie), by, [F.col("score"), F.col(tie)], "rank")
-    sizes = df.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col("distance") <= tau).alias("inliers"))
-    steps = sizes.withColumn("budget", F.explode(F.array(*[F.lit(round(b, 2)) for b in (budgets or BUDGETS)]))).withColumn("kept", F.greatest(F.bround(F.col("n") * (1 - F.col("budget"))), F.lit(1)).cast("long"))
-    keys = [*by, "budget"]
-    kept = rows.join(steps, by).where(F.col("rank") <= F.col("kept")).select(*keys, "n", "inliers", "kept", "distance")
-    q = exact_quantiles(kept, keys, F.col("distance"), {"median_c2c": 0.5, "p90_c2c": 0.9}).drop("n")
-    good = F.count_if(F.col("distance") <= tau)
-    agg = kept.groupBy(*keys, "n", "inliers", "kept").agg(F.avg("distance").alias("mean_c2c"), good.alias("good"))
+    keeps = F.array(*[F.greatest(F.bround(F.col("n") * (1 - F.lit(b))), F.lit(1)).cast("long") for b in steps])
+    sizes = df.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col("distance") <= tau).alias("inliers")).withColumn("keeps", keeps)
+    level = F.size(F.filter("keeps", lambda k: k >= F.col("rank"))) - 1
+    rows = rows.join(sizes, by).select(*by, level.alias("level"), "distance").where(F.col("level") >= 0)
+    sums = rows.groupBy(*by, "level").agg(F.sum("distance").alias("sum"), F.count_if(F.col("distance") <= tau).alias("good"))
+    sums = sums.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("level")))).groupBy(*by, "b").agg(F.sum("sum").alias("sum"), F.sum("good").alias("good"))
+    q = nested_quantiles(rows, by, "distance", "level", {"median_c2c": 0.5, "p90_c2c": 0.9})
+    out = sums.join(q, [*by, "b"]).join(sizes, by).withColumns({"budget": F.element_at(F.array(*[F.lit(b) for b in steps]), F.col("b") + 1), "kept": F.element_at("keeps", F.col("b") + 1)})
     precision, recall = F.col("good") / F.col("kept"), F.coalesce(F.try_divide("good", "inliers"), F.lit(0.0))
     f1 = F.coalesce(F.try_divide(2 * precision * recall, precision + recall), F.lit(0.0))
-    return agg.join(q, keys).select(*keys, (1 - F.col("kept") / F.col("n")).alias("removed"), "kept", "mean_c2c", "median_c2c", "p90_c2c", (1 - precision).alias("outlier_rate"), precision.alias("precision"), recall.alias("recall"), f1.alias("f1"))
+    return out.select(*by, "budget", (1 - F.col("kept") / F.col("n")).alias("removed"), "kept", (F.col("sum") / F.col("kept")).alias("mean_c2c"), "median_c2c", "p90_c2c", (1 - precision).alias("outlier_rate"), precision.alias("precision"), recall.alias("recall"), f1.alias("f1"))
 
 
 def headline(curve: DataFrame, by: list[str], scorer: str, baseline: str, fractions: list[float]) -> DataFrame:
@@ -117,8 +147,6 @@ def overlap(a: DataFrame, b: DataFrame, cells: list[str]) -> DataFrame:
 
 def histogram(df: DataFrame, by: list[str], value: Column, width: float) -> DataFrame:
     """(by, bin, n, cdf): counts per bin and their running share (M17); only bins are ordered."""
-    from pyspark.sql import Window as W
-
     bins = df.where(value.isNotNull()).groupBy(*by, F.floor(value / width).cast("long").alias("bin")).agg(F.count("*").alias("n"))
     w = W.partitionBy(*by)
     return bins.select("*", (F.sum("n").over(w.orderBy("bin")) / F.sum("n").over(w)).alias("cdf"))

@@ -33,6 +33,22 @@ def running_sums(df: DataFrame, by: list[str], order: list[Column], sums: dict[s
     return rows.withColumns({k: F.col(k) + F.col(f"_s_{k}") for k in sums}).select(*df.columns, *sums)
 
 
+def gaps_in_order(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, gap): the step from each value to the next larger one (or its equal) of the group; the last one has none.
+
+    Inside partitions it is a window; across them only each partition's first value (one row a group and partition) is looked at.
+    """
+    rows = range_sorted(df.select(*by, value).withColumn("_tie", F.monotonically_increasing_id()), by, [F.col(value), F.col("_tie")])
+    heads = rows.groupBy(*by, "_part").agg(F.min(value).alias("_first"))
+    after = heads.select(*[F.col(b).alias(f"_b_{b}") for b in by], F.col("_part").alias("_p"), F.lead("_first").over(W.partitionBy(*by).orderBy("_part")).alias("_next"))
+    same = F.col("_part") == F.col("_p")
+    for b in by:
+        same &= F.col(b).eqNullSafe(F.col(f"_b_{b}"))
+    inside = rows.select(*by, "_part", value, F.lead(value).over(W.partitionBy(*by, "_part").orderBy(value, "_tie")).alias("_then"))
+    out = inside.join(after, same).select(*by, (F.coalesce("_then", "_next") - F.col(value)).alias("gap"))
+    return out.where(F.col("gap").isNotNull())
+
+
 def ranked(df: DataFrame, by: list[str], order: list[Column], name: str = "rank") -> DataFrame:
     """Adds the row number in the group."""
     return running_sums(df, by, order, {name: F.lit(1)})

@@ -26,6 +26,8 @@ from pointspark.session import cut
 
 TOLERANCE = 1e-6
 MIN_VALUES = 50
+#: So many open buckets are broadcast to the rows; beyond that they are joined by a shuffle.
+BROADCAST_BINS = 200_000
 MISSING_RISE = 15  # per cent
 SHIFT_GAP = 0.25
 PER_OCTAVE = 8
@@ -53,28 +55,39 @@ def _is_text(kind: T.DataType) -> bool:
     return isinstance(kind, T.StringType)
 
 
-def value_bucket(v: Column) -> Column:
+def value_bucket(v: Column, per_octave: int = PER_OCTAVE) -> Column:
     """Order-preserving integer code of a double; equal values share a code."""
-    mag = F.when(F.abs(v) > 1e300, 9000).otherwise(F.floor(F.log2(F.abs(v)) * PER_OCTAVE))
-    return F.when(v == 0, 0).otherwise(F.signum(v) * (mag + 10000)).cast("int")
+    mag = F.when(F.abs(v) > 1e300, 1125 * per_octave).otherwise(F.floor(F.log2(F.abs(v)) * per_octave))
+    return F.when(v == 0, 0).otherwise(F.signum(v) * (mag + 1250 * per_octave)).cast("int")
 
 
-def value_counts(df: DataFrame, rules: list[ColumnRule], load: str = "load_id") -> DataFrame:
-    """(load, c, v, t, n): how often each valid value of each column occurs in each load; v and t NULL for missing."""
+def _entries(df: DataFrame, rules: list[ColumnRule], load: str, only: list[int] | None = None) -> DataFrame:
+    """(load, c, v, t, w): the unpivoted table; v a number, w a 64-bit whole number kept exactly, t a text; all NULL if missing."""
     entries = []
     kinds = {f.name: f.dataType for f in df.schema.fields}
     for i, r in enumerate(rules):
-        col = F.col(f"`{r.column}`")
-        if _is_text(kinds[r.column]):
-            text = F.when(F.trim(col) != "", col)
-            entries.append(F.struct(F.lit(i).alias("c"), F.lit(None).cast("double").alias("v"), text.alias("t")))
+        if only is not None and i not in only:
+            continue
+        kind, col = kinds[r.column], F.col(f"`{r.column}`")
+        v, t, w = F.lit(None).cast("double"), F.lit(None).cast("string"), F.lit(None).cast("long")
+        if _is_text(kind):
+            t = F.when(F.trim(col) != "", col)
+        elif isinstance(kind, T.LongType):
+            w = col if r.sentinel is None else F.when(F.abs(col.cast("double") - F.lit(r.sentinel)) > TOLERANCE, col)
         else:
-            num = F.unix_micros(col.cast("timestamp")).cast("double") if isinstance(kinds[r.column], (T.TimestampType, T.TimestampNTZType)) else col.cast("double")
+            num = F.unix_micros(col.cast("timestamp")).cast("double") if isinstance(kind, (T.TimestampType, T.TimestampNTZType)) else col.cast("double")
             missing = F.isnan(num)
             if r.sentinel is not None:
                 missing |= F.abs(num - F.lit(r.sentinel)) <= TOLERANCE
-            entries.append(F.struct(F.lit(i).alias("c"), F.when(~missing, num).alias("v"), F.lit(None).cast("string").alias("t")))
-    return df.select(F.col(load).alias("load"), F.explode(F.array(*entries)).alias("e")).groupBy("load", "e.c", "e.v", "e.t").agg(F.count("*").alias("n"))
+            v = F.when(~missing, num)
+        entries.append(F.struct(F.lit(i).alias("c"), v.alias("v"), t.alias("t"), w.alias("w")))
+    return df.select(F.col(load).alias("load"), F.explode(F.array(*entries)).alias("e")).select("load", "e.*")
+
+
+def value_counts(df: DataFrame, rules: list[ColumnRule], load: str = "load_id") -> DataFrame:
+    """(load, c, v, t, n): how often each valid value of each column occurs in each load; v and t NULL for missing."""
+    counts = _entries(df, rules, load).groupBy("load", "c", "v", "t", "w").agg(F.count("*").alias("n"))
+    return counts.select("load", "c", F.coalesce("v", F.col("w").cast("double")).alias("v"), "t", "n")
 
 
 def load_order(df: DataFrame, feed: str = "feed_id", load: str = "load_id", seq: str = "load_seq") -> DataFrame:
@@ -105,8 +118,8 @@ def _breaks(rules: list[ColumnRule]) -> tuple[Column, Column]:
 def profile_loads(df: DataFrame, rules: list[ColumnRule], feed: str = "feed_id", load: str = "load_id", seq: str = "load_seq", resolve: bool = False) -> DataFrame:
     """One row a load and column: counts, ranges, broken rules, and the change against the load before it.
 
-    largest_gap is exact with ``resolve``; else it is a lower bound that is exact in whether it exceeds SHIFT_GAP. PSI and
-    chi-square of text columns are over 64 hash bins.
+    largest_gap is exact with ``resolve``, and so are PSI and chi-square of texts, over their values; else largest_gap is a lower bound that
+    is exact in whether it exceeds SHIFT_GAP, and texts are compared in 64 hash bins.
     """
     counts = value_counts(df, rules, load)
     out, bad = _breaks(rules)
@@ -143,17 +156,31 @@ def profile_loads(df: DataFrame, rules: list[ColumnRule], feed: str = "feed_id",
     })
     pn, pp = (F.col("now") + 0.5) / (N + 0.5), (F.col("past") + 0.5) / (P + 0.5)
     rate = (F.col("now") + F.col("past")) / (N + P)
-    change = border.groupBy("pair", "c").agg(
-        F.max("gap").alias("gap"), F.sum((pn - pp) * F.log(pn / pp)).alias("psi"),
+    distances = [
+        F.sum((pn - pp) * F.log(pn / pp)).alias("psi"),
         F.sum(F.pow(F.col("now") - N * rate, F.lit(2)) / (N * rate) + F.pow(F.col("past") - P * rate, F.lit(2)) / (P * rate)).alias("chi_square"),
-    )
+    ]
+    change = border.groupBy("pair", "c").agg(F.max("gap").alias("gap"), *distances)
     # value by value only where a bucket may hide a gap beyond the largest one at borders, or, if that is enough, beyond the limit
     text = [i for i, r in enumerate(rules) if _is_text(df.schema[r.column].dataType)]
     open_bins = border.drop("gap").where(~F.col("c").isin(text)).join(change.select("pair", "c", "gap"), ["pair", "c"]).where(F.col("most") > F.col("gap") if resolve else (F.col("most") > SHIFT_GAP) & (F.col("gap") <= SHIFT_GAP)).select("pair", "c", "b", "now0", "past0", "now_all", "past_all")
-    fine = both(coded.where(F.col("v").isNotNull()), "c", "b", "v").join(open_bins, ["pair", "c", "b"]).groupBy("pair", "c", "b", "v", "now0", "past0", "now_all", "past_all").agg(F.sum("now").alias("now"), F.sum("past").alias("past"))
+    sides = F.array(F.struct(F.col("pair").alias("load"), F.lit(True).alias("new")), F.struct(F.col("before").alias("load"), F.lit(False).alias("new")))
+    open_bins = cut(open_bins.join(order.select(F.col("load").alias("pair"), "before"), "pair").select("*", F.explode(sides).alias("s")).select("pair", "c", "b", "now0", "past0", "now_all", "past_all", "s.load", "s.new"))
+    # rows outside the open buckets are dropped where they are read, before anything is counted or moved
+    few = open_bins.count() <= BROADCAST_BINS
+    raw = _entries(df, rules, load, [i for i in range(len(rules)) if i not in text]) if len(text) < len(rules) else _entries(df, rules, load).limit(0)
+    raw = raw.withColumn("v", F.coalesce("v", F.col("w").cast("double"))).where(F.col("v").isNotNull()).select("load", "c", "v", value_bucket(F.col("v")).alias("b"))
+    keys = ["pair", "c", "b", "v", "now0", "past0", "now_all", "past_all"]
+    fine = raw.join(F.broadcast(open_bins) if few else open_bins, ["load", "c", "b"]).groupBy(*keys).agg(F.count_if("new").alias("now"), F.count_if(~F.col("new")).alias("past"))
     within = W.partitionBy("pair", "c", "b").orderBy("v")
     fine = fine.select("pair", "c", gap(F.col("now0") + F.sum("now").over(within), F.col("past0") + F.sum("past").over(within)).alias("gap")).groupBy("pair", "c").agg(F.max("gap").alias("fine"))
 
+    if resolve and text:  # texts have no order, so their distributions are compared value by value
+        words = both(coded.where(F.col("t").isNotNull()), "c", "t").groupBy("pair", "c", "t").agg(F.sum("now").alias("now"), F.sum("past").alias("past"))
+        sums = border.where(F.col("c").isin(text)).groupBy("pair", "c").agg(F.max("now_all").alias("now_all"), F.max("past_all").alias("past_all"))
+        words = words.join(sums, ["pair", "c"])
+        change = change.where(~F.col("c").isin(text)).unionByName(words.groupBy("pair", "c").agg(F.lit(None).cast("double").alias("gap"), *distances))
+
     before = stats.select(F.col("load").alias("before"), "c", F.col("rows").alias("rows_before"), F.col("missing").alias("missing_before"), F.col("distinct_values").alias("distinct_before"))
     names = F.array(*[F.lit(r.column) for r in rules])
     return (

@@ -9,9 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from pointspark.functions.missing import finite
+from pointspark.operators.ordered import gaps_in_order, quantile_rows
 
 SAMPLES, SKIP, MIN_RANGE = 3, 1, 0.10
 LEAST_SCALE = 1e-3
@@ -55,9 +55,14 @@ def scatter(points: DataFrame, features: DataFrame, keys: list[str]) -> DataFram
 
 def estimate_columns(points: DataFrame, keys: list[str], azimuth: str, ring: int, least_points: int = 64, least_gaps: int = 32, lo: int = 180, hi: int = 7200) -> DataFrame:
     """(keys, columns): 360 over the upper median positive azimuth gap of one ring; NULL if there is too little evidence."""
-    w = W.partitionBy(*keys).orderBy(azimuth)
-    rows = points.where((F.col("ring") == ring) & finite(azimuth).isNotNull()).select(*keys, (F.lead(azimuth).over(w) - F.col(azimuth)).alias("gap"), F.count("*").over(W.partitionBy(*keys)).alias("points"))
-    gaps = rows.where(F.col("gap") > 1e-6).select("*", F.row_number().over(W.partitionBy(*keys).orderBy("gap")).alias("r"), F.count("*").over(W.partitionBy(*keys)).alias("gaps"))
-    mid = gaps.where(F.col("r") == F.floor(F.col("gaps") / 2) + 1)
-    n = F.round(F.lit(360.0) / F.col("gap")).cast("int")
-    return mid.select(*keys, F.when((F.col("points") >= least_points) & (F.col("gaps") >= least_gaps) & n.between(lo, hi), n).alias("columns"))
+    rows = points.where((F.col("ring") == ring) & finite(azimuth).isNotNull()).select(*keys, F.col(azimuth).alias("_az"))
+    gaps = gaps_in_order(rows, keys, "_az")
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("points"))
+    # the upper median is the row at rank floor(n / 2), counted from 0
+    mid = quantile_rows(gaps.where(F.col("gap") > 1e-6), keys, F.col("gap"), F.array(F.struct(F.lit("mid").alias("name"), F.floor(F.col("n") / 2).cast("double").alias("h"))))
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    counts = counts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "points")
+    n = F.round(F.lit(360.0) / F.col("q")).cast("int")
+    return mid.join(counts, same).select(*keys, F.when((F.col("points") >= least_points) & (F.col("n") >= least_gaps) & n.between(lo, hi), n).alias("columns"))

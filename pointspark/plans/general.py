@@ -22,6 +22,12 @@ def p3_profile(spark: SparkSession, d: str) -> DataFrame:
     return profile.profile_loads(clouds, [given.get(c, profile.ColumnRule(c)) for c in columns], resolve=True)
 
 
+def p3_columns(spark: SparkSession, d: str) -> DataFrame:
+    """The figures of p3_profile that have a closed form: counts, distincts, ranges, broken rules and the exact largest gap."""
+    rows = p3_profile(spark, d)
+    return rows.select("load_id", "column_name", "rows", "missing", "distinct_values", "min_value", "max_value", "min_text", "max_text", "out_of_range", "off_pattern", "top_count", "rows_before", "missing_before", "distinct_before", F.round("largest_gap", 9).alias("largest_gap"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return drift.schema_changes(table(spark, d, "cloud_file"), table(spark, d, "cloud_record"))
 
@@ -39,7 +45,7 @@ def _unified(stage: str):
 
 
 def queries() -> dict:
-    return {"p3_found": p3_found, "p3_profile": p3_profile, "p6_found": p6_found, "p6_fields": p6_fields, "p6_table_pcd": _unified("pcd"), "p6_table_outlier_analysis": _unified("outlier_analysis")}
+    return {"p3_found": p3_found, "p3_profile": p3_profile, "p3_columns": p3_columns, "p6_found": p6_found, "p6_fields": p6_fields, "p6_table_pcd": _unified("pcd"), "p6_table_outlier_analysis": _unified("outlier_analysis")}
 
 
 _P3_SQL = """
@@ -79,6 +85,36 @@ UNION ALL SELECT load_id, column_name, 'shift' FROM pairs JOIN gap USING (load_i
 """
 
 
+#: Columns of the delivered cloud by the form that their values take in the profile.
+_REAL = "x y z intensity rgb balm_res ekf_res reflectivity plane_quality obs_count view_diversity temp_consistency ambient ring scan_time range_detach range_edge int_detach ring_rough range pose_unc_rot ang_rate".split()
+_LONG, _TIME, _TEXT = ["point_id", "scan_id", "cell_id"], ["loaded_at", "captured_at"], ["scan_file", "scene", "cloud_id"]
+_P3_COLUMNS = f"""
+WITH rule AS (SELECT column_name, sentinel, lo, hi, coalesce(whole, false) AS whole, pattern FROM channel_rule),
+cells AS (
+  SELECT feed_id, load_id, load_seq, column_name, v, CAST(NULL AS BIGINT) AS w, CAST(NULL AS VARCHAR) AS t FROM (SELECT feed_id, load_id, load_seq, unnest([{", ".join(f"'{c}'" for c in _REAL + _TIME)}]) AS column_name,
+    unnest([{", ".join([f'CAST("{c}" AS DOUBLE)' for c in _REAL] + [f"CAST(epoch_us({c}) AS DOUBLE)" for c in _TIME])}]) AS v FROM global_pcd_converter)
+  UNION ALL SELECT feed_id, load_id, load_seq, column_name, NULL, w, NULL FROM (SELECT feed_id, load_id, load_seq, unnest([{", ".join(f"'{c}'" for c in _LONG)}]) AS column_name, unnest([{", ".join(_LONG)}]) AS w FROM global_pcd_converter)
+  UNION ALL SELECT feed_id, load_id, load_seq, column_name, NULL, NULL, t FROM (SELECT feed_id, load_id, load_seq, unnest([{", ".join(f"'{c}'" for c in _TEXT)}]) AS column_name, unnest([{", ".join(_TEXT)}]) AS t FROM global_pcd_converter)),
+vals AS (SELECT c.*, r.lo, r.hi, coalesce(r.whole, false) AS whole, r.pattern,
+  CASE WHEN column_name IN ('scan_file', 'scene', 'cloud_id') THEN CASE WHEN trim(t, ' ') <> '' THEN t END WHEN w IS NOT NULL THEN CAST(w AS VARCHAR) WHEN (isfinite(v) OR isinf(v)) AND NOT coalesce(abs(v - r.sentinel) <= 1e-6, false) THEN CAST(v AS VARCHAR) END AS k,
+  CASE WHEN w IS NOT NULL THEN CAST(w AS DOUBLE) WHEN (isfinite(v) OR isinf(v)) AND NOT coalesce(abs(v - r.sentinel) <= 1e-6, false) THEN v END AS num FROM cells c LEFT JOIN rule r USING (column_name)),
+freq AS (SELECT load_id, column_name, k, count(*) AS n FROM vals WHERE k IS NOT NULL GROUP BY ALL),
+stats AS (SELECT load_id, column_name, count(*) AS rows, count(*) FILTER (WHERE k IS NULL) AS missing, count(DISTINCT k) AS distinct_values, min(num) AS min_value, max(num) AS max_value, min(CASE WHEN t IS NOT NULL THEN k END) AS min_text, max(CASE WHEN t IS NOT NULL THEN k END) AS max_text,
+  count(*) FILTER (WHERE coalesce(num < lo, false) OR coalesce(num > hi, false)) AS out_of_range,
+  count(*) FILTER (WHERE k IS NOT NULL AND CASE WHEN t IS NULL THEN whole AND NOT isinf(num) AND num <> floor(num) ELSE coalesce(NOT regexp_full_match(k, pattern), false) END) AS off_pattern FROM vals GROUP BY ALL),
+tops AS (SELECT load_id, column_name, max(n) AS top_count FROM freq GROUP BY ALL),
+prev AS (SELECT load_id, lag(load_id) OVER (PARTITION BY feed_id ORDER BY load_seq) AS before FROM (SELECT DISTINCT feed_id, load_id, load_seq FROM global_pcd_converter)),
+cnt AS (SELECT load_id, column_name, num AS v, count(*) AS c FROM vals WHERE num IS NOT NULL GROUP BY ALL),
+sides AS (SELECT load_id, column_name, v, c AS a, 0 AS b FROM cnt UNION ALL SELECT prev.load_id, column_name, v, 0, c FROM prev JOIN cnt ON cnt.load_id = prev.before),
+merged AS (SELECT load_id, column_name, v, sum(a) AS a, sum(b) AS b FROM sides GROUP BY ALL),
+cum AS (SELECT load_id, column_name, sum(a) OVER w AS a1, sum(b) OVER w AS b1, sum(a) OVER k AS aa, sum(b) OVER k AS bb FROM merged
+  WINDOW w AS (PARTITION BY load_id, column_name ORDER BY v ROWS UNBOUNDED PRECEDING), k AS (PARTITION BY load_id, column_name)),
+gap AS (SELECT load_id, column_name, max(abs(CAST(a1 AS DOUBLE) * bb - CAST(b1 AS DOUBLE) * aa) / (CAST(aa AS DOUBLE) * bb)) AS g FROM cum WHERE aa > 0 AND bb > 0 GROUP BY ALL)
+SELECT s.load_id, s.column_name, s.rows, s.missing, s.distinct_values, s.min_value, s.max_value, s.min_text, s.max_text, s.out_of_range, s.off_pattern, top_count, p.rows AS rows_before, p.missing AS missing_before, p.distinct_values AS distinct_before, round(g, 9) AS largest_gap
+FROM stats s JOIN prev ON prev.load_id = s.load_id LEFT JOIN stats p ON p.load_id = prev.before AND p.column_name = s.column_name LEFT JOIN tops ON tops.load_id = s.load_id AND tops.column_name = s.column_name
+LEFT JOIN gap ON gap.load_id = s.load_id AND gap.column_name = s.column_name
+"""
+
 _P6_SQL = r"""
 WITH RECURSIVE head AS (SELECT *, ltrim(header) LIKE '{%' AS js FROM cloud_file),
 pcd AS (SELECT file_id, string_split_regex(trim(regexp_extract(header, '(?im)^[ \t]*FIELDS[ \t]+([^\r\n]*)', 1), E' \t'), '[ \t]+') AS n, string_split_regex(trim(regexp_extract(header, '(?im)^[ \t]*TYPE[ \t]+([^\r\n]*)', 1), E' \t'), '[ \t]+') AS t,
@@ -117,4 +153,4 @@ SELECT walk.file_id, walk.name, any_value(fields.type) AS type, arg_max(was, dep
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": _P3_SQL, "p6_found": _P6_FOUND, "p6_fields": _P6_FIELDS}
+    return {"p3_found": _P3_SQL, "p3_columns": _P3_COLUMNS, "p6_found": _P6_FOUND, "p6_fields": _P6_FIELDS}

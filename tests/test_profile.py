@@ -37,3 +37,13 @@ def test_gaps_below_the_limit_and_behind_a_border_are_exact(spark):
 
 def test_empty(spark):
     assert find_issues(profile_loads(spark.createDataFrame([], SCHEMA), RULES)).count() == 0
+
+
+def test_large_ids_are_distinct_and_texts_are_compared_by_value(spark):
+    schema = "feed_id long, load_id long, load_seq int, k long, t string"
+    words = [f"w{i}" for i in range(300)]
+    rows = [(1, 1, 0, 9007199254740992 + i % 2, words[i % 150]) for i in range(300)] + [(1, 2, 1, None, words[150 + i % 150]) for i in range(300)]
+    out = {(r["load_id"], r["column_name"]): r for r in profile_loads(spark.createDataFrame(rows, schema), [ColumnRule("k"), ColumnRule("t")], resolve=True).collect()}
+    assert out[1, "k"]["distinct_values"] == 2 and out[2, "k"]["missing"] == 300
+    # no word is in both loads: chi-square of two equal loads without a common value is the number of rows
+    assert abs(out[2, "t"]["chi_square"] - 600) < 1e-6
