@@ -24,6 +24,14 @@ def located(df: DataFrame, dims: list[str] = XYZ) -> DataFrame:
     return df.where(ok)
 
 
+def in_box(df: DataFrame, lo: tuple[float, ...], hi: tuple[float, ...], margin: float = 0.0, dims: list[str] = XYZ) -> DataFrame:
+    """Rows in a bounding box grown by a margin (P9): plain comparisons, which reach the scan."""
+    ok = F.lit(True)
+    for c, a, b in zip(dims, lo, hi):
+        ok &= (F.col(c) >= a - margin) & (F.col(c) <= b + margin)
+    return df.where(ok)
+
+
 def with_cell(df: DataFrame, size: float, dims: list[str] = XYZ, names: list[str] = CELL) -> DataFrame:
     return located(df, dims).withColumns({n: F.floor(F.col(c) / size).cast("long") for n, c in zip(names, dims)})
 
@@ -81,8 +89,13 @@ def covariance(clusters: DataFrame) -> DataFrame:
 
 
 def raster(df: DataFrame, size: float, value: str) -> DataFrame:
-    """Count, mean of a value and lowest z per column of the xy grid."""
-    return with_cell(df, size, ["x", "y"], ["ix", "iy"]).groupBy("ix", "iy").agg(F.count("*").alias("n"), F.avg(finite(value)).alias("mean_value"), F.min(finite("z")).alias("min_z"))
+    """Count, mean of a value and lowest z per column of the xy grid.
+
+    The mean is of a sum with nine decimals, so that it is the same in any order of summation; values beyond 10^9 have none.
+    """
+    exact = finite(value).try_cast("decimal(18,9)")
+    mean = F.sum(exact).cast("double") / F.count(exact)
+    return with_cell(df, size, ["x", "y"], ["ix", "iy"]).groupBy("ix", "iy").agg(F.count("*").alias("n"), mean.alias("mean_value"), F.min(finite("z")).alias("min_z"))
 
 
 def raster_majority(df: DataFrame, size: float, code: str) -> DataFrame:

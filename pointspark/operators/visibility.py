@@ -9,9 +9,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from pointspark.functions import rigid
 from pointspark.operators import grid
+from pointspark.operators.graph import connected_leads
+from pointspark.session import cut
 
 UNKNOWN, OCCLUDED, FREE, OBSERVED = 0, 1, 2, 3
 IN_DOMAIN, NO_GT, OUT_FOOTPRINT, OUT_Z, EXCLUDED, NOT_VISIBLE = 0, 1, 2, 3, 4, 5
@@ -138,42 +141,58 @@ def polygon_cells(spark, polygon: list[tuple[float, float]], cell: float) -> Dat
     return rows.where(in_polygon(polygon)).select("ix", "iy")
 
 
-def footprint(reference: DataFrame, cell: float, least: int, grow: float) -> DataFrame:
-    """Cells with enough reference points, dilated by ceil(grow / cell) cells (L6); see fill_holes."""
+def footprint(reference: DataFrame, cell: float, least: int, grow: float, fill: bool = True) -> DataFrame:
+    """Cells with enough reference points, with enclosed holes filled, dilated by ceil(grow / cell) cells."""
     steps = -int(-grow // cell)
-    kept = grid.with_cell(reference, cell, ["x", "y"], ["ix", "iy"]).groupBy("ix", "iy").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    kept = grid.with_cell(reference, cell, ["x", "y"], ["ix", "iy"]).groupBy("ix", "iy").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("ix", "iy")
+    kept = fill_holes(kept) if fill else kept
     disc = [(a, b) for a in range(-steps, steps + 1) for b in range(-steps, steps + 1) if abs(a) + abs(b) <= steps]
     moves = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in disc])
     return kept.select("ix", "iy", F.explode(moves).alias("m")).select((F.col("ix") + F.col("m.a")).alias("ix"), (F.col("iy") + F.col("m.b")).alias("iy")).distinct()
 
 
-def fill_holes(cells: DataFrame, most_cells: int = 4_000_000) -> DataFrame:
-    """Cells enclosed by the footprint become part of it (L6), on a raster whose size is checked."""
-    import numpy as np
-
-    box = cells.agg(F.min("ix"), F.max("ix"), F.min("iy"), F.max("iy")).first()
-    if box[0] is None:
-        return cells
-    w, h = box[1] - box[0] + 3, box[3] - box[2] + 3
-    if w * h > most_cells:
-        raise ValueError("footprint raster too large; use a coarser cell")
-    full = np.zeros((w, h), dtype=bool)
-    at = cells.select(F.col("ix") - box[0] + 1, F.col("iy") - box[2] + 1).toPandas().to_numpy()
-    full[at[:, 0], at[:, 1]] = True
-    outside = np.zeros_like(full)
-    outside[0, 0] = True
-    while True:
-        grown = outside.copy()
-        grown[1:] |= outside[:-1]
-        grown[:-1] |= outside[1:]
-        grown[:, 1:] |= outside[:, :-1]
-        grown[:, :-1] |= outside[:, 1:]
-        grown &= ~full
-        if (grown == outside).all():
-            break
-        outside = grown
-    ix, iy = np.nonzero(~outside)
-    return cells.sparkSession.createDataFrame([(int(a + box[0] - 1), int(b + box[2] - 1)) for a, b in zip(ix, iy)], "ix long, iy long")
+def fill_holes(cells: DataFrame) -> DataFrame:
+    """Cells enclosed by others, by their four sides, become part of them.
+
+    Nothing is rasterised: the empty runs between occupied cells of a column are the nodes, runs that touch in neighbouring columns
+    are joined, and a component is a hole unless one of its runs lies open to the outside.
+    """
+    cells = cut(cells.select("ix", "iy").distinct())
+    w = W.partitionBy("ix").orderBy("iy")
+    runs = cells.withColumn("before", F.lag("iy").over(w)).where(F.col("iy") - F.col("before") > 1).select("ix", (F.col("before") + 1).alias("lo"), (F.col("iy") - 1).alias("hi"))
+    runs = cut(runs.withColumn("run", F.monotonically_increasing_id()))
+    spans = cells.groupBy("ix").agg(F.min("iy").alias("first"), F.max("iy").alias("last"))
+    sides = runs.select("run", "lo", "hi", F.explode(F.array(F.col("ix") - 1, F.col("ix") + 1)).alias("ix"))
+    shut = sides.join(spans, "ix", "left")
+    open_ = shut.where(F.col("first").isNull() | (F.col("lo") < F.col("first")) | (F.col("hi") > F.col("last"))).select("run").distinct().withColumn("open", F.lit(True))
+    b = runs.select("ix", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("run").alias("v"))
+    touching = runs.select((F.col("ix") + 1).alias("ix"), "lo", "hi", F.col("run").alias("u")).join(b, "ix").where((F.col("lo") <= F.col("hi2")) & (F.col("lo2") <= F.col("hi"))).select("u", "v")
+    leads = connected_leads(touching)
+    owner = runs.join(leads, F.col("run") == F.col("node"), "left").select("ix", "lo", "hi", "run", F.coalesce("lead", "run").alias("group")).join(open_, "run", "left")
+    holes = owner.join(owner.where("open").select("group").distinct(), "group", "left_anti")
+    return cells.union(holes.select("ix", F.explode(F.sequence("lo", "hi")).alias("iy")))
+
+
+def merge_stations(scans: DataFrame, stations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(merged cloud, station table) of station scans in their own frames.
+
+    scans: station_id, x, y, z, and other columns that are carried along; stations: id, rotation, origin. Invalid returns (a column
+    ``invalid`` above 0, or no finite coordinates) are left out. The table holds what sizes a panorama: points, elevation span and
+    farthest return, from the station's own frame. Poses are broadcast behind a check of their number.
+    """
+    if stations.count() > MAX_STATIONS:
+        raise ValueError("too many stations to broadcast")
+    own = grid.located(scans)
+    own = own.where(F.coalesce(F.col("invalid"), F.lit(0)) == 0).drop("invalid") if "invalid" in own.columns else own
+    r = rigid.norm(*grid.XYZ)
+    el = F.when(r > 1e-6, F.degrees(F.asin(F.greatest(F.least(F.col("z") / r, F.lit(1.0)), F.lit(-1.0)))))
+    table = own.groupBy(F.col("station_id").alias("id")).agg(F.count("*").alias("points"), F.min(el).alias("el_min"), F.max(el).alias("el_max"), F.max(r).alias("max_range"))
+    poses = stations.select(F.col("id").alias("station_id"), *[F.col("rotation")[i][j].alias(f"r{i}{j}") for i in range(3) for j in range(3)], *[F.col("origin")[i].alias(f"t{i}") for i in range(3)])
+    m = [[F.col(f"r{i}{j}") for j in range(3)] for i in range(3)]
+    world = rigid.apply(m, [F.col(f"t{i}") for i in range(3)], [F.col(c) for c in grid.XYZ])
+    rest = [c for c in own.columns if c not in grid.XYZ]
+    merged = own.join(F.broadcast(poses), "station_id").select(*[v.alias(c) for v, c in zip(world, grid.XYZ)], *rest)
+    return merged, stations.drop("points", "el_min", "el_max", "max_range").join(table, "id", "left")
 
 
 def proximity_domain(points: DataFrame, cells: DataFrame, cell: float, z_lo: float, z_hi: float, excluded: Column, covered: Column) -> DataFrame:

@@ -120,7 +120,7 @@ def raster_majority(spark, d):
     return grid.raster_majority(out_points(spark, d), 10.0, "visibility_code").withColumn("majority", F.col("majority").cast("int"))
 
 
-@query(f"WITH {OUT} SELECT {cells(10.0, 'ix,iy', 'xy')}, count(*) AS n, round(avg(z), 6) AS mean_value, min(z) AS min_z FROM o GROUP BY ix, iy")
+@query(f"WITH {OUT} SELECT {cells(10.0, 'ix,iy', 'xy')}, count(*) AS n, round(CAST(sum(CAST(z AS DECIMAL(18, 9))) AS DOUBLE) / count(*), 6) AS mean_value, min(z) AS min_z FROM o GROUP BY ix, iy")
 def raster_stats(spark, d):
     return rounded(grid.raster(out_points(spark, d), 10.0, "z"), 6, "mean_value")
 
@@ -619,15 +619,18 @@ def density_gate(spark, d):
     return vis.density_gate(o, o.where("gt_group >= 1"), 4.0, 10).select("point_id", "reference_count", "gated_code")
 
 
-FOOT = f"k AS (SELECT {cells(10.0, 'ix,iy', 'xy')}, count(*) AS n FROM o WHERE gt_group >= 1 GROUP BY ix, iy HAVING count(*) >= 2), f AS (SELECT DISTINCT ix + a AS ix, iy + b AS iy FROM k, (VALUES (0,0),(1,0),(-1,0),(0,1),(0,-1)) m(a, b))"
+FOOT = f"""k AS (SELECT {cells(10.0, 'ix,iy', 'xy')}, count(*) AS n FROM o WHERE gt_group >= 1 GROUP BY ix, iy HAVING count(*) >= 2), bb AS (SELECT min(ix) - 1 AS a, max(ix) + 1 AS b, min(iy) - 1 AS c, max(iy) + 1 AS d FROM k),
+box AS (SELECT ix, unnest(range(c, d + 1)) AS iy FROM (SELECT unnest(range(a, b + 1)) AS ix, c, d FROM bb)), empty AS (SELECT ix, iy FROM box WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.ix = box.ix AND k.iy = box.iy)),
+outside AS (SELECT a AS ix, c AS iy FROM bb UNION SELECT e.ix, e.iy FROM outside s JOIN empty e ON abs(e.ix - s.ix) + abs(e.iy - s.iy) = 1),
+filled AS (SELECT ix, iy FROM k UNION SELECT ix, iy FROM empty EXCEPT SELECT ix, iy FROM outside), f AS (SELECT DISTINCT ix + a AS ix, iy + b AS iy FROM filled, (VALUES (0,0),(1,0),(-1,0),(0,1),(0,-1)) m(a, b))"""
 
 
-@query(f"WITH {OUT}, {FOOT} SELECT CAST(ix AS BIGINT) AS ix, CAST(iy AS BIGINT) AS iy FROM f")
+@query(f"WITH RECURSIVE {OUT}, {FOOT} SELECT CAST(ix AS BIGINT) AS ix, CAST(iy AS BIGINT) AS iy FROM f")
 def footprint(spark, d):
     return vis.footprint(out_points(spark, d).where("gt_group >= 1"), 10.0, 2, 10.0)
 
 
-@query(f"""WITH {OUT}, {FOOT}, c AS (SELECT point_id, x, y, z, visibility_code, {cells(10.0, 'ix,iy', 'xy')} FROM o)
+@query(f"""WITH RECURSIVE {OUT}, {FOOT}, c AS (SELECT point_id, x, y, z, visibility_code, {cells(10.0, 'ix,iy', 'xy')} FROM o)
 SELECT point_id, CASE WHEN NOT z BETWEEN -4 AND 4 THEN 3 WHEN f.ix IS NULL THEN 2 WHEN x BETWEEN 90 AND 120 AND y BETWEEN 60 AND 120 AND z BETWEEN -10 AND 10 THEN 4 WHEN NOT coalesce(visibility_code >= 2, false) THEN 1 ELSE 0 END AS code FROM c LEFT JOIN f USING (ix, iy)""")
 def proximity_domain(spark, d):
     o = out_points(spark, d)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 import uuid
 from collections.abc import Iterator
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from pointspark.sources import storage
+
 #: NumPy and Spark types of PCD TYPE and SIZE; unsigned ones widen by one step.
 TYPES = {
     ("F", 4): ("<f4", "float"), ("F", 8): ("<f8", "double"), ("I", 1): ("<i1", "byte"), ("I", 2): ("<i2", "short"), ("I", 4): ("<i4", "int"), ("I", 8): ("<i8", "long"),
@@ -43,7 +46,7 @@ class Header:
 def read_header(path: str) -> Header:
     """Header of a PCD file; compressed data, unknown types and incomplete headers are errors."""
     got: dict[str, list[str]] = {}
-    with open(path, "rb") as f:
+    with io.BufferedReader(storage.reader(path)) as f:
         while "DATA" not in got:
             raw = f.readline()
             if not raw:
@@ -73,7 +76,7 @@ class _Records(InputPartition):
 
 
 def _files(path: str) -> list[str]:
-    return sorted(os.path.join(path, f) for f in os.listdir(path) if f.endswith(".pcd")) if os.path.isdir(path) else [path]
+    return storage.listing(path, ".pcd")
 
 
 def _arrow(rec: np.ndarray, h: Header, path: str, start: int) -> pa.RecordBatch:
@@ -105,7 +108,7 @@ class _Reader(DataSourceReader):
         h = read_header(part.path)
         dt, step = h.dtype, 65_536
         if h.data == "binary":
-            with open(part.path, "rb") as f:
+            with io.BufferedReader(storage.reader(part.path)) as f:
                 f.seek(h.offset + part.start * dt.itemsize)
                 for a in range(part.start, part.start + part.count, step):
                     raw = f.read(min(step, part.start + part.count - a) * dt.itemsize)
@@ -114,7 +117,7 @@ class _Reader(DataSourceReader):
                         return
                     yield _arrow(rec, h, part.path, a)
             return
-        with open(part.path, "rb") as f:
+        with io.BufferedReader(storage.reader(part.path)) as f:
             f.seek(h.offset)
             done = 0
             while done < part.count:
@@ -147,41 +150,55 @@ class _Writer(DataSourceArrowWriter):
         back = {"float": ("F", 4), "double": ("F", 8), "tinyint": ("I", 1), "smallint": ("I", 2), "int": ("I", 4), "bigint": ("I", 8)}
         fields = [(f.name, back[f.dataType.simpleString()]) for f in self.schema.fields if f.dataType.simpleString() in back]
         dt = np.dtype([(n, TYPES[k][0]) for n, k in fields])
-        os.makedirs(self.path, exist_ok=True)
-        staged = os.path.join(self.path, f".{uuid.uuid4().hex}.partial")
-        n = 0
-        with open(staged, "wb") as f:
-            names = [n for n, _ in fields]
-            head = ["# .PCD v0.7", "VERSION 0.7", "FIELDS " + " ".join(names), "SIZE " + " ".join(str(k[1]) for _, k in fields), "TYPE " + " ".join(k[0] for _, k in fields), "COUNT " + " ".join("1" for _ in fields)]
-            f.write(("\n".join(head) + "\n").encode())
-            mark = f.tell()
-            f.write(f"WIDTH {0:020d}\nHEIGHT 1\nVIEWPOINT 0 0 0 1 0 0 0\nPOINTS {0:020d}\nDATA {'ascii' if self.ascii else 'binary'}\n".encode())
-            for b in batches:
-                rec = np.zeros(b.num_rows, dtype=dt)
-                for name in names:
-                    col = b.column(b.schema.names.index(name))
-                    v = col.to_numpy(zero_copy_only=False)
-                    rec[name] = np.nan_to_num(v, nan=0) if dt[name].kind == "i" else v
-                if self.ascii:
-                    f.write("".join(" ".join(repr(x) for x in r) + "\n" for r in rec.tolist()).encode())
-                else:
-                    f.write(rec.tobytes())
-                n += b.num_rows
-            f.seek(mark)  # the count is known only now
-            f.write(f"WIDTH {n:020d}\nHEIGHT 1\nVIEWPOINT 0 0 0 1 0 0 0\nPOINTS {n:020d}\n".encode())
+        names, body, n = [n for n, _ in fields], [], 0
+        for b in batches:
+            rec = np.zeros(b.num_rows, dtype=dt)
+            for name in names:
+                v = b.column(b.schema.names.index(name)).to_numpy(zero_copy_only=False)
+                rec[name] = np.nan_to_num(v, nan=0) if dt[name].kind == "i" else v
+            body.append("".join(" ".join(repr(x) for x in r) + "\n" for r in rec.tolist()).encode() if self.ascii else rec.tobytes())
+            n += b.num_rows
         if not n:
-            os.remove(staged)
             return _Written(None)
+        # the header holds the count, and shared storage can't be sought in while it is written
+        head = ["# .PCD v0.7", "VERSION 0.7", "FIELDS " + " ".join(names), "SIZE " + " ".join(str(k[1]) for _, k in fields), "TYPE " + " ".join(k[0] for _, k in fields), "COUNT " + " ".join("1" for _ in fields)]
+        head += [f"WIDTH {n}", "HEIGHT 1", "VIEWPOINT 0 0 0 1 0 0 0", f"POINTS {n}", f"DATA {'ascii' if self.ascii else 'binary'}"]
+        staged = f"{self.path.rstrip('/')}/.{uuid.uuid4().hex}.partial"
+        storage.write_whole(staged, [("\n".join(head) + "\n").encode(), *body])
         return _Written(staged)
 
     def commit(self, messages: list) -> None:
         for i, m in enumerate(m for m in messages if m is not None and m.path):
-            os.replace(m.path, os.path.join(self.path, f"part-{i:05d}.pcd"))
+            storage.move(m.path, f"{self.path.rstrip('/')}/part-{i:05d}.pcd")
 
     def abort(self, messages: list) -> None:
         for m in messages:
-            if m is not None and m.path and os.path.exists(m.path):
-                os.remove(m.path)
+            if m is not None and m.path:
+                storage.remove(m.path)
+
+
+def merge_files(path: str, target: str) -> int:
+    """One binary cloud from the files of a folder with equal fields (K3): headers are summed, bodies are copied in blocks."""
+    heads = [(f, read_header(f)) for f in _files(path)]
+    first = heads[0][1]
+    if any((h.fields, h.kinds, h.counts, h.data) != (first.fields, first.kinds, first.counts, "binary") for _, h in heads):
+        raise ValueError("files differ in their fields, or aren't binary")
+    n = sum(h.points for _, h in heads)
+    head = ["# .PCD v0.7", "VERSION 0.7", "FIELDS " + " ".join(first.fields), "SIZE " + " ".join(str(k[1]) for k in first.kinds), "TYPE " + " ".join(k[0] for k in first.kinds), "COUNT " + " ".join(map(str, first.counts))]
+    head += [f"WIDTH {n}", "HEIGHT 1", "VIEWPOINT 0 0 0 1 0 0 0", f"POINTS {n}", "DATA binary"]
+
+    def blocks():
+        yield ("\n".join(head) + "\n").encode()
+        for name, h in heads:
+            with storage.reader(name) as f:
+                f.seek(h.offset)
+                left = h.points * h.dtype.itemsize
+                while left > 0 and (raw := f.read(min(left, 16 << 20))):
+                    left -= len(raw)
+                    yield raw
+
+    storage.write_whole(target, blocks())
+    return n
 
 
 class PcdSource(DataSource):

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import copy
+import json
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from pointspark.sources import storage
 
 #: Columns of a trajectory line after the first eight, and of the short form.
 TRAJECTORY = ("t", "x", "y", "z", "qx", "qy", "qz", "qw", "vx", "vy", "vz", "bgx", "bgy", "bgz", "bax", "bay", "baz", "gx", "gy", "gz", "v6_0", "v6_1", "v6_2", "v6_3", "v6_4", "v6_5")
@@ -49,6 +53,26 @@ def read_edges(spark: SparkSession, path: str, sessions: list[str] | None = None
     return rows.select(*cols, "qw", known.alias("known"))
 
 
+def write_trajectory(traj: DataFrame, path: str) -> None:
+    """One line a scan in scan order, as read_trajectory reads it; a trajectory is one small file."""
+    cols = [c for c in TRAJECTORY if c in traj.columns]
+    line = F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("nan")) for c in cols])
+    rows = traj.orderBy("scan_id").select(line.alias("line")).toLocalIterator()
+    storage.write_whole(path, ((r["line"] + "\n").encode() for r in rows))
+
+
+def write_edges(edges: DataFrame, path: str) -> None:
+    """Loop edges as text lines, one file a partition."""
+    edges.select(F.concat_ws(" ", "session1", "session2", "id1", "id2", "tx", "ty", "tz", "qx", "qy", "qz", "qw").alias("value")).write.mode("overwrite").text(path)
+
+
+def write_sidecar(stations: DataFrame, path: str, merged: str) -> None:
+    """The sidecar of a merged reference cloud: one JSON document with its stations, tens of rows."""
+    rows = [json.loads(r["s"]) for r in stations.select(F.to_json(F.struct("id", "name", "source", "rotation", "origin", "points", "el_min", "el_max", "max_range")).alias("s"), "id").orderBy("id").toLocalIterator()]
+    whole = {"merged_las": merged, "station_field": "station_id", "source_dir": "", "n_stations": len(rows), "points": sum(r.get("points") or 0 for r in rows), "stations": rows}
+    storage.write_whole(path, [json.dumps(whole).encode()])
+
+
 def read_sidecar(spark: SparkSession, path: str) -> DataFrame:
     """One row a station of a merged reference cloud."""
     return spark.read.schema(SIDECAR).json(path, multiLine=True).select("merged_las", F.inline("stations"))
@@ -59,16 +83,29 @@ def write_report(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
-def deep_merge(base: dict[str, Any], over: dict[str, Any]) -> dict[str, Any]:
-    out = copy.deepcopy(base)
-    for k, v in over.items():
-        out[k] = deep_merge(out[k], v) if isinstance(v, dict) and isinstance(out.get(k), dict) else copy.deepcopy(v)
-    return out
+def overlaid(defaults: dict[str, Any], settings: dict[str, Any]) -> dict[str, Any]:
+    """Defaults with the given settings laid over them: tables meet key by key, anything else is replaced."""
+    result = copy.deepcopy(defaults)
+    open_tables = [(result, settings)]
+    while open_tables:
+        below, above = open_tables.pop()
+        for key in above:
+            if all(isinstance(side.get(key), dict) for side in (below, above)):
+                open_tables.append((below[key], above[key]))
+            else:
+                below[key] = copy.deepcopy(above[key])
+    return result
+
+
+def read_config(path: str, defaults: dict[str, Any]) -> dict[str, Any]:
+    """A JSON configuration file over the defaults."""
+    with storage.reader(path) as f:
+        return load_config(json.loads(f.read()), defaults)
 
 
 def load_config(given: dict[str, Any], defaults: dict[str, Any]) -> dict[str, Any]:
     """Defaults under the given settings; a single group may be written without a list; names must be unique."""
-    out = deep_merge(defaults, given)
+    out = overlaid(defaults, given)
     groups = out.get("gt_groups")
     if isinstance(groups, dict):
         groups = [groups]
@@ -102,10 +139,14 @@ VENDORS: dict[str, dict[str, str]] = {
 
 
 def canonical_sweep(df: DataFrame, vendor: str, scan: str = "scan_id", blind: float = 0.0, every: int = 1, latest: float = 0.11) -> DataFrame:
-    """A vendor's rows in canonical columns; points within the blind radius, decimated ones and late offsets dropped."""
+    """A vendor's rows in canonical columns; points within the blind radius, decimated ones and late offsets dropped.
+
+    ``place`` numbers what is left of a sweep by point time: the order that de-skewing walks in.
+    """
     layout = VENDORS[vendor]
     if any("min_timestamp" in e for e in layout.values()):
         df = df.join(df.groupBy(scan).agg(F.min("timestamp").alias("min_timestamp")), scan)
     out = df.select(scan, "point_idx", *[F.expr(e).alias(c) for c, e in layout.items()])
     far = F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2 > blind * blind
-    return out.where(far & (F.col("point_idx") % every == 0) & (F.col("offset") <= latest))
+    kept = out.where(far & (F.col("point_idx") % every == 0) & (F.col("offset") <= latest))
+    return kept.withColumn("place", F.row_number().over(W.partitionBy(scan).orderBy("offset", "point_idx")))  # a sweep is bounded by its scanner
