@@ -44,3 +44,14 @@ def constant_channels(df: DataFrame, channels: list[str]) -> DataFrame:
     """(channel, given): rows in which a channel holds something besides its marker; 0 means that it can be dropped."""
     tests = [F.count_if(F.abs(finite(c) - SENTINELS.get(c, 0.0)) > TOLERANCE).alias(c) for c in channels]
     return df.agg(*tests).unpivot([], channels, "channel", "given")
+
+
+def gate(c: Column | str, low: float, high: float, other: float = 0.0) -> Column:
+    """The value strictly between the limits, else ``other``; missing counts as outside."""
+    v = finite(c)
+    return F.when((v > low) & (v < high), v).otherwise(F.lit(other))
+
+
+def saved_channels(df: DataFrame, flags: dict[str, bool]) -> DataFrame:
+    """Drops the channels whose save flag is off (P21); channels without a flag are kept."""
+    return df.drop(*[c for c, on in flags.items() if not on])

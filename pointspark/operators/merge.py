@@ -62,11 +62,15 @@ def stretch_spans(stretches: DataFrame) -> DataFrame:
     return stretches.groupBy("cloud_id", "stretch").agg(F.count("*").alias("scans"), (F.max("t") - F.min("t")).alias("seconds"))
 
 
-def to_world(points: DataFrame, traj: DataFrame, offset: int = 0) -> DataFrame:
-    """Points of sane scans in the world frame, with range and the per-scan channels.
+def to_world(points: DataFrame, traj: DataFrame, offset: int = 0, channels: DataFrame | None = None) -> DataFrame:
+    """Points of sane scans in the world frame, with range and, from ``channels``, the per-scan columns.
 
-    The pose table is joined on scan_id + offset; it is small against the points and broadcast by the planner when it is.
+    channels: scan_id and further columns, one row a scan. The pose table is joined on scan_id + offset, which names one scan in all
+    clouds; it is small against the points and broadcast by the planner when it is.
     """
+    if channels is not None:
+        extra = [c for c in channels.columns if c not in ("scan_id", "cloud_id")]
+        points = points.join(channels.select((F.col("scan_id") - offset).alias("scan_id"), *extra), "scan_id", "left")
     poses = traj.where("sane").select((F.col("scan_id") - offset).alias("scan_id"), *[F.col(c).alias(f"p_{c}") for c in (*P, *Q)])
     r = rigid.rotation(tuple(F.col(f"p_{c}") for c in Q))
     world = rigid.apply(r, [F.col(f"p_{c}") for c in P], [F.col(c) for c in P])
@@ -139,3 +143,69 @@ def sliding_windows(frames: DataFrame, size: int, stride: int) -> DataFrame:
     return rows.withColumn("window", F.explode(F.sequence(first.cast("long"), F.floor(F.col("i") / stride).cast("long")))).select("cloud_id", "window", "scan_id", (F.col("i") - F.col("window") * stride).alias("position"))
 
 
+
+
+def merge_clouds(points: DataFrame, traj: DataFrame, key: str = "point_idx") -> DataFrame:
+    """The merged world cloud (K7): merge-wide cell statistics first, then every point transformed with them, its range and per-scan channels.
+
+    One plan: the statistics pass is an aggregate of a few columns, the transform pass a join with it and with the poses.
+    """
+    stats = cell_statistics(first_per_cell(points, key))
+    return to_world(with_cell_statistics(points, stats), traj, channels=pose_channels(traj))
+
+
+def keyframe_clouds(points: DataFrame, traj: DataFrame, size: int, voxel: float, item: str) -> DataFrame:
+    """(cloud_id, keyframe, item, x, y, z): the map of an earlier session.
+
+    Every ``size`` scans of a cloud make a keyframe, named by and put in the frame of their last scan; an unfinished run makes none. Points of a
+    voxel are thinned to their mean, kept under the first point's id.
+    """
+    w = W.partitionBy("cloud_id").orderBy("scan_id")
+    runs = traj.where("sane").select("cloud_id", "scan_id", *P, *Q, F.floor((F.row_number().over(w) - 1) / size).alias("run"))
+    last = runs.groupBy("cloud_id", "run").agg(F.count("*").alias("n"), F.max_by(F.struct("scan_id", *P, *Q), "scan_id").alias("k")).where(F.col("n") == size).select("cloud_id", "run", F.col("k.scan_id").alias("keyframe"), *[F.col(f"k.{c}").alias(f"k_{c}") for c in (*P, *Q)])
+    world = to_world(points.select(item, "scan_id", *P), traj).select(item, "scan_id", *P)
+    rows = world.join(runs.select("cloud_id", "scan_id", "run"), "scan_id").join(last, ["cloud_id", "run"])
+    r = rigid.rotation(tuple(F.col(f"k_{c}") for c in Q))
+    local = rigid.apply_inverse(r, [F.col(f"k_{c}") for c in P], [F.col(c) for c in P])
+    rows = rows.select("cloud_id", "keyframe", item, *[v.alias(c) for v, c in zip(local, P)])
+    cell = {n: F.floor(F.col(c) / voxel).cast("long") for n, c in zip(("ix", "iy", "iz"), P)}
+    return rows.withColumns(cell).groupBy("cloud_id", "keyframe", *cell).agg(F.min(item).alias(item), *[F.avg(c).alias(c) for c in P]).drop(*cell)
+
+
+def deskew(points: DataFrame, traj: DataFrame, at: str = "scan_time") -> DataFrame:
+    """Points of a scan moved into the frame of its end, by the motion between its pose and the next one.
+
+    The scan's pose is that of its beginning; a point taken ``at`` seconds later is carried back by the part of the motion that was still to
+    come: rotation about the axis of the relative rotation by the remaining share of its angle, translation in proportion. Scans
+    without a sane next pose keep their points.
+    """
+    w = W.partitionBy("cloud_id").orderBy("scan_id")
+    sane = traj.where("sane")
+    nxt = lambda c: F.lead(c).over(w)
+    qn = F.sqrt(sum(F.col(c) * F.col(c) for c in Q))
+    unit = sane.withColumns({c: F.col(c) / qn for c in Q})
+    x, y, z, ww = (F.col(c) for c in Q)
+    X, Y, Z, V = (nxt(c) for c in Q)
+    # relative rotation conj(q) * q_next, on the shorter side
+    rel = [ww * X - x * V - y * Z + z * Y, ww * Y + x * Z - y * V - z * X, ww * Z - x * Y + y * X - z * V, ww * V + x * X + y * Y + z * Z]
+    moved = rigid.apply_inverse(rigid.rotation(tuple(F.col(c) for c in Q)), [F.col(c) for c in P], [nxt(c) for c in P])
+    rows = unit.select("scan_id", *[r.alias(f"r{i}") for i, r in enumerate(rel)], *[m.alias(f"d{i}") for i, m in enumerate(moved)], (nxt("t") - F.col("t")).alias("dt"))
+    sign = F.when(F.col("r3") < 0, -1.0).otherwise(1.0)
+    s = F.sqrt(F.col("r0") ** 2 + F.col("r1") ** 2 + F.col("r2") ** 2)
+    rows = rows.select("scan_id", "dt", "d0", "d1", "d2", (2 * F.atan2(s, F.abs(F.col("r3")))).alias("angle"), *[F.when(s > 1e-12, sign * F.col(f"r{i}") / s).otherwise(0.0).alias(f"a{i}") for i in range(3)]).where(F.col("dt") > 1e-9)
+    share = F.coalesce(finite(at), F.lit(0.0)) / F.col("dt")
+    j = points.join(rows, "scan_id", "left").withColumns({"_s": share, "_u": share - 1})
+    # p' = R(u angle) p + T, with u = share - 1 <= 0: seen from the end, the point lies further along the motion
+    c, v = F.cos(F.col("_u") * F.col("angle")), F.sin(F.col("_u") * F.col("angle"))
+    p, a = [F.col(k) for k in P], [F.col(f"a{i}") for i in range(3)]
+    dot = a[0] * p[0] + a[1] * p[1] + a[2] * p[2]
+    cross = [a[1] * p[2] - a[2] * p[1], a[2] * p[0] - a[0] * p[2], a[0] * p[1] - a[1] * p[0]]
+    turned = [p[i] * c + cross[i] * v + a[i] * dot * (1 - c) for i in range(3)]
+    # translation still to come, in the frame of the end: -(1 - share) R(angle)^T d
+    ce, ve = F.cos(F.col("angle")), -F.sin(F.col("angle"))
+    d = [F.col(f"d{i}") for i in range(3)]
+    ddot = a[0] * d[0] + a[1] * d[1] + a[2] * d[2]
+    dcross = [a[1] * d[2] - a[2] * d[1], a[2] * d[0] - a[0] * d[2], a[0] * d[1] - a[1] * d[0]]
+    back = [d[i] * ce + dcross[i] * ve + a[i] * ddot * (1 - ce) for i in range(3)]
+    new = {k: F.when(F.col("dt").isNotNull(), turned[i] + F.col("_u") * back[i]).otherwise(F.col(k)) for i, k in enumerate(P)}
+    return j.withColumns({f"_{k}": e for k, e in new.items()}).select(*[c for c in points.columns if c not in P], *[F.col(f"_{k}").alias(k) for k in P])

@@ -131,6 +131,44 @@ def channel_auc(df: DataFrame, by: list[str], channels: dict[str, Column], tau:
     return out.select(*by, "channel", "pos", "neg", F.greatest("auc", 1 - F.col("auc")).alias("auc"), F.when(F.col("auc") >= 0.5, 1).otherwise(-1).alias("direction"))
 
 
+def baselines(df: DataFrame, by: list[str], channels: dict[str, Column], tau: float) -> DataFrame:
+    """Every single statistic as a scorer, named classical_<channel>, as it stands: larger is more suspicious."""
+    long = long_channels(df, by, {f"classical_{n}": c for n, c in channels.items()})
+    return auc_ap(score_counts(long, [*by, "channel"], F.lit(tau)), [*by, "channel"]).withColumnRenamed("channel", "scorer")
+
+
+def ranking(df: DataFrame, scorers: dict[str, Column], taus: list[float]) -> DataFrame:
+    """(tau, scorer, ap, lift, auc, rho, place): scorers by lift, best first, at every threshold (T7); rho is free of one.
+
+    A scorer's missing rows rank worst; ties in lift go to the later name.
+    """
+    entries = F.array(*[F.struct(F.lit(n).alias("scorer"), F.coalesce(c, F.lit(WORST)).alias("score")) for n, c in scorers.items()])
+    long = df.select("distance", F.explode(entries).alias("e")).select("distance", "e.*")
+    at = auc_by_tau(long, ["scorer"], taus).where(F.col("ap").isNotNull())
+    rho = spearman(long, ["scorer"], "score", "distance").select("scorer", "rho")
+    w = W.partitionBy("tau").orderBy(F.desc("lift"), F.desc("scorer"))  # one row a scorer
+    return at.join(rho, "scorer", "left").select("tau", "scorer", "ap", "lift", "auc", "rho", F.row_number().over(w).alias("place"))
+
+
+def by_role(df: DataFrame, dataset: str, held_out: list[str], taus: list[float]) -> DataFrame:
+    """(dataset, role, n, tau, auc): the breakdown by dataset, fitted on or held out (M14); AUC is NULL where a class is empty."""
+    sizes = df.groupBy(dataset).agg(F.count("*").alias("n"))
+    role = F.when(F.col(dataset).isin(held_out), "held out").otherwise("fitted on")
+    return auc_by_tau(df, [dataset], taus).join(sizes, dataset).select(dataset, role.alias("role"), "n", "tau", "auc")
+
+
+def hexbins(df: DataFrame, x: Column, y: Column, size: float) -> DataFrame:
+    """(q, r, n): counts in hexagons of a width, by axial coordinates of the nearest centre."""
+    third = F.lit(3.0**0.5 / 3)
+    q, r = (third * x - y / 3) * 2 / size * F.lit(3.0**0.5) / 2, (y * 2 / 3) * 2 / size * F.lit(3.0**0.5) / 2
+    rows = df.where(x.isNotNull() & y.isNotNull()).select(q.alias("a"), r.alias("b")).withColumn("c", -F.col("a") - F.col("b"))
+    n = {k: F.floor(F.col(k) + 0.5) for k in "abc"}
+    off = {k: F.abs(n[k] - F.col(k)) for k in "abc"}
+    worst_a = (off["a"] > off["b"]) & (off["a"] > off["c"])
+    worst_b = ~worst_a & (off["b"] > off["c"])
+    return rows.select(F.when(worst_a, -n["b"] - n["c"]).otherwise(n["a"]).cast("long").alias("q"), F.when(worst_b, -n["a"] - n["c"]).otherwise(n["b"]).cast("long").alias("r")).groupBy("q", "r").agg(F.count("*").alias("n"))
+
+
 def losses(df: DataFrame, by: list[str], truth: Column, prediction: Column, q: float) -> DataFrame:
     """(by, n, mse, pinball, coverage): validation losses and the share of truths below the prediction."""
     d = truth - prediction

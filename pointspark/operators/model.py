@@ -90,6 +90,13 @@ def pool(frames: dict[str, DataFrame], distance: str = "C2C_distance") -> DataFr
     return out
 
 
+def pool_sample(frames: dict[str, DataFrame], key: str, rows: int, distance: str = "C2C_distance", seed: int = 42) -> DataFrame:
+    """pool, thinned to about ``rows`` rows: usable rows are counted first, then each is kept with the share that is wanted."""
+    from pointspark.operators.stats import hash_sample
+
+    return hash_sample(pool(frames, distance), ["scene", key], rows, seed)
+
+
 def in_domain(df: DataFrame, distance: str = "C2C_distance", flag: str = "eval_domain") -> DataFrame:
     """Rows with a distance inside the evaluation domain."""
     ok = finite(distance) >= 0
@@ -118,9 +125,16 @@ def arms(columns: list[str]) -> dict[str, list[str]]:
     """Column sets of the standard comparisons."""
     of = lambda fams: [c for c in columns if family(c) in fams]
     out = {"geom_only": of("E"), "slam_int_only": of("C"), "sensor_only": of("A"), "slam_only": of("ABC"), "slam_agg": of("ABCD"), "slam_plus": of("ABCDE")}
+    out |= {f"geom_plus_{x}": of("E" + x) for x in "ABCD"}
     return out | {f"no_{x}": of(set("ABCDE") - {x}) for x in "ABCDE"} | {f"no_{x}_all": [c for c in of(set("ABCDE") - {x}) if family(base_channel(c)) != x] for x in "ABC"}
 
 
+def top_arms(importance: dict[str, float], counts: tuple[int, ...] = (3, 5, 10), geometry: list[str] | None = None) -> dict[str, list[str]]:
+    """Column sets of the n most important features, alone and beside the geometric ones; each is fitted anew."""
+    out = {f"top{n}": top_features(importance, n) for n in counts}
+    return out | {f"geomplus{n}": [*(geometry or []), *[c for c in top_features(importance, n) if c not in (geometry or [])]] for n in counts}
+
+
 def group_choice(scenes: int, has_group: bool, mode: str = "auto") -> str:
     """How validation rows are held out: by scene only with more than two scenes, else by group, else at random."""
     if mode != "auto":
@@ -256,10 +270,11 @@ class Booster:
 
 
 def training_sample(df: DataFrame, features: list[str], target: str, key: str, rows: int = MAX_FIT_ROWS, seed: int = 42):
-    """(x, y, validation) of at most ``rows`` rows, chosen by hash: the same in any partitioning."""
+    """(x, y, validation) of at most ``rows`` rows: those of the smallest hashes of the key, the same in any partitioning."""
     n = max(df.count(), 1)
     parts = 1 << 30
-    part = df.where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(parts)) < int(min(1.0, rows / n) * parts)).limit(rows)
+    share = min(1.0, 1.05 * rows / n + 1000 / n)  # a hash threshold first, so that only about ``rows`` rows are ordered
+    part = df.where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(parts)) < int(share * parts)).orderBy(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(parts)), key).limit(rows)
     pdf = part.orderBy(key).select(*[finite(c).alias(c) for c in features], finite(target).alias("_y"), "validation").toPandas()
     return pdf[features].to_numpy(dtype=float), pdf["_y"].to_numpy(dtype=float), pdf["validation"].to_numpy(dtype=bool)
 

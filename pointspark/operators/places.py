@@ -25,10 +25,12 @@ def dice(a: Column, b: Column) -> Column:
     return F.when(n > 0, 2 * F.bit_count(a.bitwiseAND(b)) / n)
 
 
-def occupancy_bits(points: DataFrame, by: list[str], index: str) -> DataFrame:
-    """(by, bits): occupied height slices 0..62 of each cell as one long."""
-    inside = points.where(F.col(index).between(0, 62))
-    return inside.groupBy(*by).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(`{index}` as int))")).alias("bits"))
+def occupancy_bits(points: DataFrame, by: list[str], index: str, width: int = 62) -> DataFrame:
+    """(by, word, bits): occupied height slices of each cell (X17); slice ``index`` is bit index % width of word index // width, so there is
+    no highest or lowest slice."""
+    word = F.floor(F.col(index) / width).cast("long")
+    rows = points.where(F.col(index).isNotNull()).select(*by, word.alias("word"), F.pmod(F.col(index), F.lit(width)).cast("int").alias("_bit"))
+    return rows.groupBy(*by, "word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("bits"))
 
 
 def candidates(query: DataFrame, index: DataFrame, skip: int, side_share: float, least_dice: float, sides: tuple[str, str, str] = ("s0", "s1", "s2")) -> DataFrame:
@@ -55,10 +57,16 @@ def top_frames(matches: DataFrame, n: int, least_votes: int = 5) -> DataFrame:
 
 def suppress(corners: DataFrame, radius: float, item: str, strength: str) -> DataFrame:
     """Corners without an equally strong or stronger one within the radius; tied ones suppress each other (T4)."""
-    pairs = grid.halo_join(corners, corners, radius, item, item).where(F.col("a_id") != F.col("b_id"))
+    # corners of a cell whose diagonal is shorter than the radius beat each other: at most one of them can be left, its strongest, unless that is
+    # tied. Only those are paired, so a crowd costs its size and not its square
+    cells = grid.with_cell(corners, radius / 2)
+    best = cells.groupBy(*grid.CELL).agg(F.max(F.struct(strength, item)).alias("_top"), F.max(strength).alias("_most"))
+    tied = cells.join(best, grid.CELL).where(F.col(strength) == F.col("_most")).groupBy(*grid.CELL).agg(F.count("*").alias("_n")).where(F.col("_n") == 1)
+    alone = cells.join(tied, grid.CELL, "left_semi").join(best, grid.CELL).where(F.col(item) == F.col(f"_top.{item}")).select(*corners.columns)
+    pairs = grid.halo_join(alone, corners, radius, item, item).where(F.col("a_id") != F.col("b_id"))
     s = corners.select(F.col(item).alias("i"), F.col(strength).alias("s"))
     beaten = pairs.join(s.select(F.col("i").alias("a_id"), F.col("s").alias("sa")), "a_id").join(s.select(F.col("i").alias("b_id"), F.col("s").alias("sb")), "b_id").where(F.col("sb") >= F.col("sa"))
-    return corners.join(beaten.select(F.col("a_id").alias(item)).distinct(), item, "left_anti")
+    return alone.join(beaten.select(F.col("a_id").alias(item)).distinct(), item, "left_anti")
 
 
 def top_corners(corners: DataFrame, by: list[str], n: int, strength: str, item: str) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import Window as W
 from pointspark.functions.missing import finite, present
 from pointspark.operators import grid
 from pointspark.operators.nearest import nearest
+from pointspark.session import cut
 
 BALL_K = 100
 Z_EPS = 1e-6
@@ -117,6 +118,30 @@ def roughness_k(points: DataFrame, k: int, item: str) -> DataFrame:
     return _residuals(points, nearest(points, k, item, others_only=False), points, item, 4)
 
 
+def geometry_features(points: DataFrame, item: str, ks: list[int], radii: list[float], k_rough: list[int] | None = None, rows: DataFrame | None = None, margin: float = 1.0) -> DataFrame:
+    """(item, mean_knn_dist_k<k>, roughness_r<mm>, roughness_k<k>): every scale of a cloud.
+
+    One search for the largest k serves every k. With ``rows`` (ids) only those points are asked for, against the whole cloud, so
+    their figures are the same as without it.
+    """
+    cloud = grid.located(points).select(item, *grid.XYZ)
+    asked = cloud if rows is None else cloud.join(rows.select(item).distinct(), item, "left_semi")
+    reference = None if rows is None else cloud
+    deepest = max([*ks, *(k_rough or [])])
+    near = cut(nearest(asked, deepest + (1 if k_rough else 0), item, reference=reference, others_only=not k_rough))
+    others = near.where(F.col("a_id") != F.col("b_id")).withColumn("rank", F.row_number().over(W.partitionBy("a_id").orderBy("d2", "b_id"))) if k_rough else near
+    out = asked.select(item).distinct()
+    got = others.groupBy("a_id").agg(*[F.avg(F.when(F.col("rank") <= k, F.sqrt("d2"))).alias(f"mean_knn_dist_k{k}") for k in ks])
+    out = out.join(got.withColumnRenamed("a_id", item), item, "left")
+    for k in k_rough or []:
+        out = out.join(_residuals(asked, near.where(F.col("rank") <= k), cloud, item, 4).withColumnRenamed("roughness", f"roughness_k{k}"), item, "left")
+    for radius in radii:
+        thin = cut(grid.keep_first(cloud, radius / 5, [item]))
+        ball = nearest(asked, BALL_K, item, radius, thin, others_only=False)
+        out = out.join(_residuals(asked, ball, thin, item, 4).withColumnRenamed("roughness", f"roughness_r{round(radius * 100):03d}"), item, "left")
+    return out
+
+
 #: Scale-free ratios of family E, (name, numerator, denominator, scale).
 RATIOS = (
     ("roughness_ratio_015_005", "roughness_r015", "roughness_r005", 1.0),

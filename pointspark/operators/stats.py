@@ -72,6 +72,17 @@ def sor_points(df: DataFrame, by: list[str], channel: str, factors: list[float])
     return rows.groupBy(*by, "factor", "threshold").agg(F.avg((F.col("v") > F.col("threshold")).cast("double")).alias("removed"))
 
 
+def transform_delta(a: list[list[float]], b: list[list[float]], lo: tuple[float, ...] | None = None, hi: tuple[float, ...] | None = None) -> tuple[float, float]:
+    """(degrees, largest shift of a box's corners) between two 4x4 transforms (N9); without a box the shift of the origin."""
+    import numpy as np
+
+    m, n = np.asarray(a, dtype=float), np.asarray(b, dtype=float)
+    turn = np.degrees(np.arccos(np.clip((np.trace(m[:3, :3].T @ n[:3, :3]) - 1) / 2, -1, 1)))
+    corners = np.zeros((1, 3)) if lo is None or hi is None else np.array(np.meshgrid(*zip(lo, hi))).reshape(3, -1).T
+    shift = np.linalg.norm(corners @ m[:3, :3].T + m[:3, 3] - corners @ n[:3, :3].T - n[:3, 3], axis=1).max()
+    return float(turn), float(shift)
+
+
 def pose_delta(points: DataFrame, a: list[Column], b: list[Column]) -> DataFrame:
     """(mean, p95, largest) shift of points between two transforms."""
     d = F.sqrt(sum((x - y) ** 2 for x, y in zip(a, b)))
@@ -92,8 +103,9 @@ def fixed_sample(df: DataFrame, key: list[str], n: int, seed: int = 42) -> DataF
 
 
 def stride_sample(df: DataFrame, item: str, step: int) -> DataFrame:
-    """Every step-th id."""
-    return df.where(F.col(item) % step == 0)
+    """Every step-th row in the order of the id, from the first (P8); the order is global, its numbering isn't a single task."""
+    rows = ranked(df.withColumn("_all", F.lit(0)), ["_all"], [F.col(item)], "_rank")
+    return rows.where((F.col("_rank") - 1) % step == 0).drop("_all", "_rank")
 
 
 def keep_best(df: DataFrame, by: list[str], score: Column, tie: str, removed: float) -> DataFrame:

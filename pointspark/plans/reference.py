@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointspark.functions.missing import constant_channels, detect_sentinel, finite, ingest, present
+from pointspark.functions.missing import constant_channels, detect_sentinel, finite, gate, ingest, present, saved_channels
 from pointspark.operators import grid, merge, metrics, model, places, planes, rings, spatial, stats
 from pointspark.operators import visibility as vis
 from pointspark.sources.pcd import bounds, unpack_rgb
@@ -253,8 +253,8 @@ def ingest_channels(spark, d):
 
 @query(f"SELECT DISTINCT pt_id, round(CASE WHEN {fin('coalesce(intensity_orig, intensity)')} > 0 AND {fin('coalesce(intensity_orig, intensity)')} < 3000 THEN {fin('coalesce(intensity_orig, intensity)')} ELSE 0 END, 4) AS intensity FROM (SELECT pt_id, CASE WHEN isnan(intensity) THEN NULL ELSE intensity END AS intensity, CASE WHEN isnan(intensity_orig) THEN NULL ELSE intensity_orig END AS intensity_orig FROM pcd)")
 def intensity_gate(spark, d):
-    v = F.coalesce(finite("intensity_orig"), finite("intensity"))
-    return table(spark, d, "pcd").select("pt_id", F.round(F.when((v > 0) & (v < 3000), v).otherwise(0.0), 4).alias("intensity")).distinct()
+    v = gate(F.coalesce(finite("intensity_orig"), finite("intensity")), 0.0, 3000.0)
+    return saved_channels(table(spark, d, "pcd").select("pt_id", F.round(v, 4).alias("intensity"), "ambient").distinct(), {"intensity": True, "ambient": False}).distinct()
 
 
 # ---- merge ------------------------------------------------------------------------------------------------------
@@ -320,14 +320,13 @@ def world_points(spark, d):
     return rounded(merge.to_world(pts, poses(spark, d)).select("pt_id", "x", "y", "z", "range"), 5, "x", "y", "z", "range")
 
 
-@query(r"""WITH l AS (SELECT scan_id AS l, min(t) AS lt FROM trajectory WHERE isfinite(t) GROUP BY scan_id), r AS (SELECT DISTINCT scan_file AS r, CAST(regexp_extract(scan_file, '^([0-9]+\.[0-9]+)\.pcd$', 1) AS DOUBLE) AS rt FROM global_pcd_converter WHERE regexp_full_match(scan_file, '[0-9]+\.[0-9]+\.pcd')),
-c AS (SELECT *, abs(rt - lt) AS dt FROM l JOIN r ON abs(rt - lt) <= 0.5), m AS (SELECT l, arg_min(r, (dt, rt, r)) AS r, min(dt) AS dt, min(lt) AS lt FROM c GROUP BY l)
-SELECT arg_min(l, (lt, l)) AS scan_id, r AS scan_file, round(arg_min(dt, (lt, l)), 5) AS dt FROM m GROUP BY r""")
+@query("""WITH l AS (SELECT user_id, event_id AS l, epoch_us(ts) / 1000000.0 AS lt FROM events WHERE event_type = 'click'), r AS (SELECT user_id, event_id AS r, epoch_us(ts) / 1000000.0 AS rt FROM events WHERE event_type = 'view'),
+c AS (SELECT *, abs(rt - lt) AS dt FROM l JOIN r USING (user_id) WHERE abs(rt - lt) <= 43200), m AS (SELECT user_id, l, arg_min(r, (dt, rt, r)) AS r, min(dt) AS dt, min(lt) AS lt FROM c GROUP BY user_id, l)
+SELECT user_id, arg_min(l, (lt, l)) AS click, r AS view, round(arg_min(dt, (lt, l)), 3) AS dt FROM m GROUP BY user_id, r""")
 def nearest_in_time(spark, d):
-    a = table(spark, d, "trajectory").where(finite("t").isNotNull()).groupBy("scan_id").agg(F.min("t").alias("t"))
-    stamp = F.regexp_extract("scan_file", r"^([0-9]+\.[0-9]+)\.pcd$", 1)
-    b = table(spark, d, "global_pcd_converter").where(stamp != "").select("scan_file", stamp.cast("double").alias("t")).distinct()
-    return rounded(merge.nearest_in_time(a, b, 0.5, "scan_id", "scan_file", []), 5, "dt")
+    e = table(spark, d, "events").select("user_id", "event_id", "event_type", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
+    pick = lambda kind, name: e.where(F.col("event_type") == kind).select("user_id", F.col("event_id").alias(name), "t")
+    return rounded(merge.nearest_in_time(pick("click", "click"), pick("view", "view"), 43200.0, "click", "view", ["user_id"]), 3, "dt")
 
 
 @query(f"""WITH {TRAJ}, k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cloud_id ORDER BY scan_id) AS i FROM poses WHERE sane) WHERE i % 5 = 0)
@@ -441,7 +440,7 @@ def flag_worst(spark, d):
     return stats.flag_worst(s, ["cloud_id"], "s", 0.2).select("point_id", "filter_keep")
 
 
-@query("SELECT DISTINCT point_id FROM outlier_analysis WHERE point_id % 17 = 0")
+@query("SELECT point_id FROM (SELECT point_id, row_number() OVER (ORDER BY point_id) AS r FROM (SELECT DISTINCT point_id FROM outlier_analysis)) WHERE (r - 1) % 17 = 0")
 def stride_sample(spark, d):
     return stats.stride_sample(table(spark, d, "outlier_analysis").select("point_id").distinct(), "point_id", 17)
 
@@ -711,10 +710,10 @@ def corner_suppression(spark, d):
     return places.suppress(scan_points(spark, d).join(s, "pt_id", "left").fillna(0.0, ["s"]), 0.5, "pt_id", "s").select("pt_id")
 
 
-@query(f"WITH {OUT}, c AS (SELECT {cells(10.0, 'ix,iy', 'xy')}, CAST(floor(z + 20) AS INTEGER) AS h FROM o) SELECT ix, iy, bit_or(CAST(1 AS BIGINT) << h) AS bits FROM c WHERE h BETWEEN 0 AND 61 GROUP BY ALL")
+@query(f"WITH {OUT}, c AS (SELECT {cells(10.0, 'ix,iy', 'xy')}, CAST(floor(z * 8) AS BIGINT) AS h FROM o) SELECT ix, iy, CAST(floor(h / 62.0) AS BIGINT) AS word, bit_or(CAST(1 AS BIGINT) << CAST(h - floor(h / 62.0) * 62 AS BIGINT)) AS bits FROM c GROUP BY ALL")
 def occupancy_bits(spark, d):
-    c = grid.with_cell(out_points(spark, d), 10.0, ["x", "y"], ["ix", "iy"]).withColumn("h", F.floor(F.col("z") + 20).cast("int"))
-    return places.occupancy_bits(c.where("h <= 61"), ["ix", "iy"], "h")
+    c = grid.with_cell(out_points(spark, d), 10.0, ["x", "y"], ["ix", "iy"]).withColumn("h", F.floor(F.col("z") * 8).cast("long"))
+    return places.occupancy_bits(c, ["ix", "iy"], "h")
 
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT doc_id AS u, duplicate_of AS v FROM documents WHERE duplicate_of IS NOT NULL), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r(node, c) AS (SELECT u, u FROM b UNION SELECT b.v, r.c FROM r JOIN b ON b.u = r.node WHERE r.c < b.v)
@@ -754,7 +753,8 @@ def group_keys(spark, d):
 
 
 def training_rows(spark, d):
-    o = model.in_domain(model.discover(table(spark, d, "outlier_analysis"))).dropDuplicates(["point_id"])
+    rows = model.in_domain(model.discover(table(spark, d, "outlier_analysis")))
+    o = rows.groupBy("point_id").agg(F.min(F.struct(*[c for c in rows.columns if c != "point_id"])).alias("r")).select("point_id", "r.*")  # of repeats the smallest row
     return model.split_groups(o, model.group_key(F.col("stretch_id"), F.col("scene"), F.col("point_id")))
 
 

@@ -8,11 +8,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from pointspark.session import scratch
+
 LATE_SECONDS = 0.010
 
 
@@ -21,15 +23,45 @@ def as_event_time(df: DataFrame, column: str, delay: str) -> DataFrame:
     return df.withColumn(column, F.col(column).cast("timestamp")).withWatermark(column, delay)
 
 
-def sync_samples(sweeps: DataFrame, samples: DataFrame, by: str, start: str, end: str, at: str, delay: str = "1 second") -> DataFrame:
+#: Keyed state with timers needs a state store of several column families.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def files_stream(spark: SparkSession, path: str, at_once: int | None = None) -> DataFrame:
+    """A stream of the Parquet files of a folder, so many in a batch."""
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    return (reader.option("maxFilesPerTrigger", at_once) if at_once else reader).parquet(path)
+
+
+def drained(stream: DataFrame, mode: str, keyed: bool = False) -> DataFrame:
+    """What a stream gives of the input that is there now, written to files in the shared checkpoint folder and read back.
+
+    ``keyed``: the stream holds keyed state, for whose run the session's state store is exchanged.
+    """
+    spark = stream.sparkSession
+    out, state, name = scratch(spark), scratch(spark), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    if keyed:
+        spark.conf.set(name, STATE_STORE)
+    try:
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        if keyed:
+            spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+def sync_samples(sweeps: DataFrame, samples: DataFrame, by: str, start: str, end: str, at: str, delay: str = "1 second", longest: str = "10 seconds") -> DataFrame:
     """Each sweep with the samples in (start, end] (J15, X2): a stream-stream interval join with watermarks on both sides.
 
-    The sweep leaves the state once the samples' watermark has passed its end, hence never before all samples are there.
+    The sweep leaves the state once the samples' watermark has passed its end, hence never before all samples are there. Samples stay for
+    the ``longest`` sweep; a longer one is an error and not a loss of its samples.
     """
-    a = as_event_time(sweeps, end, delay).alias("a")
+    span = F.expr(f"INTERVAL {longest}")
+    checked = F.when(F.col(end).cast("timestamp") - F.col(start).cast("timestamp") > span, F.raise_error(F.lit(f"a sweep is longer than {longest}")).cast("timestamp")).otherwise(F.col(end).cast("timestamp"))
+    a = as_event_time(sweeps.withColumn(end, checked), end, delay).alias("a")
     b = as_event_time(samples, at, delay).alias("b")
-    longest = F.expr("INTERVAL 10 SECONDS")
-    cond = (F.col(f"a.{by}") == F.col(f"b.{by}")) & (F.col(f"b.{at}") > F.col(f"a.{start}").cast("timestamp")) & (F.col(f"b.{at}") <= F.col(f"a.{end}")) & (F.col(f"b.{at}") >= F.col(f"a.{end}") - longest)
+    cond = (F.col(f"a.{by}") == F.col(f"b.{by}")) & (F.col(f"b.{at}") > F.col(f"a.{start}").cast("timestamp")) & (F.col(f"b.{at}") <= F.col(f"a.{end}")) & (F.col(f"b.{at}") >= F.col(f"a.{end}") - span)
     return a.join(b, cond).select("a.*", *[F.col(f"b.{c}") for c in samples.columns if c != by])
 
 
@@ -92,7 +124,7 @@ class SessionReset(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         run, session, place = self.state.get() if self.state.exists() else (0, 0, 0)
         out = []
-        for pdf in rows:
+        for pdf in [pd.concat(list(rows)).sort_values("scan_id")]:  # a batch's scans of one stream, in their order
             for scan, bad in zip(pdf.scan_id, pdf.degenerate):
                 place += 1
                 out.append((key[0], int(scan), session, place > self.warm_up))
@@ -112,32 +144,60 @@ def reset_stream(scans: DataFrame) -> DataFrame:
 
 
 class MapState(StatefulProcessor):
-    """Voxel clusters as keyed state: ten sums that are added to, and evicted once ``reach`` metres of path have passed."""
+    """Voxel clusters as keyed state (X6, X8): sums that are added to, closed once ``reach`` metres of path have passed.
+
+    A voxel that comes back later begins anew; one that never does is evicted by a timer on the path, which serves as event time (a
+    metre is a second). Rows: the voxel's figures after each batch (open), and those of a closed episode.
+    """
 
     reach = 700.0
+    columns = ["ix", "iy", "iz", "n", "cx", "cy", "cz", "open"]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("c", "n long, sx double, sy double, sz double, seen double")
 
+    def _row(self, key, held: tuple, is_open: bool) -> tuple:
+        n, sx, sy, sz, _ = held
+        return (*key, n, sx / n, sy / n, sz / n, is_open)
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        n, sx, sy, sz, seen = self.state.get() if self.state.exists() else (0, 0.0, 0.0, 0.0, 0.0)
-        for pdf in rows:
-            path = float(pdf.path.max())
-            if n and path - seen > self.reach:
-                n, sx, sy, sz = 0, 0.0, 0.0, 0.0
-            n, sx, sy, sz, seen = n + len(pdf), sx + float(pdf.x.sum()), sy + float(pdf.y.sum()), sz + float(pdf.z.sum()), max(seen, path)
-        self.state.update((n, sx, sy, sz, seen))
-        yield pd.DataFrame([(*key, n, sx / n, sy / n, sz / n)], columns=["ix", "iy", "iz", "n", "cx", "cy", "cz"])
+        held = tuple(self.state.get()) if self.state.exists() else (0, 0.0, 0.0, 0.0, 0.0)
+        pdf, closed = pd.concat(list(rows)).sort_values("path"), []
+        path = pdf.path.to_numpy(dtype=float)
+        before = [held[4] if held[0] else path[0], *path[:-1]]
+        episode = (path - before > self.reach).cumsum()
+        for e in range(int(episode[-1]) + 1):
+            part = pdf[episode == e]
+            if e or not len(part):  # a gap longer than the reach lies before this part
+                closed += [self._row(key, held, False)] if held[0] else []
+                held = (0, 0.0, 0.0, 0.0, 0.0)
+            if len(part):
+                held = (held[0] + len(part), held[1] + float(part.x.sum()), held[2] + float(part.y.sum()), held[3] + float(part.z.sum()), max(held[4], float(part.path.max())))
+        self.state.update(held)
+        if getattr(self, "handle", None) is not None:
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+            self.handle.registerTimer(int((held[4] + self.reach) * 1000))
+        yield pd.DataFrame([self._row(key, held, True), *closed], columns=self.columns)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = tuple(self.state.get()) if self.state.exists() else (0,)
+        self.state.clear()
+        yield pd.DataFrame([self._row(key, held, False)] if held[0] else [], columns=self.columns)
 
     def close(self) -> None:
         pass
 
 
-def map_stream(points: DataFrame, size: float) -> DataFrame:
-    """points: x, y, z, path; emits each touched voxel's count and centroid."""
+def map_stream(points: DataFrame, size: float, reach: float = MapState.reach, mode: str = "Append") -> DataFrame:
+    """points: x, y, z, path; emits each touched voxel's count and centroid, and closed episodes (``open`` false)."""
     from pointspark.operators.grid import CELL, with_cell
 
-    return with_cell(points, size).groupBy(*CELL).transformWithStateInPandas(MapState(), "ix long, iy long, iz long, n long, cx double, cy double, cz double", "Update", "None")
+    processor = MapState()
+    processor.reach = reach
+    timed = with_cell(points, size).withColumn("at", F.timestamp_seconds("path")).withWatermark("at", "0 seconds")
+    return timed.groupBy(*CELL).transformWithStateInPandas(processor, "ix long, iy long, iz long, n long, cx double, cy double, cz double, open boolean", mode, "EventTime")
 
 
 def keyframes(poses: pd.DataFrame, every: int, move: float, turn: float) -> pd.DataFrame:
