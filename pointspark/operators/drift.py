@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -165,12 +166,12 @@ def flood(old: list[tuple], new: list[tuple], agreement: dict[tuple[str, str], f
     return f
 
 
-def _select_matches(pdf: pd.DataFrame) -> pd.DataFrame:
+def _select_matches(rows: pa.Table) -> pa.Table:
     """Renames of one file: matches that are best for both sides by flooded score, unless their values refute them."""
-    h = pdf.iloc[0]
-    old = list(zip(h.old_names, h.old_types, h.old_nests))
-    new = list(zip(h.new_names, h.new_types, h.new_nests))
-    agree = {(a, b): e / s for a, b, s, e in zip(pdf.old_field, pdf.new_field, pdf.shared, pdf.equal) if s}
+    h = rows.slice(0, 1).to_pylist()[0]
+    old = list(zip(h["old_names"], h["old_types"], h["old_nests"]))
+    new = list(zip(h["new_names"], h["new_types"], h["new_nests"]))
+    agree = {(a, b): e / s for a, b, s, e in zip(*(rows.column(c).to_pylist() for c in ("old_field", "new_field", "shared", "equal"))) if s}
     kept_names = {a for a, *_ in old} & {b for b, *_ in new}
     gone, come = [i for i, o in enumerate(old) if o[0] not in kept_names], [j for j, n in enumerate(new) if n[0] not in kept_names]
     struck, out = set(), []
@@ -189,7 +190,7 @@ def _select_matches(pdf: pd.DataFrame) -> pd.DataFrame:
             taken_j.add(j)
             a, b = old[i][0], new[j][0]
             if agree.get((a, b)) == 1.0:
-                out.append((h.file_id, a, b, float(left[i, j])))
+                out.append((h["file_id"], a, b, float(left[i, j])))
                 gone.remove(i)
                 come.remove(j)
             else:
@@ -197,7 +198,8 @@ def _select_matches(pdf: pd.DataFrame) -> pd.DataFrame:
                 refuted = True
         if not refuted:
             break
-    return pd.DataFrame(out, columns=["file_id", "old_field", "new_field", "score"])
+    kinds = (pa.int64(), pa.string(), pa.string(), pa.float64())
+    return pa.table([pa.array([r[i] for r in out], type=k) for i, k in enumerate(kinds)], names=["file_id", "old_field", "new_field", "score"])
 
 
 def match_renames(fields: DataFrame, pairs: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -205,7 +207,7 @@ def match_renames(fields: DataFrame, pairs: DataFrame, evidence: DataFrame) -> D
     own = fields.where(~F.col("name").isin(*FIXED)).groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("pos", "name", F.coalesce("type", F.lit("")).alias("type"), "nest"))).alias("f"))
     side = lambda key, s: own.select(F.col("file_id").alias(key), *[F.col(f"f.{c}").alias(f"{s}_{c}s") for c in ("name", "type", "nest")])
     heads = pairs.join(side("file_id", "new"), "file_id").join(side("before", "old"), "before")
-    return evidence.join(heads, "file_id").groupBy("file_id").applyInPandas(_select_matches, "file_id long, old_field string, new_field string, score double")
+    return evidence.join(heads, "file_id").groupBy("file_id").applyInArrow(_select_matches, "file_id long, old_field string, new_field string, score double")
 
 
 def schema_changes(files: DataFrame, records: DataFrame) -> DataFrame:
