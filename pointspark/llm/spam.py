@@ -28,6 +28,7 @@ handled whole; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -57,8 +58,8 @@ COUNTED_TAG = r"(?<![&/])#(?!(?:include|define|undef|ifdef|ifndef|if|elif|else|e
 #: Letters of other scripts and the Latin ones that they (or their capitals) look like.
 LOOKALIKES = ("аеорсухіјѕԁһкмтвнԛԝґαβεζηικμνορτυχ", "aeopcyxijsdhkmtbhqwrabeznikmvoptux")
 MIXED = r"[a-z][\u0370-\u03ff\u0400-\u052f]|[\u0370-\u03ff\u0400-\u052f][a-z]"
-INVISIBLE = "[\u0001\u0002​‌‍⁠﻿­]"
-MARK, END = "\u0001", "\u0002"
+INVISIBLE = "[\u0001-\u0003​‌‍⁠﻿­]"
+MARK, END, CUT = "\u0001", "\u0002", "\u0003"
 #: Where none of these is found there is no link either; searching them first spares most texts the dear pattern.
 LINK_HINT = rf"(?i)h(?:tt|xx)ps?://|w ?w ?w ?\.|[\[({{] ?(?:\.|dot) ?[\])}}]|\.(?:{HOST_ENDS})"
 #: Function words of languages that share a script, and the least share of terms that they have in prose.
@@ -91,15 +92,26 @@ class Tokenizer:
     def __init__(self) -> None:
         c = regex.compile
         self.invisible, self.hint, self.link, self.tag, self.counted = c(INVISIBLE), c(LINK_HINT), c(LINK), c(TAG), c(COUNTED_TAG)
-        self.markup, self.cuts, self.blob, self.camel = c(r"</?[a-zA-Z][^>]{0,80}>"), c(r"[\r\n]+|(?<=[.!?])\s+|(?<=[。！？؟])\s*"), c(BLOB), c(r"(?<=\p{Ll})(?=\p{Lu})|_")
-        self.digits, self.word, self.mixed = c(r"\p{N}+"), c(r"[\p{L}\p{M}0]+"), c(MIXED)
+        self.markup, self.blob, self.camel = c(r"</?[a-zA-Z][^>]{0,80}>"), c(BLOB), c(r"(?<=\p{Ll})(?=\p{Lu})|_")
+        # a line ends at its break or behind a full stop; found by what it begins with, which is the fast way
+        self.ends = re.compile(r"[.!?]\s+|[。！？؟]\s*|[\r\n]+")
+        self.digits, self.word, self.mixed = c(r"\p{N}+"), c(rf"[\p{{L}}\p{{M}}0]+|{CUT}"), c(MIXED)
         self.scripts = {k: c(v) for k, v in SCRIPTS.items()}
         self.words = {k: frozenset(v.split()) for k, (v, _) in WORDS.items()}
         self.fold = str.maketrans(*LOOKALIKES)
 
+    def lines(self, t: str) -> list[str]:
+        out, last = [], 0
+        for m in self.ends.finditer(t):
+            at = m.start() + (t[m.start()] not in "\r\n")
+            out.append(t[last:at])
+            last = m.end()
+        out.append(t[last:])
+        return out
+
     def terms(self, s: str) -> list[str]:
         """Lower-case words; camel case and underscores separate, numbers are all alike."""
-        if len(s) >= 48:
+        if max(map(len, s.split()), default=0) >= 48:
             s = self.blob.sub(" ", s)
         low = s.lower()
         if s != low or "_" in s:
@@ -113,7 +125,7 @@ class Tokenizer:
         """(language, share of its function words); the evidence is relative to the least share in prose."""
         n = sum(counts.values()) or 1
         script = "latin"
-        if not text.isascii():
+        if 10 * len(text.encode("ascii", "ignore")) < 9 * len(text):  # with fewer other letters a text is Latin
             long = {k: len(p.findall(text)) for k, p in self.scripts.items()}
             if long["ja"] > 0.1 * (long["ja"] + long["zh"]):
                 long["ja"], long["zh"] = long["ja"] + long["zh"], 0
@@ -127,27 +139,25 @@ class Tokenizer:
 
     def page(self, text: str) -> tuple:
         t = self.invisible.sub("", text)
-        links = self.link.findall(t) if self.hint.search(t) else []
-        link_chars = sum(map(len, links))
-        if links:
-            t = self.link.sub(f" {MARK} ", t)
-        tags = self.tag.findall(t) if "#" in t else []
+        links: list[int] = []
+        if self.hint.search(t):
+            t = self.link.sub(lambda m: links.append(m.end() - m.start()) or f" {MARK} ", t)
+        tags = [len(g) for g in self.tag.findall(t)] if "#" in t else []
         plain = self.markup.sub(" ", t) if "<" in t else t
-        segs, whole, n, chars = [], Counter(), 0, link_chars
-        for s in self.cuts.split(plain):
-            seen = len("".join(s.split())) - s.count(MARK)
-            if not seen and MARK not in s:
-                continue
-            found = Counter(self.terms(s))
-            tagged = sum(map(len, self.counted.findall(s))) if "#" in s else 0
-            segs.append((seen, tagged, found))
-            whole.update(found)
-            chars += seen
-        n = sum(whole.values())
-        letters = sum(len(w) * k for w, k in whole.items() if w != "0")
+        lines = [(s, len("".join(s.split())) - s.count(MARK)) for s in self.lines(plain)]
+        lines = [(s, n) for s, n in lines if n or MARK in s]
+        # all lines are cut into terms at once, with a sign between them
+        tokens = self.terms(f" {CUT} ".join(s for s, _ in lines))
+        cuts = [-1, *[i for i, w in enumerate(tokens) if w == CUT], len(tokens)]
+        parts = [Counter(tokens[a + 1 : b]) for a, b in zip(cuts, cuts[1:])] if lines else []
+        whole = Counter(tokens)
+        whole.pop(CUT, None)
+        at = dict(zip(whole, range(len(whole))))
+        segs = [(n, sum(map(len, self.counted.findall(s))) if "#" in s else 0, [at[w] for w in f], list(f.values())) for (s, n), f in zip(lines, parts)]
         lang, evidence = self.language(whole, plain)
-        at = {w: i for i, w in enumerate(whole)}
-        return lang, evidence, len(links), link_chars, len(tags), sum(map(len, tags)), chars, n, letters, list(whole), list(whole.values()), [(c, g, [at[w] for w in f], list(f.values())) for c, g, f in segs]
+        n = len(tokens) - max(len(lines) - 1, 0)
+        letters = sum(map(len, tokens)) - whole["0"] - (len(tokens) - n)
+        return lang, evidence, len(links), sum(links), len(tags), sum(tags), sum(n for _, n in lines) + sum(links), n, letters, list(whole), list(whole.values()), segs
 
 
 def _lists(values: list[list], kind: pa.DataType) -> pa.ListArray:
