@@ -45,7 +45,7 @@ SLACK = 1e-9
 def _projections(dim: int) -> np.ndarray:
     """Unit directions: the first ``dim`` are orthonormal, the others are those of a second such frame."""
     frames = [np.linalg.qr(np.random.default_rng(seed).normal(size=(dim, dim)))[0] for seed in (7, 8)]
-    return np.concatenate([frames[0], frames[1][: max(2, dim // 2)]]) if dim > 1 else np.ones((3, 1))
+    return np.concatenate([frames[0], frames[1][: max(1, dim // 2)]]) if dim > 1 else np.ones((3, 1))
 
 
 def settings(dim: int) -> tuple[int, float]:
