@@ -89,22 +89,23 @@ def view_diversity(views: DataFrame, by: list[str], dx: str, dy: str, dz: str) -
 
 
 def plane_labels(planes: DataFrame, max_angle: float, max_offset: float) -> DataFrame:
-    """(ix, iy, iz, label): neighbouring planes of one level merged by normal and distance.
+    """(level, ix, iy, iz, label): neighbouring planes of one level merged by normal and distance.
 
-    Pairs come from an equi-join on the 26 cells around; labels are the smallest cell of the connected planes.
+    Pairs come from an equi-join on the level and the 26 cells around; labels are the smallest cell of the connected planes.
     """
-    p = planes.where("is_plane").select(*grid.CELL, "cx", "cy", "cz", "nx", "ny", "nz").withColumn("id", F.struct(*grid.CELL))
+    node = ["level", *grid.CELL]
+    p = planes.where("is_plane").select(*node, "cx", "cy", "cz", "nx", "ny", "nz").withColumn("id", F.struct(*node))
     moved = p
     for c in grid.CELL:
         moved = moved.withColumn(c, F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)))
     a, b = p.alias("a"), moved.alias("b")
     cos = F.abs(sum((F.col(f"a.n{c}") * F.col(f"b.n{c}") for c in ("y", "z")), F.col("a.nx") * F.col("b.nx")))
     off = F.abs(sum(((F.col(f"a.c{c}") - F.col(f"b.c{c}")) * F.col(f"a.n{c}") for c in ("y", "z")), (F.col("a.cx") - F.col("b.cx")) * F.col("a.nx")))
-    near = a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in grid.CELL]).where((F.col("a.id") > F.col("b.id")) & (cos >= F.cos(F.radians(F.lit(max_angle)))) & (off <= max_offset))
+    near = a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in node]).where((F.col("a.id") > F.col("b.id")) & (cos >= F.cos(F.radians(F.lit(max_angle)))) & (off <= max_offset))
     # the components of the plane graph, over dense numbers of the cells
     number = cut(p.select("id").withColumn("k", F.monotonically_increasing_id()))
     edges = near.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).join(number.select(F.col("id").alias("a"), F.col("k").alias("u")), "a").join(number.select(F.col("id").alias("b"), F.col("k").alias("v")), "b").select("u", "v")
     leads = connected_leads(edges)
     owner = number.join(leads, F.col("k") == F.col("node"), "left").select("id", F.coalesce("lead", "k").alias("group"))
     label = owner.groupBy("group").agg(F.min("id").alias("label"))
-    return owner.join(label, "group").select("id.*", F.concat_ws("|", "label.ix", "label.iy", "label.iz").alias("label"))
+    return owner.join(label, "group").select("id.*", F.concat_ws("|", *[f"label.{c}" for c in node]).alias("label"))

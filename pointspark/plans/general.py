@@ -44,8 +44,21 @@ def _unified(stage: str):
     return query
 
 
+def p6_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Both unified tables, one row a given value: (stage, file_id, row_no, field, value)."""
+    files, records = table(spark, d, "cloud_file"), table(spark, d, "cloud_record")
+    canon, out = drift.canonical_fields(files, records), None
+    for stage in ("pcd", "outlier_analysis"):
+        rows = drift.unified_table(files, records, stage, canon)
+        fields = [c for c in rows.columns if c not in ("series_id", "file_seq", "file_id", "row_no")]
+        cells = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"`{c}`").cast("double").alias("value")) for c in fields]))
+        part = rows.select(F.lit(stage).alias("stage"), "file_id", "row_no", cells.alias("e")).select("stage", "file_id", "row_no", "e.*").where(F.col("value").isNotNull())
+        out = part if out is None else out.union(part)
+    return out
+
+
 def queries() -> dict:
-    return {"p3_found": p3_found, "p3_profile": p3_profile, "p3_columns": p3_columns, "p6_found": p6_found, "p6_fields": p6_fields, "p6_table_pcd": _unified("pcd"), "p6_table_outlier_analysis": _unified("outlier_analysis")}
+    return {"p6_cells": p6_cells, "p3_found": p3_found, "p3_profile": p3_profile, "p3_columns": p3_columns, "p6_found": p6_found, "p6_fields": p6_fields, "p6_table_pcd": _unified("pcd"), "p6_table_outlier_analysis": _unified("outlier_analysis")}
 
 
 _P3_SQL = """
@@ -152,5 +165,11 @@ SELECT walk.file_id, walk.name, any_value(fields.type) AS type, arg_max(was, dep
 """
 
 
+_P6_CELLS = _P6_FIELDS.replace("SELECT walk.file_id, walk.name, any_value", ", canon AS (SELECT walk.file_id, walk.name, any_value").replace("GROUP BY walk.file_id, walk.name\n", "GROUP BY walk.file_id, walk.name)\n") + """
+SELECT stage, g.file_id, g.row_no, coalesce(canonical, g.name) AS field, g.d AS value FROM given g JOIN cloud_file USING (file_id) LEFT JOIN canon ON canon.file_id = g.file_id AND canon.name = g.name
+WHERE g.d IS NOT NULL AND (canonical IS NOT NULL OR g.name IN ('point_idx', 'x', 'y', 'z'))
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": _P3_SQL, "p3_columns": _P3_COLUMNS, "p6_found": _P6_FOUND, "p6_fields": _P6_FIELDS}
+    return {"p6_cells": _P6_CELLS, "p3_found": _P3_SQL, "p3_columns": _P3_COLUMNS, "p6_found": _P6_FOUND, "p6_fields": _P6_FIELDS}

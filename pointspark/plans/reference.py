@@ -226,11 +226,6 @@ def agg_dev_z_k30(spark, d):
     return s.select("pt_id", F.round("balm_res__nmean_k30", 6).alias("nmean"), F.round("balm_res__dev_k30", 6).alias("dev"), F.round("balm_res__z_k30", 3).alias("z"), F.round("balm_res__ninv_k30", 6).alias("ninv"))
 
 
-@query()
-def roughness_r040(spark, d):
-    return spatial.roughness(scan_points(spark, d), 0.4, "pt_id")
-
-
 # ---- missing values ---------------------------------------------------------------------------------------------
 
 CHANNELS = ["balm_res", "ekf_res", "plane_quality", "view_diversity", "temp_consistency", "range_edge", "ambient"]
@@ -342,11 +337,6 @@ def sliding_windows(spark, d):
     return merge.sliding_windows(poses(spark, d).where("sane"), 10, 5).withColumn("position", F.col("position").cast("long"))
 
 
-@query()
-def session_keyframes(spark, d):
-    return sessions.session_keyframes(poses(spark, d).where("sane").select("cloud_id", "scan_id", "x", "y", "z", "qx", "qy", "qz", "qw"))
-
-
 # ---- rings ------------------------------------------------------------------------------------------------------
 
 RING = f"""g AS (SELECT scene, point_id, CAST(floor(CAST(ring AS DOUBLE) / 16) AS INTEGER) AS ring, CAST(floor((atan2(y, x) + pi()) / (2 * pi()) * 24) AS INTEGER) % 24 AS col, {fin('range')} AS rng FROM global_pcd_converter WHERE {XYZ_OK} AND {pres('ring')} >= 0 AND {fin('range')} > 0.1),
@@ -367,12 +357,6 @@ def ring_detach(spark, d):
     return rounded(rings.ring_features(c, ["scene"], 24), 5, "detach", "edge", "rough")
 
 
-@query()
-def ring_detach_points(spark, d):
-    p = ring_points(spark, d)
-    return rings.scatter(p, rings.ring_features(rings.lattice(p, ["scene"], "range", "range", "point_id"), ["scene"], 24), ["scene"])
-
-
 @query(f"""WITH a AS (SELECT scene, degrees(atan2(y, x)) AS az FROM global_pcd_converter WHERE {XYZ_OK}), g AS (SELECT scene, lead(az) OVER (PARTITION BY scene ORDER BY az) - az AS gap, count(*) OVER (PARTITION BY scene) AS points FROM a),
 r AS (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY gap) AS r, count(*) OVER (PARTITION BY scene) AS gaps FROM g WHERE gap > 1e-6)
 SELECT scene, CASE WHEN points >= 64 AND gaps >= 32 AND CAST(round(360 / gap) AS INTEGER) BETWEEN 180 AND 7200 THEN CAST(round(360 / gap) AS INTEGER) ELSE -1 END AS columns FROM r WHERE r = gaps // 2 + 1""")
@@ -419,12 +403,6 @@ def sor_operating_points(spark, d):
     return rounded(stats.sor_points(labelled(spark, d), ["scene"], "knn", [1.0, 2.0, 3.0]), 6, "threshold", "removed")
 
 
-@query()
-def rank_norm_scene(spark, d):
-    lab = labelled(spark, d)
-    return stats.rank_normalise(lab, ["scene"], "balm", stats.quantile_edges(lab, ["scene"], "balm")).select("point_id", "scene", "balm_rank")
-
-
 @query(f"""WITH {LABELLED}, r AS (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY coalesce(knn, 1e308), point_id) AS rn, count(*) OVER (PARTITION BY scene) AS n FROM lab)
 SELECT point_id FROM r WHERE rn <= greatest(round_even(n * (1 - 0.2), 0), 1)""")
 def keep_best(spark, d):
@@ -538,13 +516,6 @@ def visibility_composition(spark, d):
     return rounded(vis.composition(table(spark, d, "outlier_analysis"), "visibility_code", 4), 6, "share")
 
 
-@query()
-def headline_change(spark, d):
-    j = judged(spark, d).select("point_id", "score", "distance", "knn")
-    both = j.withColumn("scorer", F.lit("model")).unionByName(j.withColumns({"score": F.coalesce("knn", F.lit(float("inf"))), "scorer": F.lit("sor")}))
-    return metrics.headline(metrics.budget_curve(both, ["scorer"], "point_id", TAU), [], "scorer", "sor", [0.05, 0.10, 0.20, 0.30])
-
-
 # ---- visibility -------------------------------------------------------------------------------------------------
 
 RES = 5.0
@@ -646,36 +617,12 @@ def station_summary(spark, d):
 # ---- planes and places ------------------------------------------------------------------------------------------
 
 
-def plane_leaves(spark, d):
-    return planes.plane_map(scan_points(spark, d), 4.0, [8, 8, 8], 0.01, [0.05, 0.05, 0.05])
-
-
-@query()
-def plane_map(spark, d):
-    return plane_leaves(spark, d).select("level", *grid.CELL, "n", "l0", "l1", "l2", "nx", "ny", "nz", "is_plane")
-
-
-@query()
-def plane_matches(spark, d):
-    return planes.match_planes(scan_points(spark, d), plane_leaves(spark, d), 4.0, 3, 0.05, "pt_id")
-
-
-@query()
-def plane_labels(spark, d):
-    return planes.plane_labels(plane_leaves(spark, d).where("level = 0"), 30.0, 1.0)
-
-
 @query(f"WITH c AS (SELECT {cells(4.0)}, scan_id, {pres('balm_res')} AS b FROM (SELECT DISTINCT pt_id, scan_id, x, y, z, balm_res FROM pcd WHERE {XYZ_OK})) SELECT ix, iy, iz, count(DISTINCT scan_id) AS scans, count(b) AS n, round(CASE WHEN count(b) >= 3 THEN stddev_samp(b) END, 6) AS sd FROM c GROUP BY ALL")
 def node_support(spark, d):
     p = grid.located(table(spark, d, "pcd")).select("pt_id", "scan_id", "x", "y", "z", "balm_res").distinct().withColumn("b", present("balm_res"))
     return rounded(planes.support(p, 4.0, "b"), 6, "sd")
 
 
-@query()
-def cell_view_diversity(spark, d):
-    return planes.view_diversity(grid.with_cell(scan_points(spark, d), 4.0), grid.CELL, "x", "y", "z")
-
-
 BITS = " | ".join(f"(CASE WHEN embedding[{i + 4}] > 0 THEN {1 << i} ELSE 0 END)" for i in range(30))
 DESC = f"e AS (SELECT vec_id // 10 AS frame, vec_id AS id, abs(embedding[1]) * 40 AS s0, abs(embedding[2]) * 40 AS s1, abs(embedding[3]) * 40 AS s2, CAST({BITS} AS BIGINT) AS bits FROM embeddings)"
 MATCH = """m AS (SELECT a.frame AS frame_q, a.id AS id_q, b.frame AS frame_c, b.id AS id_c, 2.0 * bit_count(a.bits & b.bits) / (bit_count(a.bits) + bit_count(b.bits)) AS dice FROM e a JOIN e b ON a.frame - b.frame > 2
@@ -732,18 +679,6 @@ def session_windows(spark, d):
     return s.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
 
 
-@query()
-def session_reset(spark, d):
-    p = poses(spark, d).select("cloud_id", "scan_id", (~F.col("sane")).alias("degenerate"))
-    return sessions.reset_sessions(p, "cloud_id", "scan_id", "degenerate", 1, 2).select("cloud_id", "scan_id", "session", "saved")
-
-
-@query()
-def late_sweeps_dropped(spark, d):
-    p = poses(spark, d).where("sane").select("cloud_id", "scan_id", "t", (F.col("t") + 0.5).alias("t_end"))
-    return sessions.drop_late(p, "cloud_id", "t", "t_end", "scan_id").select("cloud_id", "scan_id")
-
-
 # ---- models -----------------------------------------------------------------------------------------------------
 
 

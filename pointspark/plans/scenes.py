@@ -64,7 +64,7 @@ FIXED = f"near AS (SELECT a.pt_id, {REL} FROM p a JOIN p b ON true QUALIFY row_n
 
 
 @query(f"WITH {BALL} SELECT p.pt_id, round(r, 4) AS roughness FROM p LEFT JOIN ball_r USING (pt_id)")
-def roughness_ball(spark, d):
+def roughness_r040(spark, d):
     return rounded(spatial.roughness(scan_points(spark, d), 0.4, "pt_id"), 4, "roughness")
 
 
@@ -111,22 +111,41 @@ def plane_leaves(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"WITH {LEAVES} SELECT level, ix, iy, iz, n, round(greatest(l0, 0.0), 6) AS l0, round(greatest(l1, 0.0), 6) AS l1, round(l2, 6) AS l2, is_plane FROM leaves")
-def plane_tree(spark, d):
+def plane_map(spark, d):
     """Eigenvalues and verdict of every leaf."""
     return rounded(plane_leaves(spark, d), 6, "l0", "l1", "l2").select("level", *grid.CELL, "n", "l0", "l1", "l2", "is_plane")
 
 
 @query(f"""WITH {LEAVES}, j AS (SELECT p.pt_id, l.*, p.x - cx AS dx, p.y - cy AS dy, p.z - cz AS dz FROM p JOIN leaves l ON is_plane AND ix = floor(p.x / ({SIZE} / power(2, level))) AND iy = floor(p.y / ({SIZE} / power(2, level))) AND iz = floor(p.z / ({SIZE} / power(2, level)))),
 r AS (SELECT pt_id, level, l0, l2, dx*dx + dy*dy + dz*dz AS reach, {projected('dx', 'dy', 'dz')} AS res FROM j) SELECT pt_id, arg_max(level, level) AS level, round(arg_max(res, level), 4) AS residual FROM r WHERE res < 0.15 AND reach - res*res <= 9 * l2 GROUP BY pt_id""")
-def plane_residuals(spark, d):
+def plane_matches(spark, d):
     """Each point with the plane of its deepest leaf."""
     m = planes.match_planes(scan_points(spark, d), plane_leaves(spark, d), SIZE, DEPTH, 0.05, "pt_id")
     return rounded(m.select("pt_id", "level", "residual"), 4, "residual")
 
 
+def _axis() -> str:
+    """Normal (nx, ny, nz) of a row with the matrix and its eigenvalues: the projector's column of the largest diagonal entry."""
+    a = {"xx": "vxx", "xy": "vxy", "xz": "vxz", "yy": "vyy", "yz": "vyz", "zz": "vzz"}
+    at = lambda i, j: a["".join(sorted(i + j))]
+    entry = lambda i, j: "(" + " + ".join(f"({at(i, k)}{' - l1' if i == k else ''}) * ({at(k, j)}{' - l2' if k == j else ''})" for k in "xyz") + ") / nullif((l0 - l1) * (l0 - l2), 0)"
+    m = ", ".join(f"{entry(i, j)} AS m{i}{j}" for i in "xyz" for j in "xyz")
+    pick = lambda i: f"CASE WHEN mxx >= myy AND mxx >= mzz THEN m{i}x / sqrt(mxx) WHEN myy >= mzz THEN m{i}y / sqrt(myy) ELSE m{i}z / sqrt(mzz) END AS n{i}"
+    return f"nm AS (SELECT *, {m} FROM leaves WHERE is_plane), pn AS (SELECT level, ix, iy, iz, cx, cy, cz, {pick('x')}, {pick('y')}, {pick('z')} FROM nm)"
+
+
+@query(f"""WITH RECURSIVE {LEAVES}, {_axis()}, e AS (SELECT row(a.level, a.ix, a.iy, a.iz)::STRUCT(level INTEGER, ix BIGINT, iy BIGINT, iz BIGINT) AS a, row(b.level, b.ix, b.iy, b.iz)::STRUCT(level INTEGER, ix BIGINT, iy BIGINT, iz BIGINT) AS b FROM pn a JOIN pn b ON a.level = b.level AND abs(a.ix - b.ix) <= 1 AND abs(a.iy - b.iy) <= 1 AND abs(a.iz - b.iz) <= 1
+  WHERE (a.ix, a.iy, a.iz) > (b.ix, b.iy, b.iz) AND abs(a.nx*b.nx + a.ny*b.ny + a.nz*b.nz) >= cos(radians(30.0)) AND abs((a.cx-b.cx)*a.nx + (a.cy-b.cy)*a.ny + (a.cz-b.cz)*a.nz) <= 1.0),
+s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), n AS (SELECT row(level, ix, iy, iz)::STRUCT(level INTEGER, ix BIGINT, iy BIGINT, iz BIGINT) AS a FROM pn), r(node, lead) AS (SELECT a, a FROM n UNION SELECT s.b, r.lead FROM r JOIN s ON s.a = r.node WHERE r.lead < s.b), g AS (SELECT node, min(lead) AS lead FROM r GROUP BY node)
+SELECT node.level AS level, node.ix AS ix, node.iy AS iy, node.iz AS iz, concat_ws('|', lead.level, lead.ix, lead.iy, lead.iz) AS label FROM g""")
+def plane_labels(spark, d):
+    """Connected planes of every level."""
+    return planes.plane_labels(plane_leaves(spark, d), 30.0, 1.0)
+
+
 @query(f"""WITH {PCD}, u AS (SELECT {cells(4.0)}, x / sqrt(x*x+y*y+z*z) AS x, y / sqrt(x*x+y*y+z*z) AS y, z / sqrt(x*x+y*y+z*z) AS z FROM p WHERE x*x+y*y+z*z > 0), m AS (SELECT ix, iy, iz, count(*) AS n, avg(x*x) AS vxx, avg(x*y) AS vxy, avg(x*z) AS vxz, avg(y*y) AS vyy, avg(y*z) AS vyz, avg(z*z) AS vzz FROM u GROUP BY ix, iy, iz),
 {eigen('m', 'e', 'ix, iy, iz, n')} SELECT ix, iy, iz, n, round(greatest(l0, 0.0), 6) + 0 AS diversity FROM e""")
-def view_diversity(spark, d):
+def cell_view_diversity(spark, d):
     """A17."""
     v = planes.view_diversity(grid.with_cell(scan_points(spark, d), 4.0), grid.CELL, "x", "y", "z")
     return v.select(*grid.CELL, "n", (F.round("diversity", 6) + 0).alias("diversity"))
@@ -185,7 +204,7 @@ def deskewed(spark, d):
 
 
 @query(f"WITH {RING}, k AS (SELECT scene, ring, col, CASE WHEN rl + rr IS NULL THEN 0 ELSE least(rl, rr) / sc END AS detach, CASE WHEN rl + rr IS NULL THEN 0 ELSE greatest(rl, rr) / sc END AS edge FROM s), a AS (SELECT scene, point_id, CAST(floor({pres('ring')} / 16) AS INTEGER) AS ring, CAST(floor((atan2(y, x) + pi()) / (2 * pi()) * 24) AS INTEGER) % 24 AS col FROM global_pcd_converter WHERE {XYZ_OK} AND {pres('ring')} >= 0) SELECT a.scene, point_id, round(coalesce(detach, 0), 5) AS detach, round(coalesce(edge, 0), 5) AS edge FROM a LEFT JOIN k ON k.scene = a.scene AND k.ring = a.ring AND k.col = a.col")
-def ring_points_scattered(spark, d):
+def ring_detach_points(spark, d):
     """Every point with its cell's figures."""
     p = ring_points(spark, d)
     s = rings.scatter(p, rings.ring_features(rings.lattice(p, ["scene"], "range", "range", "point_id"), ["scene"], 24), ["scene"])
