@@ -101,6 +101,16 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.least("pt_id", "neighbour_id").alias("pt_id_a"), F.greatest("pt_id", "neighbour_id").alias("pt_id_b")).distinct()
 
 
+def p2_quotas(spark: SparkSession, d: str) -> DataFrame:
+    """Every point once, no component in two splits, and each split within one per cent of all points of its quota or, if larger, the largest component."""
+    rows = cut(point_splits(spark, d))
+    sizes = rows.groupBy("lead").agg(F.count("*").alias("n"), F.countDistinct("split").alias("k")).agg(F.count_if(F.col("k") > 1).alias("torn"), F.max("n").alias("largest"), F.sum("n").alias("points"))
+    each = rows.groupBy("split").agg(F.count("*").alias("n"))
+    share = F.element_at(F.create_map(*[F.lit(x) for pair in splits.SPLITS for x in pair]), F.col("split"))
+    off = each.crossJoin(sizes).select("torn", "points", (F.abs(F.col("n") - share * F.col("points")) <= F.greatest(0.01 * F.col("points"), F.col("largest"))).alias("ok"))  # three rows
+    return off.groupBy("points", "torn").agg(F.every("ok").alias("within"))
+
+
 def _embedded(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
     rows = table(spark, d, "embeddings")
     dims = [f"e{i}" for i in range(64)]
@@ -214,6 +224,13 @@ def p9_curves(spark: SparkSession, d: str) -> DataFrame:
     return spam.curves(cut(spam.segments(table(spark, d, "documents"), "doc_id", "text"))).withColumnRenamed("doc", "doc_id")
 
 
+def p9_word_curves(spark: SparkSession, d: str) -> DataFrame:
+    """The rank-frequency fit over plain lower-case Latin words, whose cutting SQL can say too."""
+    words = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("term"))
+    fit = spam.fit_curves(words.groupBy("doc", "term").agg(F.count("*").alias("f")).drop("term"), ["doc"])
+    return fit.select(F.col("doc").alias("doc_id"), "terms", "vocabulary", *[(F.round(c, 6) + 0).alias(c) for c in ("slope", "residual", "head", "entropy")])
+
+
 #: A Parquet file's statistics leave NaN out, by which NOT isnan() may be folded to true; isfinite() or isinf() can't be.
 _MEASURES = "measures AS (" + " UNION ALL ".join(
     f"SELECT '{c}' AS measure, scene, cloud_id, strftime({at}, '%Y-%m-%d') AS day FROM {t} WHERE (isfinite({c}) OR isinf({c})) AND abs(CAST({c} AS DOUBLE) + 1) > 1e-6"
@@ -254,13 +271,18 @@ near AS (SELECT a.pt_id, b.pt_id AS neighbour_id, (a.x-b.x)*(a.x-b.x) + (a.y-b.y
 
 
 def queries() -> dict:
-    return {"p1_percentiles": p1_percentiles, "p1_clouds": p1_clouds, "p1_scenes": p1_scenes, "p1_day_ranks": p1_day_ranks, "p1_cloud_ranks": p1_cloud_ranks, "p1_scene_ranks": p1_scene_ranks, "p2_found": p2_found, "p2_splits": p2_splits, "p2_report": p2_report, "p4_found": p4_found, "p4_nearest": p4_nearest, "p4_embeddings": p4_embeddings, "p4_recall": p4_recall, "p4_recall_check": p4_recall_check, "p5_found": p5_found, "p5_cutoffs": p5_cutoffs, "p5_flags": p5_flags, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill, "p8_instructions": p8_instructions, "p8_audit": p8_audit, "p8_limits": p8_limits, "p9_found": p9_found, "p9_curves": p9_curves}
+    return {"p1_percentiles": p1_percentiles, "p1_clouds": p1_clouds, "p1_scenes": p1_scenes, "p1_day_ranks": p1_day_ranks, "p1_cloud_ranks": p1_cloud_ranks, "p1_scene_ranks": p1_scene_ranks, "p2_found": p2_found, "p2_splits": p2_splits, "p2_report": p2_report, "p2_quotas": p2_quotas, "p9_word_curves": p9_word_curves, "p4_found": p4_found, "p4_nearest": p4_nearest, "p4_embeddings": p4_embeddings, "p4_recall": p4_recall, "p4_recall_check": p4_recall_check, "p5_found": p5_found, "p5_cutoffs": p5_cutoffs, "p5_flags": p5_flags, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill, "p8_instructions": p8_instructions, "p8_audit": p8_audit, "p8_limits": p8_limits, "p9_found": p9_found, "p9_curves": p9_curves}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         **{f"p1_{name}_ranks": f"WITH {_MEASURES} SELECT {', '.join(DAY[:k])}, count(*) AS n, true AS within FROM measures GROUP BY ALL" for name, k in (("day", 4), ("cloud", 3), ("scene", 2))},
         "p8_audit": "SELECT count(*) AS items, count(*) AS whole, 0 AS split_needlessly, 0 AS beyond_limits, true AS \"full\", p.packing FROM documents, (SELECT unnest(['containers', 'instructions']) AS packing) p GROUP BY ALL",
+        "p2_quotas": "SELECT count(DISTINCT point_id) AS points, 0 AS torn, true AS within FROM outlier_analysis",
+        "p9_word_curves": """WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents), f AS (SELECT doc_id, term, count(*) AS f FROM w GROUP BY ALL),
+r AS (SELECT doc_id, f, ln(f) AS y, ln(row_number() OVER (PARTITION BY doc_id ORDER BY f DESC)) AS x, row_number() OVER (PARTITION BY doc_id ORDER BY f DESC) AS r FROM f),
+g AS (SELECT doc_id, sum(f) AS terms, count(*) AS vocabulary, coalesce(CASE WHEN var_pop(x) > 0 THEN covar_pop(x, y) / var_pop(x) END, 0) AS slope, var_pop(y) AS vy, covar_pop(x, y) AS cxy, sum(CASE WHEN r <= 2 THEN f END) AS top, sum(f * y) AS fy FROM r GROUP BY doc_id)
+SELECT doc_id, CAST(terms AS BIGINT) AS terms, vocabulary, round(slope, 6) + 0 AS slope, round(sqrt(greatest(vy - slope * cxy, 0)), 6) + 0 AS residual, round(top / terms, 6) + 0 AS head, round(ln(terms) - fy / terms, 6) + 0 AS entropy FROM g""",
         "p2_found": _RELATED,
         "p4_recall_check": "SELECT 'embeddings' AS collection, count(*) AS queries, count(*) * 10 AS \"true\", true AS enough FROM embeddings WHERE vec_id % 50 = 0 UNION ALL SELECT 'pcd', count(DISTINCT pt_id), count(DISTINCT pt_id) * 5, true FROM pcd WHERE pt_id % 50 = 0 AND (isfinite(x) OR isinf(x)) AND (isfinite(y) OR isinf(y)) AND (isfinite(z) OR isinf(z))",
         "p4_found": f"{_NEAR} SELECT DISTINCT least(pt_id, neighbour_id) AS pt_id_a, greatest(pt_id, neighbour_id) AS pt_id_b FROM near WHERE r <= 5",

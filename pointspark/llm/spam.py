@@ -31,6 +31,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -162,7 +163,8 @@ class Tokenizer:
 
 def _lists(values: list[list], kind: pa.DataType) -> pa.ListArray:
     ends = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
-    return pa.ListArray.from_arrays(ends, pa.array([x for v in values for x in v], type=kind))
+    flat = chain.from_iterable(values)
+    return pa.ListArray.from_arrays(ends, pa.array(np.fromiter(flat, np.int32, int(ends[-1])) if kind == pa.int32() else list(flat), type=kind))
 
 
 def segments(docs: DataFrame, key: str, text: str) -> DataFrame:
