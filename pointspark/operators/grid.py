@@ -79,6 +79,31 @@ def merge_clusters(clusters: DataFrame, by: list[str]) -> DataFrame:
     return clusters.groupBy(*by).agg(*[F.sum(c).alias(c) for c in clusters.columns if c == "n" or c[0] in "sp" and c[1:] in ("x", "y", "z", "xx", "xy", "xz", "yy", "yz", "zz")])
 
 
+def subtract_clusters(whole: DataFrame, part: DataFrame, by: list[str]) -> DataFrame:
+    """Clusters without the points of others of the same keys (A16); a key that the part doesn't have stays, one that is used up goes."""
+    sums = [c for c in whole.columns if c not in by]
+    less = part.select(*[F.col(k).alias(f"_k_{k}") for k in by], *[F.col(c).alias(f"_{c}") for c in sums])
+    same = F.lit(True)
+    for k in by:
+        same &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return whole.join(less, same, "left").select(*by, *[(F.col(c) - F.coalesce(F.col(f"_{c}"), F.lit(0))).alias(c) for c in sums]).where(F.col("n") > 0)
+
+
+def transform_clusters(clusters: DataFrame, matrix: list[list[float]]) -> DataFrame:
+    """Clusters of the transformed points, from the sums alone (A16): v' = R v + n t, P' = R P R^T + R v t^T + t (R v)^T + n t t^T."""
+    r, t, n = [[F.lit(float(v)) for v in row[:3]] for row in matrix[:3]], [F.lit(float(row[3])) for row in matrix[:3]], F.col("n")
+    v = [F.col(f"s{c}") for c in XYZ]
+    p = [[F.col("p" + "".join(sorted(a + b))) for b in XYZ] for a in XYZ]
+    rv = [row[0] * v[0] + row[1] * v[1] + row[2] * v[2] for row in r]
+    new = {f"s{c}": rv[i] + n * t[i] for i, c in enumerate(XYZ)}
+    for i in range(3):
+        for j in range(i, 3):
+            rpr = sum((r[i][a] * p[a][b] * r[j][b] for a in range(3) for b in range(3) if (a, b) != (0, 0)), r[i][0] * p[0][0] * r[j][0])
+            new[f"p{XYZ[i]}{XYZ[j]}"] = rpr + rv[i] * t[j] + t[i] * rv[j] + n * t[i] * t[j]
+    rest = [c for c in clusters.columns if c not in new]
+    return clusters.select(*rest, *[e.alias(c) for c, e in new.items()])
+
+
 def covariance(clusters: DataFrame) -> DataFrame:
     """Centroid and covariance P/n - cc^T of point clusters."""
     n = F.col("n")

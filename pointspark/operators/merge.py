@@ -7,7 +7,7 @@ episode statistics, whose groups are the scans that saw one cell.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -209,3 +209,74 @@ def deskew(points: DataFrame, traj: DataFrame, at: str = "scan_time") -> DataFra
     back = [d[i] * ce + dcross[i] * ve + a[i] * ddot * (1 - ce) for i in range(3)]
     new = {k: F.when(F.col("dt").isNotNull(), turned[i] + F.col("_u") * back[i]).otherwise(F.col(k)) for i, k in enumerate(P)}
     return j.withColumns({f"_{k}": e for k, e in new.items()}).select(*[c for c in points.columns if c not in P], *[F.col(f"_{k}").alias(k) for k in P])
+
+
+def static_start(samples: DataFrame, by: list[str], order: str, first: int, gravity: float = 9.81) -> DataFrame:
+    """(by, n, g0..g2, b0..b2): gravity and gyroscope bias of a sensor that stands still, from its first samples.
+
+    samples: a0..a2 (accelerations), w0..w2 (turn rates). Gravity is against the mean acceleration, scaled to its known size; missing samples are left out.
+    """
+    w = W.partitionBy(*by).orderBy(order)
+    cols = [f"{k}{i}" for k in "aw" for i in range(3)]
+    ok = F.lit(True)
+    for c in cols:
+        ok &= finite(c).isNotNull()
+    rows = samples.where(ok).withColumn("_i", F.row_number().over(w)).where(F.col("_i") <= first)
+    mean = rows.groupBy(*by).agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in cols])
+    size = rigid.norm("a0", "a1", "a2")
+    return mean.select(*by, "n", *[F.when(size > 0, -F.col(f"a{i}") * gravity / size).alias(f"g{i}") for i in range(3)], *[F.col(f"w{i}").alias(f"b{i}") for i in range(3)])
+
+
+def _upright(g: list[Column]) -> list[list[Column]]:
+    """Rotation that turns a gravity vector to the nearer side of the z axis."""
+    size = rigid.norm(*g)
+    n = [c / size for c in g]
+    up = F.when(n[2] < 0, -1.0).otherwise(1.0)
+    ax = [n[1] * up, -n[0] * up]  # n x (0, 0, up)
+    s = F.sqrt(ax[0] * ax[0] + ax[1] * ax[1])
+    kx, ky = F.when(s > 0, ax[0] / s).otherwise(0.0), F.when(s > 0, ax[1] / s).otherwise(0.0)
+    angle = F.asin(F.least(s, F.lit(1.0)))
+    c, d, v = F.cos(angle), 1 - F.cos(angle), F.sin(angle)
+    return [[c + kx * kx * d, kx * ky * d, ky * v], [kx * ky * d, c + ky * ky * d, -kx * v], [-ky * v, kx * v, c]]
+
+
+def align_gravity(traj: DataFrame, by: str = "cloud_id", order: str = "scan_id") -> DataFrame:
+    """Positions, velocities and gravity of each session turned so that its first scan's gravity lies along z."""
+    first = traj.where(finite("gx").isNotNull() & finite("gy").isNotNull() & finite("gz").isNotNull() & (rigid.norm("gx", "gy", "gz") > 0)).groupBy(by).agg(F.min_by(F.struct("gx", "gy", "gz"), order).alias("_g"))
+    r = _upright([F.col("_g.gx"), F.col("_g.gy"), F.col("_g.gz")])
+    zero = [F.lit(0.0)] * 3
+    sets = (("x", "y", "z"), ("vx", "vy", "vz"), ("gx", "gy", "gz"))
+    new = {c: v for cols in sets for c, v in zip(cols, rigid.apply(r, zero, [F.col(c) for c in cols]))}
+    rows = traj.join(first, by, "left")
+    return rows.select(*[F.coalesce(new[c], F.col(c)).alias(c) if c in new else F.col(c) for c in traj.columns])
+
+
+def apply_correction(traj: DataFrame, corrections: DataFrame) -> DataFrame:
+    """States after a loop was closed (X16): from a correction's first scan on, poses, velocities and gravity move with it.
+
+    corrections: cloud_id, from_scan, m (12 doubles, a 3 x 4 transform, row by row), a few rows; of several the latest one that has begun counts.
+    """
+    e = [[F.col("m")[4 * i + j] for j in range(3)] for i in range(3)]
+    # the correction's quaternion; the branch by the largest of 4 w^2, 4 x^2, 4 y^2, 4 z^2 keeps it well conditioned
+    trace = e[0][0] + e[1][1] + e[2][2]
+    s = [1 + trace, 1 + e[0][0] - e[1][1] - e[2][2], 1 - e[0][0] + e[1][1] - e[2][2], 1 - e[0][0] - e[1][1] + e[2][2]]
+    off = {"x": e[2][1] - e[1][2], "y": e[0][2] - e[2][0], "z": e[1][0] - e[0][1], "xy": e[0][1] + e[1][0], "xz": e[0][2] + e[2][0], "yz": e[1][2] + e[2][1]}
+    forms = F.array(*[F.array(*f) for f in ((off["x"], off["y"], off["z"], s[0]), (s[1], off["xy"], off["xz"], off["x"]), (off["xy"], s[2], off["yz"], off["y"]), (off["xz"], off["yz"], s[3], off["z"]))])
+    big = F.greatest(*s)
+    form = F.element_at(forms, F.array_position(F.array(*s), big).cast("int"))
+    c = corrections.select(F.col("cloud_id").alias("_c"), "from_scan", F.struct("m", F.transform(form, lambda v: v / (2 * F.sqrt(big))).alias("q")).alias("_f"))
+    begun = traj.select("cloud_id", "scan_id").distinct().join(c, (F.col("cloud_id") == F.col("_c")) & (F.col("scan_id") >= F.col("from_scan")))
+    latest = begun.groupBy("cloud_id", "scan_id").agg(F.max_by("_f", "from_scan").alias("_f")).select("cloud_id", "scan_id", F.col("_f.m").alias("_m"), F.col("_f.q").alias("_q"))
+    rows = traj.join(latest, ["cloud_id", "scan_id"], "left")
+    r = [[F.col("_m")[4 * i + j] for j in range(3)] for i in range(3)]
+    t, zero = [F.col("_m")[4 * i + 3] for i in range(3)], [F.lit(0.0)] * 3
+    new = dict(zip(P, rigid.apply(r, t, [F.col(k) for k in P])))
+    for cols in (("vx", "vy", "vz"), ("gx", "gy", "gz")):
+        new |= dict(zip(cols, rigid.apply(r, zero, [F.col(k) for k in cols])))
+    d = [F.col("_q")[i] for i in range(4)]
+    x, y, z, w = (F.col(q) for q in Q)
+    new["qx"] = d[3] * x + d[0] * w + d[1] * z - d[2] * y
+    new["qy"] = d[3] * y - d[0] * z + d[1] * w + d[2] * x
+    new["qz"] = d[3] * z + d[0] * y - d[1] * x + d[2] * w
+    new["qw"] = d[3] * w - d[0] * x - d[1] * y - d[2] * z
+    return rows.select(*[F.when(F.col("_m").isNotNull(), new[k]).otherwise(F.col(k)).alias(k) if k in new else F.col(k) for k in traj.columns])

@@ -333,3 +333,52 @@ def registration(spark, d):
     again = register.rounds(source, lambda p: p.where(F.col("z") < 2.5), align, best)
     got = [("coarse start", coarse), ("candidate by short fit", _close(best, 3.0, 0.4)), ("multiscale registration", _close(fine, 0.05, 0.005) and fitness > 0.99), ("rounds of mask and registration", _close(again, 0.05, 0.005)), ("yaw peaks apart", len(yaw) == 2 and abs((yaw[0] - yaw[1] + 180) % 360 - 180) > 20)]
     return spark.createDataFrame([(a, bool(b)) for a, b in got], "step string, recovered boolean")
+
+
+# ---- states -----------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {PCD}, k AS (SELECT {cells(8.0)}, x, y, z, x >= 0 AND y < 0 AS off FROM p), m AS (SELECT ix, iy, iz, {MX} AS x, {MY} AS y, {MZ} AS z FROM k WHERE NOT off), c AS (SELECT ix, iy, iz, {MOMENTS} FROM m GROUP BY ix, iy, iz)
+SELECT ix, iy, iz, n, round(cx, 5) AS cx, round(cz, 5) AS cz, round(vxx, 4) + 0 AS vxx, round(vxy, 4) + 0 AS vxy, round(vyz, 4) + 0 AS vyz FROM c""")
+def cluster_algebra(spark, d):
+    """Clusters less the points of a quarter, then transformed, from their sums alone."""
+    p = grid.with_cell(scan_points(spark, d), 8.0)
+    left = grid.subtract_clusters(grid.point_clusters(p, grid.CELL), grid.point_clusters(p.where("x >= 0 and y < 0"), grid.CELL), grid.CELL)
+    c = grid.covariance(grid.transform_clusters(left, MOVE.tolist()))
+    return c.select(*grid.CELL, "n", F.round("cx", 5).alias("cx"), F.round("cz", 5).alias("cz"), *[(F.round(v, 4) + 0).alias(v) for v in ("vxx", "vxy", "vyz")])
+
+
+STATE = f"""one AS (SELECT cloud_id, scan_id, arg_min(row(t, x, y, z, vx, vy, vz, gx, gy, gz, bgx, bgy, bgz)::STRUCT(t DOUBLE, x DOUBLE, y DOUBLE, z DOUBLE, vx DOUBLE, vy DOUBLE, vz DOUBLE, gx DOUBLE, gy DOUBLE, gz DOUBLE, bgx DOUBLE, bgy DOUBLE, bgz DOUBLE), (received_at, coalesce(t, 0), coalesce(x, 0), coalesce(y, 0), coalesce(z, 0))) AS r FROM trajectory GROUP BY ALL),
+st AS (SELECT cloud_id, scan_id, r.* FROM one)"""
+
+
+@query(f"""WITH {STATE}, s AS (SELECT * FROM st WHERE {" AND ".join(f"coalesce(isfinite({c}), false)" for c in ("gx", "gy", "gz", "bgx", "bgy", "bgz"))} QUALIFY row_number() OVER (PARTITION BY cloud_id ORDER BY scan_id) <= 10),
+m AS (SELECT cloud_id, count(*) AS n, avg(-gx) AS a, avg(-gy) AS b, avg(-gz) AS c, avg(bgx) AS w FROM s GROUP BY cloud_id) SELECT cloud_id, n, round(-a * 9.81 / sqrt(a*a+b*b+c*c), 6) AS g0, round(-c * 9.81 / sqrt(a*a+b*b+c*c), 6) AS g2, round(w, 9) AS b0 FROM m""")
+def static_start(spark, d):
+    """Gravity and bias from the first samples of each session."""
+    t = merge.one_per_scan(table(spark, d, "trajectory"))
+    samples = t.select("cloud_id", "scan_id", *[(-F.col(c)).alias(f"a{i}") for i, c in enumerate(("gx", "gy", "gz"))], *[F.col(c).alias(f"w{i}") for i, c in enumerate(("bgx", "bgy", "bgz"))])
+    s = merge.static_start(samples, ["cloud_id"], "scan_id", 10)
+    return s.select("cloud_id", "n", F.round("g0", 6).alias("g0"), F.round("g2", 6).alias("g2"), F.round("b0", 9).alias("b0"))
+
+
+@query(f"""WITH {STATE}, f AS (SELECT cloud_id, arg_min({{'a': gx, 'b': gy, 'c': gz}}, scan_id) AS g FROM st WHERE coalesce(isfinite(gx) AND isfinite(gy) AND isfinite(gz), false) AND gx*gx+gy*gy+gz*gz > 0 GROUP BY cloud_id),
+n AS (SELECT cloud_id, g.a / sqrt(g.a*g.a+g.b*g.b+g.c*g.c) AS a, g.b / sqrt(g.a*g.a+g.b*g.b+g.c*g.c) AS b, CASE WHEN g.c < 0 THEN -1 ELSE 1 END AS up FROM f), k AS (SELECT cloud_id, sqrt(a*a+b*b) AS s, CASE WHEN a*a+b*b > 0 THEN b*up / sqrt(a*a+b*b) ELSE 0 END AS kx, CASE WHEN a*a+b*b > 0 THEN -a*up / sqrt(a*a+b*b) ELSE 0 END AS ky FROM n),
+r AS (SELECT *, asin(least(s, 1.0)) AS an FROM k) SELECT st.cloud_id, scan_id, round({fin('(cos(an) + kx*kx*(1-cos(an)))*x + kx*ky*(1-cos(an))*y + ky*sin(an)*z')}, 4) AS x, round({fin('-ky*sin(an)*x + kx*sin(an)*y + cos(an)*z')}, 4) AS z, round({fin('(cos(an) + kx*kx*(1-cos(an)))*gx + kx*ky*(1-cos(an))*gy + ky*sin(an)*gz')}, 6) + 0 AS gx FROM st JOIN r ON r.cloud_id = st.cloud_id""")
+def gravity_aligned(spark, d):
+    """Sessions turned upright."""
+    a = merge.align_gravity(merge.one_per_scan(table(spark, d, "trajectory")))
+    return a.select("cloud_id", "scan_id", F.round(finite("x"), 4).alias("x"), F.round(finite("z"), 4).alias("z"), (F.round(finite("gx"), 6) + 0).alias("gx"))
+
+
+@query(f"""WITH {TRAJ}, v AS (SELECT cloud_id, scan_id, arg_min(row(vx, vy)::STRUCT(vx DOUBLE, vy DOUBLE), (received_at, coalesce(t, 0), coalesce(x, 0), coalesce(y, 0), coalesce(z, 0))) AS v FROM trajectory GROUP BY ALL), w AS (SELECT cloud_id, (min(scan_id) + max(scan_id)) // 2 AS half FROM poses WHERE sane GROUP BY cloud_id),
+j AS (SELECT p.*, v.v.vx AS vx, v.v.vy AS vy, scan_id >= half AS new FROM poses p JOIN v USING (cloud_id, scan_id) JOIN w USING (cloud_id) WHERE sane)
+SELECT scan_id, round(CASE WHEN new THEN {MX} ELSE x END, 5) AS x, round(CASE WHEN new THEN {MY} ELSE y END, 5) AS y, round({fin('CASE WHEN new THEN cos(radians(3.0))*vx - sin(radians(3.0))*vy ELSE vx END')}, 5) AS vx,
+round(CASE WHEN new THEN cos(radians(1.5))*qz + sin(radians(1.5))*qw ELSE qz END, 6) AS qz, round(CASE WHEN new THEN cos(radians(1.5))*qx - sin(radians(1.5))*qy ELSE qx END, 6) AS qx FROM j""")
+def loop_corrected(spark, d):
+    """From the middle of each session on, states follow a loop's correction."""
+    p = poses(spark, d).where("sane")
+    at = p.groupBy("cloud_id").agg(F.floor((F.min("scan_id") + F.max("scan_id")) / 2).alias("from_scan"))
+    fix = at.withColumn("m", F.array(*[F.lit(float(v)) for v in MOVE[:3].ravel()]))
+    c = merge.apply_correction(p, fix)
+    return c.select("scan_id", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"), F.round(finite("vx"), 5).alias("vx"), F.round("qz", 6).alias("qz"), F.round("qx", 6).alias("qx"))

@@ -32,6 +32,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release_checkpoints(spark: SparkSession) -> None:
+    """Deletes this session's own part of the checkpoint folder: for use once the results of its queries are written.
+
+    A session that sets spark.cleaner.referenceTracking.cleanCheckpoints before it starts has unreachable ones deleted as it goes.
+    """
+    at = spark.sparkContext.getCheckpointDir()
+    if at:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.delete(path, True)
+        fs.mkdirs(path)
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder's path in the shared checkpoint folder, for files that a query writes and reads again."""
     ensure_checkpoint_dir(spark)
