@@ -127,6 +127,7 @@ def profile_loads(df: DataFrame, rules: list[ColumnRule], feed: str = "feed_id",
     n = F.col("n")
     coded = counts.select("*", F.when(valid, F.coalesce(value_bucket(F.col("v")), F.pmod(F.xxhash64("t"), F.lit(64)).cast("int"))).alias("b"), valid.alias("valid"), out.alias("out"), bad.alias("bad"))
 
+    coded = cut(coded) if resolve else coded  # written once, since the values are read again
     bins = coded.groupBy("load", "c", "b").agg(
         F.sum("n").alias("n"), F.sum(F.when(F.col("valid"), 1).otherwise(0)).alias("kinds"), F.min("v").alias("lo"), F.max("v").alias("hi"),
         F.min("t").alias("tlo"), F.max("t").alias("thi"), F.sum(F.when(F.col("out"), n).otherwise(0)).alias("out"), F.sum(F.when(F.col("bad"), n).otherwise(0)).alias("bad"), F.max(F.when(F.col("valid"), n)).alias("top"),
@@ -166,12 +167,16 @@ def profile_loads(df: DataFrame, rules: list[ColumnRule], feed: str = "feed_id",
     open_bins = border.drop("gap").where(~F.col("c").isin(text)).join(change.select("pair", "c", "gap"), ["pair", "c"]).where(F.col("most") > F.col("gap") if resolve else (F.col("most") > SHIFT_GAP) & (F.col("gap") <= SHIFT_GAP)).select("pair", "c", "b", "now0", "past0", "now_all", "past_all")
     sides = F.array(F.struct(F.col("pair").alias("load"), F.lit(True).alias("new")), F.struct(F.col("before").alias("load"), F.lit(False).alias("new")))
     open_bins = cut(open_bins.join(order.select(F.col("load").alias("pair"), "before"), "pair").select("*", F.explode(sides).alias("s")).select("pair", "c", "b", "now0", "past0", "now_all", "past_all", "s.load", "s.new"))
-    # rows outside the open buckets are dropped where they are read, before anything is counted or moved
-    few = open_bins.count() <= BROADCAST_BINS
-    raw = _entries(df, rules, load, [i for i in range(len(rules)) if i not in text]) if len(text) < len(rules) else _entries(df, rules, load).limit(0)
-    raw = raw.withColumn("v", F.coalesce("v", F.col("w").cast("double"))).where(F.col("v").isNotNull()).select("load", "c", "v", value_bucket(F.col("v")).alias("b"))
     keys = ["pair", "c", "b", "v", "now0", "past0", "now_all", "past_all"]
-    fine = raw.join(F.broadcast(open_bins) if few else open_bins, ["load", "c", "b"]).groupBy(*keys).agg(F.count_if("new").alias("now"), F.count_if(~F.col("new")).alias("past"))
+    if open_bins.count() <= BROADCAST_BINS:
+        # rows outside the few open buckets are dropped where they are read, before anything is counted or moved
+        numbers = [i for i in range(len(rules)) if i not in text]
+        raw = _entries(df, rules, load, numbers) if numbers else _entries(df, rules, load).limit(0)
+        raw = raw.withColumn("v", F.coalesce("v", F.col("w").cast("double"))).where(F.col("v").isNotNull()).select("load", "c", "v", value_bucket(F.col("v")).alias("b"))
+        fine = raw.join(F.broadcast(open_bins), ["load", "c", "b"]).groupBy(*keys).agg(F.count_if("new").alias("now"), F.count_if(~F.col("new")).alias("past"))
+    else:  # most buckets are open: the counts of their values are fewer than the rows
+        met = coded.where(F.col("v").isNotNull()).select("load", "c", "b", "v", "n").join(open_bins, ["load", "c", "b"])
+        fine = met.groupBy(*keys).agg(F.sum(F.when(F.col("new"), n).otherwise(0)).alias("now"), F.sum(F.when(F.col("new"), 0).otherwise(n)).alias("past"))
     within = W.partitionBy("pair", "c", "b").orderBy("v")
     fine = fine.select("pair", "c", gap(F.col("now0") + F.sum("now").over(within), F.col("past0") + F.sum("past").over(within)).alias("gap")).groupBy("pair", "c").agg(F.max("gap").alias("fine"))
 
