@@ -235,7 +235,7 @@ def _upright(g: list[Column]) -> list[list[Column]]:
     ax = [n[1] * up, -n[0] * up]  # n x (0, 0, up)
     s = F.sqrt(ax[0] * ax[0] + ax[1] * ax[1])
     kx, ky = F.when(s > 0, ax[0] / s).otherwise(0.0), F.when(s > 0, ax[1] / s).otherwise(0.0)
-    angle = F.asin(F.least(s, F.lit(1.0)))
+    angle = F.asin(F.when(s > 1, 1.0).otherwise(s))  # NULL without a gravity
     c, d, v = F.cos(angle), 1 - F.cos(angle), F.sin(angle)
     return [[c + kx * kx * d, kx * ky * d, ky * v], [kx * ky * d, c + ky * ky * d, -kx * v], [-ky * v, kx * v, c]]
 

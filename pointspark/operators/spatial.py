@@ -3,7 +3,7 @@
 Searches for the nearest go through ``nearest.nearest``, whose leaves are cut by counts: crowded places are split and no pair beyond
 the k nearest is handed on. Roughness needs eigenvectors, which an Arrow kernel takes from sums of products, all points of a batch at once.
 Self is excluded by id, so an exact copy of a point is its neighbour at distance 0. Ties are broken by the smaller id. Rows
-without finite coordinates take no part; points without neighbours keep a row with NULL figures.
+without finite coordinates or an id take no part; points without neighbours keep a row with NULL figures.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ Z_EPS = 1e-6
 def nearest_capped(query: DataFrame, reference: DataFrame, cap: float, query_id: str, reference_id: str) -> DataFrame:
     """(query_id, distance): distance to the nearest reference point, NULL from the cap on."""
     near = nearest(query, 1, query_id, cap, reference, reference_id, others_only=False).select("a_id", F.sqrt("d2").alias("distance"))
-    return grid.located(query).select(F.col(query_id)).distinct().join(near, F.col(query_id) == F.col("a_id"), "left").select(query_id, "distance")
+    return grid.located(query).where(F.col(query_id).isNotNull()).select(F.col(query_id)).distinct().join(near, F.col(query_id) == F.col("a_id"), "left").select(query_id, "distance")
 
 
 def knn(points: DataFrame, k: int, margin: float, item: str, reference: DataFrame | None = None) -> DataFrame:
@@ -50,7 +50,7 @@ def mean_distances(points: DataFrame, ks: list[int], margin: float, item: str, w
     near = nearest(points, max(ks), item) if whole else knn(points, max(ks), margin, item)
     aggs = [a for k in ks for a in (F.avg(F.when(F.col("rank") <= k, F.sqrt("d2"))).alias(f"mean_k{k}"), _certain(k, margin).alias(f"n{k}"))]
     got = near.groupBy("a_id").agg(*aggs)
-    out = grid.located(points).select(F.col(item)).distinct().join(got, F.col(item) == F.col("a_id"), "left")
+    out = grid.located(points).where(F.col(item).isNotNull()).select(F.col(item)).distinct().join(got, F.col(item) == F.col("a_id"), "left")
     return out.select(item, *[c for k in ks for c in (F.col(f"mean_k{k}"), (F.coalesce(F.col(f"n{k}"), F.lit(0)) < k).alias(f"uncertain_k{k}"))])
 
 
@@ -99,7 +99,7 @@ def _residuals(points: DataFrame, near: DataFrame, thin: DataFrame, item: str, l
 
     kind = sums.schema["a_id"].dataType.simpleString()
     fitted = sums.select("a_id", *names).mapInArrow(fit, f"a_id {kind}, roughness double")
-    return grid.located(points).select(F.col(item)).distinct().join(fitted, F.col(item) == F.col("a_id"), "left").select(item, "roughness")
+    return grid.located(points).where(F.col(item).isNotNull()).select(F.col(item)).distinct().join(fitted, F.col(item) == F.col("a_id"), "left").select(item, "roughness")
 
 
 def roughness(points: DataFrame, radius: float, item: str) -> DataFrame:
