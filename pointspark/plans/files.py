@@ -92,6 +92,15 @@ def pcd_merged(spark, d):
     return spark.read.format("pcd").load(whole).select("pt_id", "x", "y", "z")
 
 
+@query(f"WITH {CLOUD} SELECT count(*) AS n, min(p.x) AS x_min, max(p.x) AS x_max, min(p.y) AS y_min, max(p.y) AS y_max, min(p.z) AS z_min, max(p.z) AS z_max FROM c")
+def bounds_cached(spark, d):
+    """Bounds of a folder of clouds, the second time from its cache."""
+    folder = _pcd(spark, scan_cloud(spark, d).select("x", "y", "z"), "binary")
+    cache = f"{scratch(spark)}/bounds.json"
+    pcd.cached_bounds(spark, folder, cache)
+    return pcd.cached_bounds(spark, folder, cache)
+
+
 @query("SELECT * FROM (SELECT scan_file, count(*) AS n FROM global_pcd_converter GROUP BY ALL)")
 def staged_replacement(spark, d):
     """K1: a cloud replaced by itself with another column, read again from the same path."""

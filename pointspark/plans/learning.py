@@ -111,14 +111,30 @@ def _scorers() -> dict:
     return {"model": F.col("score"), "neighbours": F.col("knn"), "plane": F.col("quality")}
 
 
-@query(f"""WITH {JUDGED}, {SCORERS}, {AUC.format(by='scorer', source='k')}, r AS (SELECT scorer, rank() OVER (PARTITION BY scorer ORDER BY score) + (count(*) OVER (PARTITION BY scorer, score) - 1) / 2.0 AS x, rank() OVER (PARTITION BY scorer ORDER BY distance) + (count(*) OVER (PARTITION BY scorer, distance) - 1) / 2.0 AS y FROM k),
+RANKING = f"""WITH {JUDGED}, {SCORERS}, {AUC.format(by='scorer', source='k')}, r AS (SELECT scorer, rank() OVER (PARTITION BY scorer ORDER BY score) + (count(*) OVER (PARTITION BY scorer, score) - 1) / 2.0 AS x, rank() OVER (PARTITION BY scorer ORDER BY distance) + (count(*) OVER (PARTITION BY scorer, distance) - 1) / 2.0 AS y FROM k),
 rho AS (SELECT scorer, corr(x, y) AS rho FROM r GROUP BY scorer), l AS (SELECT *, (ap - pos / (pos + neg)) / (1 - pos / (pos + neg)) AS lift FROM a WHERE ap IS NOT NULL)
-SELECT tau, scorer, round(ap, 6) AS ap, round(lift, 6) AS lift, round(auc, 6) AS auc, round(rho, 6) AS rho, row_number() OVER (PARTITION BY tau ORDER BY lift DESC, scorer DESC) AS place FROM l JOIN rho USING (scorer)""")
+SELECT tau, scorer, round(ap, 6) AS ap, round(lift, 6) AS lift, round(auc, 6) AS auc, round(rho, 6) AS rho, row_number() OVER (PARTITION BY tau ORDER BY lift DESC, scorer DESC) AS place FROM l JOIN rho USING (scorer)"""
+
+
+@query(RANKING)
 def method_ranking(spark, d):
     """Scorers by lift at every threshold."""
     return rounded(metrics.ranking(judged(spark, d), _scorers(), [0.02, 0.05]), 6, "ap", "lift", "auc", "rho")
 
 
+@query(f"SELECT CAST(tau AS DOUBLE) AS tau, place, scorer, lift, auc FROM ({RANKING})")
+def ranking_text(spark, d):
+    """K5: the ranking as a text table, read again."""
+    from pointspark.sources.text import write_ranking
+
+    path = f"{scratch(spark)}/ranking.txt"
+    write_ranking(method_ranking(spark, d), path, "scorers of the labelled cloud")
+    lines = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", r"\n\n")).alias("block")).where(F.col("block").startswith("tau"))
+    rows = lines.select(F.regexp_extract("block", r"tau = (\S+)", 1).cast("double").alias("tau"), F.explode(F.split("block", r"\n")).alias("line"))
+    p = F.split(F.trim("line"), r"\s+")
+    return rows.where(F.col("line").rlike(r"^ *\d+ ")).select("tau", p[0].cast("long").alias("place"), p[1].alias("scorer"), p[3].cast("double").alias("lift"), p[4].cast("double").alias("auc"))
+
+
 @query(f"""WITH {JUDGED}, {AUC.format(by='scene', source='j')}, n AS (SELECT scene, count(*) AS n FROM j GROUP BY scene) SELECT a.scene, CASE WHEN a.scene = (SELECT min(scene) FROM j) THEN 'held out' ELSE 'fitted on' END AS role, n, tau, round(auc, 6) AS auc FROM a JOIN n ON n.scene = a.scene""")
 def breakdown_by_role(spark, d):
     """M14."""

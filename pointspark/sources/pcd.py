@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import os
 import uuid
 from collections.abc import Iterator
@@ -229,6 +230,20 @@ def bounds(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n"), *[a for c in ("x", "y", "z") for a in (F.min(finite(c)).alias(f"{c}_min"), F.max(finite(c)).alias(f"{c}_max"))])
 
 
+def cached_bounds(spark: SparkSession, path: str, cache: str) -> DataFrame:
+    """bounds of a file or folder, kept in a JSON file beside it and taken from there until a file's name, size or time changes."""
+    stamp = [list(storage.stamp(f)) for f in _files(path)]
+    if storage.exists(cache):
+        with storage.reader(cache) as f:
+            kept = json.loads(f.read())
+        if kept["files"] == stamp:
+            return spark.createDataFrame([kept["bounds"]], "n long, " + ", ".join(f"{c}_{s} double" for c in "xyz" for s in ("min", "max")))
+    register(spark)
+    got = bounds(spark.read.format("pcd").load(path))
+    storage.write_whole(cache, [json.dumps({"files": stamp, "bounds": list(got.first())}).encode()])
+    return cached_bounds(spark, path, cache)
+
+
 def without_constant_channels(df: DataFrame, channels: list[str]) -> DataFrame:
     """Drops channels that hold nothing but their marker."""
     from pointspark.functions.missing import constant_channels

@@ -64,3 +64,10 @@ def remove(path: str) -> None:
 def exists(path: str) -> bool:
     fs, at = locate(path)
     return fs.get_file_info(at).type != pafs.FileType.NotFound
+
+
+def stamp(path: str) -> tuple[str, int, float]:
+    """(name, size, time of change) of a file."""
+    fs, at = locate(path)
+    info = fs.get_file_info(at)
+    return info.base_name, info.size, info.mtime_ns / 1e9 if info.mtime_ns else 0.0

@@ -83,6 +83,17 @@ def write_report(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_ranking(ranking: DataFrame, path: str, title: str = "") -> None:
+    """A ranking table as text (K5): one block a threshold, scorers from the best one on; a few rows."""
+    out, tau = [title] if title else [], None
+    for r in ranking.orderBy("tau", "place").toLocalIterator():
+        if r["tau"] != tau:
+            tau = r["tau"]
+            out += ["", f"tau = {tau}", f"{'place':>5} {'scorer':<32} {'ap':>10} {'lift':>10} {'auc':>10} {'rho':>10}"]
+        out.append(f"{r['place']:>5} {r['scorer']:<32} " + " ".join(f"{'-' if r[c] is None else format(r[c], '.6f'):>10}" for c in ("ap", "lift", "auc", "rho")))
+    storage.write_whole(path, ["\n".join(out).encode()])
+
+
 def overlaid(defaults: dict[str, Any], settings: dict[str, Any]) -> dict[str, Any]:
     """Defaults with the given settings laid over them: tables meet key by key, anything else is replaced."""
     result = copy.deepcopy(defaults)
