@@ -385,7 +385,7 @@ def loop_corrected(spark, d):
 
 
 @query(f"""WITH {STATE}, g AS (SELECT cloud_id, t, vx, vz FROM st WHERE {" AND ".join(f"coalesce(isfinite({c}), false)" for c in ("t", "vx", "vy", "vz"))}), s AS (SELECT cloud_id, t, lead(t) OVER w - t AS dt, (vx + lead(vx) OVER w) / 2 AS ax, (vz + lead(vz) OVER w) / 2 AS az FROM g WINDOW w AS (PARTITION BY cloud_id ORDER BY t)),
-k AS (SELECT *, coalesce(sum(ax * dt) OVER (PARTITION BY cloud_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS v0 FROM s WHERE dt > 0) SELECT cloud_id, count(*) AS steps, round(sum(dt), 5) AS seconds, round(sum(ax * dt) / sum(dt), 6) + 0 AS vx, round(sum(az * dt) / sum(dt), 6) + 0 AS vz, round(sum(v0 * dt + ax * dt * dt / 2) / power(sum(dt), 2), 6) + 0 AS px FROM k GROUP BY cloud_id""")
+k AS (SELECT *, coalesce(sum(ax * dt) OVER (PARTITION BY cloud_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS v0 FROM s WHERE dt > 0) SELECT cloud_id, count(*) AS steps, round(sum(dt), 5) AS seconds, round(sum(ax * dt) / sum(dt), 6) + 0 AS vx, round(sum(az * dt) / sum(dt), 6) + 0 AS vz, round(sum(v0 * dt + ax * dt * dt / 2) / power(sum(dt), 2), 5) + 0 AS px FROM k GROUP BY cloud_id""")
 def preintegrated(spark, d):
     """X11: whole sessions as intervals without rotation, the velocities standing in for accelerations (no table holds inertial samples)."""
     from pointspark.operators.inertial import preintegrate
@@ -394,4 +394,4 @@ def preintegrated(spark, d):
     samples = t.select("cloud_id", "t", *[F.lit(0.0).alias(f"w{i}") for i in range(3)], *[F.col(c).alias(f"a{i}") for i, c in enumerate(("vx", "vy", "vz"))])
     p = preintegrate(samples, ["cloud_id"])
     s = F.col("seconds")
-    return p.select("cloud_id", "steps", F.round(s, 5).alias("seconds"), (F.round(F.col("v")[0] / s, 6) + 0).alias("vx"), (F.round(F.col("v")[2] / s, 6) + 0).alias("vz"), (F.round(F.col("p")[0] / s**2, 6) + 0).alias("px"))
+    return p.select("cloud_id", "steps", F.round(s, 5).alias("seconds"), (F.round(F.col("v")[0] / s, 6) + 0).alias("vx"), (F.round(F.col("v")[2] / s, 6) + 0).alias("vz"), (F.round(F.col("p")[0] / s**2, 5) + 0).alias("px"))
