@@ -331,16 +331,19 @@ def top_features(importance: dict[str, float], n: int) -> list[str]:
 
 
 def save(path: str, model: Booster, features: list[str], recipe: dict) -> None:
-    """Model bundle: model, features, recipe (U8)."""
-    from pathlib import Path
+    """Model bundle on shared storage: model, features, recipe (U8)."""
+    from pointspark.sources import storage
 
-    Path(path).mkdir(parents=True, exist_ok=True)
-    Path(path, "model.json").write_text(model.to_json(features))
-    Path(path, "recipe.json").write_text(json.dumps(recipe))
+    storage.write_whole(f"{path}/model.json", [model.to_json(features).encode()])
+    storage.write_whole(f"{path}/recipe.json", [json.dumps(recipe).encode()])
 
 
 def load(path: str) -> tuple[Booster, list[str], dict]:
-    from pathlib import Path
-
-    model, features = Booster.from_json(Path(path, "model.json").read_text())
-    return model, features, json.loads(Path(path, "recipe.json").read_text())
+    from pointspark.sources import storage
+
+    texts = []
+    for name in ("model.json", "recipe.json"):
+        with storage.reader(f"{path}/{name}") as f:
+            texts.append(f.read().decode())
+    model, features = Booster.from_json(texts[0])
+    return model, features, json.loads(texts[1])
