@@ -56,17 +56,31 @@ def top_frames(matches: DataFrame, n: int, least_votes: int = 5) -> DataFrame:
 
 
 def suppress(corners: DataFrame, radius: float, item: str, strength: str) -> DataFrame:
-    """Corners without an equally strong or stronger one within the radius; tied ones suppress each other (T4)."""
-    # corners of a cell whose diagonal is shorter than the radius beat each other: at most one of them can be left, its strongest, unless that is
-    # tied. Only those are paired, so a crowd costs its size and not its square
-    cells = grid.with_cell(corners, radius / 2)
-    best = cells.groupBy(*grid.CELL).agg(F.max(F.struct(strength, item)).alias("_top"), F.max(strength).alias("_most"))
-    tied = cells.join(best, grid.CELL).where(F.col(strength) == F.col("_most")).groupBy(*grid.CELL).agg(F.count("*").alias("_n")).where(F.col("_n") == 1)
-    alone = cells.join(tied, grid.CELL, "left_semi").join(best, grid.CELL).where(F.col(item) == F.col(f"_top.{item}")).select(*corners.columns)
-    pairs = grid.halo_join(alone, corners, radius, item, item).where(F.col("a_id") != F.col("b_id"))
-    s = corners.select(F.col(item).alias("i"), F.col(strength).alias("s"))
-    beaten = pairs.join(s.select(F.col("i").alias("a_id"), F.col("s").alias("sa")), "a_id").join(s.select(F.col("i").alias("b_id"), F.col("s").alias("sb")), "b_id").where(F.col("sb") >= F.col("sa"))
-    return alone.join(beaten.select(F.col("a_id").alias(item)).distinct(), item, "left_anti")
+    """Corners without an equally strong or stronger one within the radius; tied ones suppress each other (T4).
+
+    Ids are unique. A corner without an id or a strength neither suppresses nor is suppressed.
+    """
+    given = F.col(item).isNotNull() & F.col(strength).isNotNull()
+    rows = grid.located(corners)
+    known = rows.where(given)
+    # corners of a cell whose diagonal is shorter than the radius beat each other, so at most its strongest is left; so it is in cells moved by
+    # half. Neither pass copies or pairs rows, and a crowd costs its size and not its square
+    left = known.select(item, strength, *grid.XYZ)
+    for moved in (0.0, 0.5):
+        cell = W.partitionBy(*[F.floor(F.col(c) / (radius / 2) + moved) for c in grid.XYZ]).orderBy(F.desc(strength), F.desc(item))
+        left = left.withColumn("_place", F.row_number().over(cell)).where(F.col("_place") == 1).drop("_place")
+    # these go to all cells that their balls touch, at most eight each; the corners stay in their own. A corner meets itself there too, so one join
+    # has both the rivals and the rows. It is a merge join because the planner doesn't see that the balls are copied, and would send them through
+    # the driver
+    size, names = 2 * radius, [f"_{c}" for c in grid.CELL]
+    balls = left.select(F.col(item).alias("_id"), F.col(strength).alias("_s"), *[F.col(c).alias(f"_{c}") for c in grid.XYZ])
+    for c, n in zip(grid.XYZ, names):
+        balls = balls.withColumn(n, F.explode(F.sequence(F.floor((F.col(f"_{c}") - radius) / size), F.floor((F.col(f"_{c}") + radius) / size))))
+    dx, dy, dz = [F.col(f"_{c}") - F.col(c) for c in grid.XYZ]
+    met = known.withColumns({n: F.floor(F.col(c) / size) for c, n in zip(grid.XYZ, names)}).join(balls.hint("merge"), names).where((dx * dx + dy * dy + dz * dz < radius * radius) & (F.col(strength) >= F.col("_s")))
+    own = F.col(item) == F.col("_id")
+    ends = met.groupBy("_id").agg(F.count_if(~own).alias("_rivals"), *[F.first(F.when(own, F.col(c)), ignorenulls=True).alias(c) for c in corners.columns])
+    return ends.where(F.col("_rivals") == 0).select(*corners.columns).unionByName(rows.where(~given))
 
 
 def top_corners(corners: DataFrame, by: list[str], n: int, strength: str, item: str) -> DataFrame:

@@ -653,8 +653,10 @@ CORNER = f"k AS (SELECT p.pt_id, p.x, p.y, p.z, coalesce(s, 0) AS s FROM p LEFT
 
 @query(f"WITH {PCD}, {CORNER} SELECT pt_id FROM k a WHERE NOT EXISTS (SELECT 1 FROM k b WHERE a.pt_id <> b.pt_id AND b.s >= a.s AND {D2} < 0.5 * 0.5)")
 def corner_suppression(spark, d):
-    s = table(spark, d, "pcd").groupBy("pt_id").agg(F.min(finite("reflectivity")).alias("s"))
-    return places.suppress(scan_points(spark, d).join(s, "pt_id", "left").fillna(0.0, ["s"]), 0.5, "pt_id", "s").select("pt_id")
+    ok = finite("x").isNotNull() & finite("y").isNotNull() & finite("z").isNotNull()
+    s = F.coalesce(F.min(finite("reflectivity")), F.lit(0.0)).alias("s")
+    k = table(spark, d, "pcd").groupBy("pt_id").agg(*[F.min(F.when(ok, F.col(c))).alias(c) for c in "xyz"], s)
+    return places.suppress(k, 0.5, "pt_id", "s").select("pt_id")
 
 
 @query(f"WITH {OUT}, c AS (SELECT {cells(10.0, 'ix,iy', 'xy')}, CAST(floor(z * 8) AS BIGINT) AS h FROM o) SELECT ix, iy, CAST(floor(h / 62.0) AS BIGINT) AS word, bit_or(CAST(1 AS BIGINT) << CAST(h - floor(h / 62.0) * 62 AS BIGINT)) AS bits FROM c GROUP BY ALL")
